@@ -21,6 +21,12 @@ def token(*alternatives: str) -> str:
     return rf"(?<![^ ])(?:{'|'.join(alternatives)})(?= |$)"
 
 
+def whole_word(pattern: str) -> str:
+    """`pattern` between word edges.  Its literal first character comes first, so
+    the scan skips quickly to places that can match."""
+    return rf"{pattern[0]}(?<![\p{{L}}\p{{N}}_].){pattern[1:]}{K.NOT_BEFORE_WORD}"
+
+
 _STREET, _HOUSE, _LOCALITY, _ADMIN = (
     token(*w) for w in (K.STREET_WORDS, K.HOUSE_WORDS, K.LOCALITY_WORDS, K.ADMIN_MARKERS)
 )
@@ -34,7 +40,7 @@ def normalize_text(c: Column | str) -> Column:
     t = F.lower(F.coalesce(col(c), F.lit("")))
     t = F.replace(F.translate(t, "ё№", "е "), F.lit("ß"), F.lit("ss"))
     for pattern, full in K.ABBREVIATIONS:
-        t = F.regexp_replace(t, "(?U)" + pattern, full)
+        t = F.regexp_replace(t, whole_word(pattern), f" {full} ")
     return F.trim(F.regexp_replace(t, K.NON_ADDRESS_CHARS, " "))
 
 

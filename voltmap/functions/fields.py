@@ -176,13 +176,17 @@ def _or_empty(items: Column) -> Column:
     return F.coalesce(items, F.array().cast(_STRINGS))
 
 
-def city_candidates(city: Column, district: Column, raw: Column) -> Column:
-    """Fields (last part first), parts before the street, then tagged places."""
+def field_city_candidates(city: Column, district: Column) -> Column:
+    """Parts of the city field, then of the district field, last part first."""
+    fields = [_or_empty(F.when(~_off_grid(c), _last_parts_first(c))) for c in (city, district)]
+    return _scored(F.concat(*fields), K.REGEX_CITY_FIELD)
+
+
+def text_city_candidates(raw: Column) -> Column:
+    """Parts before the street, then places with a type word, last first."""
     before_street = split_parts(F.try_element_at(F.split(raw, K.STREET_TYPE, 2), F.lit(1)))
     tagged = F.reverse(F.regexp_extract_all(raw, F.lit(K.LOCALITY), F.lit(1)))
-    fields = [_or_empty(F.when(~_off_grid(c), _last_parts_first(c))) for c in (city, district)]
     return F.concat(
-        _scored(F.concat(*fields), K.REGEX_CITY_FIELD),
         _scored(_or_empty(before_street), K.REGEX_CITY_FORWARD),
         _scored(_or_empty(tagged), K.REGEX_CITY_LOCALITY),
     )
@@ -220,10 +224,10 @@ def pick_city(cleaned: Column) -> Column:
     return F.try_element_at(F.filter(cleaned, usable), F.lit(1))
 
 
-def street_candidates(street: Column, extra_address: Column, raw: Column) -> Column:
-    """Typed forms over all texts, then untyped ones over the street fields."""
+def typed_street_candidates(*texts: Column) -> Column:
+    """'ул Ленина' and 'Красный проспект' forms found inside longer texts."""
 
-    def typed(text):
+    def forms(text):
         def form(pattern, type_group, name_group, type_first):
             kind = strip(F.regexp_extract(text, pattern, type_group), " .")
             name = _edges(strip_house_tail(F.regexp_extract(text, pattern, name_group)))
@@ -232,7 +236,13 @@ def street_candidates(street: Column, extra_address: Column, raw: Column) -> Col
 
         return [form(K.STREET_TYPE, 1, 2, True), form(K.STREET_TYPE_TAIL, 2, 1, False)]
 
-    def untyped(text):
+    return _scored(F.array(*[f for t in texts for f in forms(t)]), K.REGEX_STREET_TYPED)
+
+
+def untyped_street_candidates(*texts: Column) -> Column:
+    """Text before a house number, then comma parts that are no place or region."""
+
+    def ordered(text):
         found = A.split_address(text)
         by_house = F.array(F.when(found["building"].isNotNull(), found["street"]))
 
@@ -242,14 +252,10 @@ def street_candidates(street: Column, extra_address: Column, raw: Column) -> Col
             usable = ~only_number & ~A.has_token(n, K.LOCALITY_WORDS + K.ADMIN_MARKERS)
             return F.when(usable, strip_house_tail(p))
 
-        ordered = F.concat(by_house, F.transform(_last_parts_first(text), part))
-        return _or_empty(F.when(~A.normalize_text(text).rlike(K.ROAD_DISTANCE), ordered))
+        candidates = F.concat(by_house, F.transform(_last_parts_first(text), part))
+        return _or_empty(F.when(~A.normalize_text(text).rlike(K.ROAD_DISTANCE), candidates))
 
-    typed_all = F.array(*[f for t in (street, extra_address, raw) for f in typed(t)])
-    return F.concat(
-        _scored(typed_all, K.REGEX_STREET_TYPED),
-        _scored(F.concat(untyped(street), untyped(extra_address)), K.REGEX_STREET_UNTYPED),
-    )
+    return _scored(F.concat(*[ordered(t) for t in texts]), K.REGEX_STREET_UNTYPED)
 
 
 def normalize_candidates(candidates: Column) -> Column:
@@ -264,46 +270,38 @@ def normalize_candidates(candidates: Column) -> Column:
 
 
 def pick_street(normalized: Column) -> Column:
-    found = F.try_element_at(
-        F.filter(
-            normalized,
-            lambda item: (_edges(item["text"]) != "") & A.street_signal_of(item["normalized"]),
-        ),
-        F.lit(1),
-    )
-    return F.when(
-        found.isNotNull(),
-        F.struct(_edges(found["text"]).alias("value"), found["confidence"].alias("confidence")),
-    )
+    """First candidate (text, normalized, confidence) that is a usable street."""
+
+    def usable(item):
+        return (_edges(item["text"]) != "") & A.street_signal_of(item["normalized"])
+
+    return F.try_element_at(F.filter(normalized, usable), F.lit(1))
 
 
-def building_candidates(houses: Column, street: Column, extra_address: Column, raw: Column) -> Column:
-    """Texts that may hold the house number, best source first."""
+def street_text(picked: Column) -> Column:
+    return _edges(picked["text"])
+
+
+def recovered_building(houses: Column, street: Column, extra_address: Column, raw: Column) -> Column:
+    """House number from the best source that has one (evaluated lazily)."""
 
     def prefixed(c):
-        return empty_to_null(F.regexp_extract(c, K.HOUSE_WITH_PREFIX, 1))
+        return building_value(empty_to_null(F.regexp_extract(c, K.HOUSE_WITH_PREFIX, 1)))
 
     def trailing(c):
-        return empty_to_null(F.regexp_extract(c, K.TRAILING_HOUSE, 2))
+        return building_value(empty_to_null(F.regexp_extract(c, K.TRAILING_HOUSE, 2)))
 
     def anywhere(c):
-        return [F.when(~c.rlike(K.CADASTRAL), x) for x in (c, prefixed(c), trailing(c))]
+        return F.when(~c.rlike(K.CADASTRAL), F.coalesce(building_value(c), prefixed(c), trailing(c)))
 
     def after_street(c):
         name = empty_to_null(F.regexp_extract(c, K.STREET_TYPE, 2))
-        return [name, trailing(name), prefixed(c)]
-
-    ordered = [*anywhere(houses)]
-    for c in (street, extra_address, raw):
-        ordered += after_street(c)
-    for c in (street, extra_address):
-        ordered += anywhere(c)
-    return F.array(*ordered)
-
+        return F.coalesce(building_value(name), trailing(name), prefixed(c))
 
-def pick_building(candidates: Column) -> Column:
-    return F.try_element_at(
-        F.filter(F.transform(candidates, building_value), lambda b: b.isNotNull()), F.lit(1)
+    return F.coalesce(
+        anywhere(houses),
+        *[after_street(c) for c in (street, extra_address, raw)],
+        *[anywhere(c) for c in (street, extra_address)],
     )
 
 

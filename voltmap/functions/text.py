@@ -23,6 +23,11 @@ def strip(c: Column, chars: str = BLANKS) -> Column:
     return F.btrim(c, F.lit(chars))
 
 
+def plain_spaces(c: Column) -> Column:
+    """Non-breaking and typographic spaces as plain ones."""
+    return F.translate(c, "\u00a0\u2002\u2003\u2009\u202f\u3000", " " * 6)
+
+
 def blank_to_null(c: Column) -> Column:
     """Trimmed text, null when nothing is left."""
     return F.nullif(strip(c), F.lit(""))

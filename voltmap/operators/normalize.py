@@ -14,7 +14,7 @@ from voltmap import constants as K
 from voltmap.functions import address as A
 from voltmap.functions import fields as P
 from voltmap.functions.hashing import content_id
-from voltmap.functions.text import blank_to_null
+from voltmap.functions.text import blank_to_null, plain_spaces
 
 _RESULT = "struct<city:string,street:string,building:string,confidence:double>"
 
@@ -70,36 +70,49 @@ def with_regex(parsed: DataFrame, out: str = "regex", needed: Column | None = No
     if needed is not None:
         wanted = wanted & needed
     field, addr, raw = F.col("_field"), F.col("_addr"), F.col("_raw")
-    staged = (
-        parsed.withColumn("_wanted", wanted)
-        .withColumns(
-            {
-                "_raw": F.when(F.col("_wanted"), location_raw()),
-                "_addr": F.when(F.col("_wanted"), P.extra_address(F.col("extra"))),
-                "_field": F.when(F.col("_wanted"), F.col("location_street")),
-            }
-        )
-        .withColumn("_s", F.when(F.col("_wanted"), P.street_candidates(field, addr, raw)))
-        .withColumn("_s", P.normalize_candidates(F.col("_s")))
-        .withColumn("_s", P.pick_street(F.col("_s")))
-        .withColumn("_found", F.col("_s").isNotNull())
-        .withColumn(
-            "_c",
-            F.when(
-                F.col("_found"),
-                P.city_candidates(F.col("location_city"), F.col("location_district"), raw),
-            ),
-        )
-        .withColumn("_c", P.clean_city_candidates(F.col("_c")))
-        .withColumn("_c", P.pick_city(F.col("_c")))
-        .withColumn(
-            "_b",
-            F.when(
-                F.col("_found"),
-                P.building_candidates(P.extra_houses(F.col("extra")), field, addr, raw),
-            ),
+
+    def pick(df, out_col, when, candidates, prepare, choose):
+        return (
+            df.withColumn(out_col, F.when(when, candidates))
+            .withColumn(out_col, prepare(F.col(out_col)))
+            .withColumn(out_col, choose(F.col(out_col)))
         )
-        .withColumn("_b", P.pick_building(F.col("_b")))
+
+    staged = parsed.withColumn("_wanted", wanted).withColumns(
+        {
+            "_raw": F.when(F.col("_wanted"), plain_spaces(location_raw())),
+            "_addr": F.when(F.col("_wanted"), plain_spaces(P.extra_address(F.col("extra")))),
+            "_field": F.when(F.col("_wanted"), plain_spaces(F.col("location_street"))),
+        }
+    )
+    staged = pick(
+        staged, "_s1", F.col("_wanted"), P.typed_street_candidates(field, addr, raw),
+        P.normalize_candidates, P.pick_street,
+    )
+    staged = pick(
+        staged, "_s2", F.col("_wanted") & F.col("_s1").isNull(),
+        P.untyped_street_candidates(field, addr), P.normalize_candidates, P.pick_street,
+    )
+    staged = staged.withColumn("_s", F.coalesce("_s1", "_s2")).withColumn(
+        "_found", F.col("_s").isNotNull()
+    )
+    staged = pick(
+        staged, "_c1", F.col("_found"),
+        P.field_city_candidates(
+            plain_spaces(F.col("location_city")), plain_spaces(F.col("location_district"))
+        ),
+        P.clean_city_candidates, P.pick_city,
+    )
+    staged = pick(
+        staged, "_c2", F.col("_found") & F.col("_c1").isNull(), P.text_city_candidates(raw),
+        P.clean_city_candidates, P.pick_city,
+    )
+    staged = staged.withColumn("_c", F.coalesce("_c1", "_c2")).withColumn(
+        "_b",
+        F.when(
+            F.col("_found"),
+            P.recovered_building(P.extra_houses(F.col("extra")), field, addr, raw),
+        ),
     )
     total = (
         F.col("_s.confidence")
@@ -108,9 +121,11 @@ def with_regex(parsed: DataFrame, out: str = "regex", needed: Column | None = No
     )
     capped = F.least(F.lit(K.REGEX_CONFIDENCE_CAP), total)
     confidence = F.when(F.col("_c").isNull(), capped * K.REGEX_NO_CITY_FACTOR).otherwise(capped)
-    result = _result(F.col("_c.value"), F.col("_s.value"), F.col("_b"), F.round(confidence, 3))
+    result = _result(
+        F.col("_c.value"), P.street_text(F.col("_s")), F.col("_b"), F.round(confidence, 3)
+    )
     return staged.withColumn(out, F.when(F.col("_found"), result)).drop(
-        "_wanted", "_raw", "_addr", "_field", "_s", "_found", "_c", "_b"
+        "_wanted", "_raw", "_addr", "_field", "_s1", "_s2", "_s", "_found", "_c1", "_c2", "_c", "_b"
     )
 
 
