@@ -89,15 +89,24 @@ def normalize_building(c: Column | str) -> Column:
     return building_of(normalize_text(c))
 
 
+def trailing_part(address: Column) -> Column:
+    """Last comma part when another part precedes it, else ''."""
+    return F.regexp_extract(address, r"(?s)[^,;\s]\s*[,;][,;\s]*([^,;]+?)[,;\s]*$", 1)
+
+
+def last_house(address: Column) -> Column:
+    return F.try_element_at(F.regexp_extract_all(address, F.lit(K.HOUSE_KEY), F.lit(1)), F.lit(-1))
+
+
 def split_address(c: Column | str) -> Column:
     """Free text -> struct(street, building): a trailing house-like comma part,
     else the last house number found anywhere."""
     address = col(c)
-    last_part = F.regexp_extract(address, r"(?s)[^,;\s]\s*[,;][,;\s]*([^,;]+?)[,;\s]*$", 1)
+    last_part = trailing_part(address)
     by_comma = normalize_building(last_part).isNotNull()
     parts = split_parts(address)
     front = F.array_join(F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0))), ", ")
-    house = F.try_element_at(F.regexp_extract_all(address, F.lit(K.HOUSE_KEY), F.lit(1)), F.lit(-1))
+    house = last_house(address)
     after = F.try_element_at(F.split(address, K.HOUSE_KEY, -1), F.lit(-1))
     before = F.substr(address, F.lit(1), F.length(address) - F.length(after) - F.length(house))
     street = (

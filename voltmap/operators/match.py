@@ -18,6 +18,7 @@ from voltmap.functions import address as A
 from voltmap.functions import rules as R
 from voltmap.functions.hashing import content_id
 from voltmap.functions.text import split_parts
+from voltmap.operators.running import keep
 from voltmap.operators.similarity import matching_ratio, similar_pairs
 from voltmap.session import cut
 
@@ -27,22 +28,27 @@ _ADDRESS = ["location_city", "location_street", "location_raw", "location_buildi
 
 def office_profiles(offices: DataFrame) -> DataFrame:
     """office_id, name, o_city, o_street, o_building, house of every usable active office."""
-    return (
+    profiles = (
         offices.filter("is_active")
         .withColumn("_part", A.office_street_part("address"))
         .withColumn("_split", A.split_address(F.col("_part.street_text")))
+        .withColumns(
+            {
+                "_cn": A.normalize_text("city"),
+                "_sn": A.normalize_text("_split.street"),
+                "_bn": A.normalize_text(F.coalesce("_part.building_text", "_split.building")),
+            }
+        )
         .select(
             F.col("id").alias("office_id"),
             F.col("name").alias("office_name"),
-            A.normalize_city("city").alias("o_city"),
-            A.normalize_street(F.col("_split.street")).alias("o_street"),
-            A.normalize_building(
-                F.coalesce(F.col("_part.building_text"), F.col("_split.building"))
-            ).alias("o_building"),
+            A.city_of(F.col("_cn")).alias("o_city"),
+            A.street_of(F.col("_sn")).alias("o_street"),
+            A.building_of(F.col("_bn")).alias("o_building"),
         )
         .withColumn("house", A.first_house(A.ranges_of(F.coalesce("o_building", F.lit("")))))
-        .filter((F.col("o_city") != "") & (F.col("o_street") != ""))
     )
+    return keep(profiles, (F.col("o_city") != "") & (F.col("o_street") != ""))
 
 
 def address_id() -> Column:
@@ -58,10 +64,13 @@ def event_streets(events: DataFrame) -> DataFrame:
     addresses = (
         events.select(*_ADDRESS)
         .distinct()
+        .withColumns(
+            {"_cn": A.normalize_text("location_city"), "_bn": A.normalize_text("location_building")}
+        )
         .select(
             address_id().alias("address_id"),
-            A.normalize_city("location_city").alias("city_key"),
-            A.normalize_building("location_building").alias("building_key"),
+            A.city_of(F.col("_cn")).alias("city_key"),
+            A.building_of(F.col("_bn")).alias("building_key"),
             F.concat(
                 *[
                     F.coalesce(split_parts(F.col(c)), F.array().cast("array<string>"))
@@ -70,14 +79,14 @@ def event_streets(events: DataFrame) -> DataFrame:
             ).alias("segments"),
         )
     )
+    segments = addresses.select(
+        "address_id", "city_key", "building_key", F.posexplode("segments").alias("pos", "segment")
+    ).withColumn("n", A.normalize_text("segment"))
+    named = keep(segments, A.looks_like_street(F.col("n"))).withColumn(
+        "street_key", A.street_of(F.col("n"))
+    )
     segments = (
-        addresses.select(
-            "address_id", "city_key", "building_key", F.posexplode("segments").alias("pos", "segment")
-        )
-        .withColumn("n", A.normalize_text("segment"))
-        .filter(A.looks_like_street(F.col("n")))
-        .withColumn("street_key", A.street_of(F.col("n")))
-        .filter((F.col("street_key") != "") & ~F.col("street_key").eqNullSafe(F.col("city_key")))
+        keep(named, (F.col("street_key") != "") & ~F.col("street_key").eqNullSafe(F.col("city_key")))
         .withColumn("has_house_data", A.has_house_data(F.col("n")))
         .withColumn("ranges", F.when(F.col("has_house_data"), A.ranges_of(F.col("n"))))
     )

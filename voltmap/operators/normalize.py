@@ -15,6 +15,7 @@ from voltmap.functions import address as A
 from voltmap.functions import fields as P
 from voltmap.functions.hashing import content_id
 from voltmap.functions.text import blank_to_null, plain_spaces
+from voltmap.operators.running import keep, prefix_totals
 
 _RESULT = "struct<city:string,street:string,building:string,confidence:double>"
 
@@ -178,20 +179,67 @@ def with_fallback(
     )
 
 
-def to_events(results: DataFrame, result: str = "result", keep: tuple[str, ...] = ()) -> DataFrame:
+def with_canonical_key(df: DataFrame, city: Column, street: Column, building: Column, out: str) -> DataFrame:
+    """`canonical_key` in stages: every text is normalized in a projection of its
+    own, which keeps generated methods small enough to be compiled."""
+    given = F.nullif(building, F.lit(""))
+    recover = given.isNull() & (street != "")
+    return (
+        df.withColumns({"_city": city, "_street": street, "_given": given, "_recover": recover})
+        .withColumn("_tail", F.when(F.col("_recover"), A.trailing_part(F.col("_street"))))
+        .withColumns(
+            {
+                "_cn": A.normalize_text("_city"),
+                "_sn": A.normalize_text("_street"),
+                "_tn": A.normalize_text("_tail"),
+            }
+        )
+        .withColumn(
+            "_number",
+            F.coalesce(
+                F.col("_given"),
+                F.when(
+                    F.col("_recover"),
+                    F.when(A.building_of(F.col("_tn")).isNotNull(), F.col("_tail")).otherwise(
+                        A.last_house(F.col("_street"))
+                    ),
+                ),
+            ),
+        )
+        .withColumn("_bn", A.normalize_text("_number"))
+        .withColumn(
+            out,
+            F.nullif(
+                F.concat_ws(
+                    "|",
+                    F.coalesce(A.city_of(F.col("_cn")), F.lit("")),
+                    A.street_of(F.col("_sn")),
+                    F.coalesce(A.building_of(F.col("_bn")), F.lit("")),
+                ),
+                F.lit("||"),
+            ),
+        )
+        .drop("_city", "_street", "_given", "_recover", "_tail", "_cn", "_sn", "_tn", "_number", "_bn")
+    )
+
+
+def to_events(results: DataFrame, result: str = "result", extra: tuple[str, ...] = ()) -> DataFrame:
     """Normalized event rows from a result struct column; rows without one drop out.
 
     Event ids derive from the parsed record id, so a rerun yields the same ids.
     """
     r = F.col(result)
-    return results.filter(r.isNotNull()).select(
+    keyed = with_canonical_key(
+        keep(results, r.isNotNull()), r["city"], r["street"], r["building"], "location_normalized"
+    )
+    return keyed.select(
         content_id(F.lit("event"), F.col("id")).alias("event_id"),
         F.col("id").alias("parsed_record_id"),
         F.lit("power_outage").alias("event_type"),
         "start_time",
         "end_time",
         location_raw().alias("location_raw"),
-        A.canonical_key(r["city"], r["street"], r["building"]).alias("location_normalized"),
+        "location_normalized",
         r["city"].alias("location_city"),
         r["street"].alias("location_street"),
         r["building"].alias("location_building"),
@@ -200,7 +248,7 @@ def to_events(results: DataFrame, result: str = "result", keep: tuple[str, ...]
         r["confidence"].alias("confidence"),
         "trace_id",
         F.col("extracted_at").alias("normalized_at"),
-        *keep,
+        *extra,
     )
 
 
@@ -210,7 +258,7 @@ def normalize(
     allow_fallback: Column | None = None,
 ) -> DataFrame:
     return to_events(
-        with_fallback(parsed, threshold, allow_fallback), keep=("normalizer_path",)
+        with_fallback(parsed, threshold, allow_fallback), extra=("normalizer_path",)
     )
 
 
@@ -269,8 +317,6 @@ def fallback_gates(
         return gated.withColumnRenamed("_candidate", "allow_fallback")
     # A payload's candidates have positions 0..n-1, so its share of the budget is
     # budget - (candidates in earlier payloads), compared with `pos`.
-    from voltmap.operators.running import prefix_totals
-
     totals = gated.groupBy("source_id", "raw_record_id", *raw_order).agg(
         F.count_if("_candidate").alias("_n")
     )

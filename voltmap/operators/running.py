@@ -53,6 +53,17 @@ def prefix_totals(
     )
 
 
+def keep(df: DataFrame, condition: Column) -> DataFrame:
+    """Filter on a costly computed column without evaluating it twice.
+
+    A plain filter is pushed below the projections that compute its columns,
+    which copies their whole expression into the condition.  The partition id is
+    not deterministic for the optimizer, so the filter stays above them.
+    """
+    pinned = df.withColumn("_pin", F.spark_partition_id())
+    return pinned.filter(condition & (F.col("_pin") >= 0)).drop("_pin")
+
+
 def latest_per_key(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """One row per key: the greatest by `order`.  Combines map-side, no window."""
     rest = [c for c in df.columns if c not in keys]

@@ -220,10 +220,18 @@ class Tables:
         )
 
     def impact_parsed(self) -> DataFrame:
-        return self.read("lineitem").selectExpr(
-            "CAST(l_orderkey * 8 + l_linenumber AS string) AS id",
-            "CAST(l_orderkey * 8 + l_linenumber AS string) AS raw_record_id",
-            "CAST(l_partkey AS string) AS external_id",
+        return self.read("orders").selectExpr(
+            "CAST(o_orderkey * 8 + 1 AS string) AS id",
+            "CAST(o_orderkey * 8 + 1 AS string) AS raw_record_id",
+            "CAST(o_custkey AS string) AS external_id",
+        )
+
+    def impact_raw(self) -> DataFrame:
+        return self.read("orders").selectExpr(
+            "CAST(o_orderkey * 8 + 1 AS string) AS id",
+            "CAST(o_custkey AS string) AS source_id",
+            "concat('http://grid.example/item/', o_custkey) AS source_url",
+            "CAST(o_orderdate AS timestamp) AS fetched_at",
         )
 
 

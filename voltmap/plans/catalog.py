@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voltmap import constants as K
-from voltmap.functions import address as A
 from voltmap.functions import rules as R
 from voltmap.functions import text as X
 from voltmap.functions.hashing import content_hash
@@ -520,7 +519,7 @@ def _(t):
 
 @query(
     "parse_dispatch",
-    """SELECT CASE WHEN o_custkey % 4 = 2 AND o_orderdate BETWEEN DATE '1998-06-01' AND DATE '1998-06-01' + 400 THEN 'parsed'
+    """SELECT CASE WHEN s.id IS NOT NULL AND o_custkey % 4 = 2 AND o_orderdate BETWEEN DATE '1998-06-01' AND DATE '1998-06-01' + 400 THEN 'parsed'
  WHEN s.id IS NULL OR o_custkey % 4 = 3 THEN 'quarantine' END AS outcome, count(*) AS n
 FROM orders LEFT JOIN sources s ON CAST(o_custkey AS VARCHAR) = s.id
 WHERE (s.id IS NULL OR o_custkey % 4 = 3) OR (o_custkey % 4 = 2 AND o_orderdate BETWEEN DATE '1998-06-01' AND DATE '1998-06-01' + 400)
@@ -672,11 +671,16 @@ def _(t):
 
 @query(
     "canonical_keys",
-    f"SELECT DISTINCT {_KEY} AS key FROM parsed WHERE t <> 5", (B.PARSED,),
+    # A range left in the street gives its last number when no building is given.
+    "SELECT DISTINCT r || '|' || p || '|' || CASE t WHEN 4 THEN '' WHEN 3 THEN CAST(h + 4 AS VARCHAR) ELSE CAST(h AS VARCHAR) END AS key "
+    "FROM parsed WHERE t <> 5", (B.PARSED,),
 )
 def _(t):
-    key = A.canonical_key("location_city", "location_street", F.try_element_at("extra", F.lit("houses")))
-    return t.parsed().filter("location_street IS NOT NULL").select(key.alias("key")).distinct()
+    houses = F.try_element_at("extra", F.lit("houses"))
+    rows = t.parsed().filter("location_street IS NOT NULL")
+    return normalize.with_canonical_key(
+        rows, F.col("location_city"), F.col("location_street"), houses, "key"
+    ).select("key").distinct()
 
 
 @query(
@@ -740,13 +744,13 @@ def _(t):
     (B.PARSED,),
 )
 def _(t):
-    def key(r):
-        return F.when(
-            F.col(r).isNotNull(), A.canonical_key(F.col(f"{r}.city"), F.col(f"{r}.street"), F.col(f"{r}.building"))
-        )
-
     both = normalize.with_fallback(t.parsed())
-    return N.compare_normalizers(both.select(key("automaton").alias("auto_key"), key("result").alias("combined_key"), "normalizer_path"))
+    for r, out in (("automaton", "auto_key"), ("result", "combined_key")):
+        c = F.col(r)
+        both = normalize.with_canonical_key(both, c["city"], c["street"], c["building"], out).withColumn(
+            out, F.when(c.isNotNull(), F.col(out))
+        )
+    return N.compare_normalizers(both.select("auto_key", "combined_key", "normalizer_path"))
 
 
 # --- dedup -------------------------------------------------------------------------------
@@ -981,7 +985,7 @@ _MAP = f"""rel AS (SELECT o.id AS office_id, o.city, o.address, o.latitude, i.*
 
 def _map_rows(t: Tables) -> DataFrame:
     return N.map_impacts(
-        t.offices(), t.impacts(), t.impact_events(), t.impact_parsed(), t.raw(), t.sources(), ts(O_DAY)
+        t.offices(), t.impacts(), t.impact_events(), t.impact_parsed(), t.impact_raw(), t.sources(), ts(O_DAY)
     )
 
 
@@ -1000,8 +1004,10 @@ def _(t):
  CASE WHEN reason IS NULL OR reason = '' THEN '' WHEN reason = 'Ленинский РЭС' THEN '. Участок: ' || reason
   WHEN reason = 'Repair' THEN ': ' || reason ELSE '. Детали источника: ' || reason END AS reason_text,
  raw.id AS raw_record_id, sources.name AS source_name, raw.source_url AS source_record_url
-FROM rel LEFT JOIN raw ON CAST(rel.parsed_id AS VARCHAR) = raw.id LEFT JOIN sources ON raw.source_id = sources.id""",
-    (B.IMPACTS, B.OFFICES, _MAP, B.RAW, B.SOURCES),
+FROM rel LEFT JOIN (SELECT CAST(o_orderkey * 8 + 1 AS VARCHAR) AS id, CAST(o_custkey AS VARCHAR) AS source_id,
+ 'http://grid.example/item/' || o_custkey AS source_url FROM orders) raw ON CAST(rel.parsed_id AS VARCHAR) = raw.id
+ LEFT JOIN sources ON raw.source_id = sources.id""",
+    (B.IMPACTS, B.OFFICES, _MAP, B.SOURCES),
 )
 def _(t):
     rows = _map_rows(t)
@@ -1198,7 +1204,7 @@ def _(t):
 
 @query(
     "display_formats",
-    f"""SELECT doc_id, CASE WHEN n_chars < 1024 THEN n_chars || ' B' ELSE printf('%.1f KB', n_chars / 1024.0) END AS size,
+    f"""SELECT doc_id, CASE WHEN n_chars < 1024 THEN n_chars || ' B' ELSE printf('%.1f KB', floor(n_chars / 1024.0 * 10 + 0.5) / 10) END AS size,
  CASE WHEN length(source) <= 6 THEN source ELSE source[1:5] || '…' END AS short FROM documents""",
 )
 def _(t):

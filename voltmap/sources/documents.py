@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voltmap import constants as K
-from voltmap.functions import address as A
 from voltmap.functions import fields as P
 from voltmap.functions import rules as R
 from voltmap.functions.hashing import content_id
@@ -156,6 +155,9 @@ def reply_events(replies: DataFrame) -> DataFrame:
     The reply's fields win, the parsed record fills gaps; replies that are no
     JSON object or leave no start time give no row.
     """
+    from voltmap.operators.normalize import with_canonical_key
+    from voltmap.operators.running import keep
+
     content = strip_fences(F.get_json_object("reply", "$.choices[0].message.content"))
     rows = replies.withColumn("_content", content).withColumn("_e", F.from_json("_content", _REPLY))
     start = F.coalesce(R.iso_timestamp(F.col("_e.start_time")), F.col("start_time"))
@@ -167,20 +169,26 @@ def reply_events(replies: DataFrame) -> DataFrame:
         F.col("location_street"),
         F.map_filter("extra", lambda k, v: k == "houses"),
     )
-    staged = rows.filter(F.col("_content").startswith("{") & F.col("_e").isNotNull()).withColumns(
+    staged = keep(rows, F.col("_content").startswith("{") & F.col("_e").isNotNull()).withColumns(
         {"_start": start, "_city": city, "_street": street,
          "_building": blank_to_null(F.col("_e.location.building"))}
     )
-    return staged.filter(F.col("_start").isNotNull()).select(
+    keyed = with_canonical_key(
+        staged.filter(F.col("_start").isNotNull()).withColumnsRenamed(
+            {"_city": "r_city", "_street": "r_street", "_building": "r_building"}
+        ),
+        F.col("r_city"), F.col("r_street"), F.col("r_building"), "location_normalized",
+    )
+    return keyed.select(
         "id",
         R.coerce(F.col("_e.event_type"), K.EVENT_TYPES, "power_outage").alias("event_type"),
         F.col("_start").alias("start_time"),
         F.coalesce(R.iso_timestamp(F.col("_e.end_time")), F.col("end_time")).alias("end_time"),
         F.coalesce(empty_to_null(F.col("_e.location.raw")), plain).alias("location_raw"),
-        A.canonical_key(F.col("_city"), F.col("_street"), F.col("_building")).alias("location_normalized"),
-        F.col("_city").alias("location_city"),
-        F.col("_street").alias("location_street"),
-        F.col("_building").alias("location_building"),
+        "location_normalized",
+        F.col("r_city").alias("location_city"),
+        F.col("r_street").alias("location_street"),
+        F.col("r_building").alias("location_building"),
         F.coalesce(blank_to_null(F.col("_e.reason")), F.col("reason")).alias("reason"),
         F.greatest(F.lit(0.0), F.least(F.lit(1.0), number)).alias("confidence"),
     )
