@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from voltmap.session import prepare, spread
+
 AS_OF_EVENTS = "2024-01-31 00:00:00"
 AS_OF_ORDERS = "1998-06-01 00:00:00"
 AS_OF_SHIP = "2001-08-01 00:00:00"
@@ -21,13 +23,14 @@ def ts(text: str):
 
 class Tables:
     def __init__(self, spark: SparkSession, sf_dir: str):
-        from voltmap.session import prepare
-
         self.spark, self.dir = prepare(spark), sf_dir
 
     def read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
 
+    def spread(self, name: str) -> DataFrame:
+        return spread(self.read(name))
+
     def tasks(self) -> DataFrame:
         return self.read("events").selectExpr(
             "event_id AS id",
@@ -107,7 +110,7 @@ class Tables:
         )
 
     def parsed(self) -> DataFrame:
-        rows = self.read("orders").join(self.places(), F.col("o_custkey") == F.col("c_custkey"))
+        rows = self.spread("orders").join(self.places(), F.col("o_custkey") == F.col("c_custkey"))
         rows = rows.withColumns({"h": F.expr("CAST(o_orderkey % 97 + 1 AS string)"), "t": F.expr("o_orderkey % 6")})
         empty = "CAST(map() AS map<string,string>)"
         return rows.selectExpr(

@@ -433,7 +433,7 @@ _RAW_ORDERS = """ordered AS (SELECT o_orderkey AS k, o_custkey, o_orderdate, o_o
 
 
 def _json_raw(t: Tables, items) -> DataFrame:
-    return t.read("orders").select(
+    return t.spread("orders").select(
         F.col("o_orderkey").cast("string").alias("id"), F.col("o_custkey").cast("string").alias("source_id"),
         F.to_json(F.array(items)).alias("raw_content"), F.lit("t").alias("trace_id"),
         F.col("o_orderdate").cast("timestamp").alias("fetched_at"),
@@ -494,7 +494,7 @@ def _html_raw(t: Tables) -> DataFrame:
         p("t3", "Время:", F.when(k % 5 == 0, "всю ночь").when(k % 5 == 1, "с 22:00 до 3:15").otherwise("с 9:05 до 16:00")),
         p("t4", "Причина:", F.lit("ремонт")), p("t5", "Что:", F.lit("ТП-1")), F.lit("</td></tr></table>"),
     )
-    return t.read("orders").select(
+    return t.spread("orders").select(
         k.cast("string").alias("id"), F.col("o_custkey").cast("string").alias("source_id"), td.alias("raw_content"),
         F.lit("t").alias("trace_id"), F.col("o_orderdate").cast("timestamp").alias("fetched_at"),
         F.create_map(F.lit("date_filter_days"), F.lit("400")).alias("parser_profile"),

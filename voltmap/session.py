@@ -13,6 +13,8 @@ DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Text work is CPU-bound: do not fold small shuffles into a single task.
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k",
     "spark.sql.mapKeyDedupPolicy": "LAST_WIN",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.execution.pythonUDF.arrow.enabled": "true",
@@ -33,11 +35,25 @@ def build_session(
 
 def prepare(spark: SparkSession) -> SparkSession:
     """Pin the runtime settings the operators rely on (UTC, map key policy)."""
-    for key in ("spark.sql.session.timeZone", "spark.sql.mapKeyDedupPolicy"):
+    for key in (
+        "spark.sql.session.timeZone",
+        "spark.sql.mapKeyDedupPolicy",
+        "spark.sql.adaptive.coalescePartitions.minPartitionSize",
+    ):
         spark.conf.set(key, DEFAULTS[key])
     return spark
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """Use all cores for a scan of few files; larger inputs keep their partitions.
+
+    For CPU-bound work only.  A small file is read by one task, which would leave
+    the other cores idle through every row-local step after it.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if len(scan.inputFiles()) < cores else scan
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Checkpoint `df` into the cluster's shared checkpoint folder.
 
