@@ -110,7 +110,7 @@ class Tables:
         )
 
     def parsed(self) -> DataFrame:
-        rows = self.spread("orders").join(self.places(), F.col("o_custkey") == F.col("c_custkey"))
+        rows = spread(self.read("orders").join(self.places(), F.col("o_custkey") == F.col("c_custkey")))
         rows = rows.withColumns({"h": F.expr("CAST(o_orderkey % 97 + 1 AS string)"), "t": F.expr("o_orderkey % 6")})
         empty = "CAST(map() AS map<string,string>)"
         return rows.selectExpr(
