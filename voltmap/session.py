@@ -15,6 +15,8 @@ DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # Text work is CPU-bound: do not fold small shuffles into a single task.
     "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k",
+    # Checkpoint files go when their DataFrame does.
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     "spark.sql.mapKeyDedupPolicy": "LAST_WIN",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.execution.pythonUDF.arrow.enabled": "true",
@@ -37,7 +39,9 @@ def prepare(spark: SparkSession) -> SparkSession:
     """Pin the runtime settings the operators rely on (UTC, map key policy)."""
     for key in (
         "spark.sql.session.timeZone",
-        "spark.sql.mapKeyDedupPolicy",
+        # Checkpoint files go when their DataFrame does.
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
+    "spark.sql.mapKeyDedupPolicy",
         "spark.sql.adaptive.coalescePartitions.minPartitionSize",
     ):
         spark.conf.set(key, DEFAULTS[key])
@@ -55,17 +59,24 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if len(df.inputFiles()) < cores else df
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Checkpoint `df` into the cluster's shared checkpoint folder.
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder that driver and executors share.
 
-    The folder comes from ``spark.checkpoint.dir``.  Only a session without that
-    setting (a local test run) gets a temporary folder of its own.
+    It comes from ``spark.checkpoint.dir``.  Only a local session without that setting
+    (a test run) gets a temporary folder of its own.
     """
-    spark = df.sparkSession
     sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
+    current = sc._jsc.sc().getCheckpointDir()
+    if current.isEmpty():
         configured = spark.conf.get(CHECKPOINT_KEY, None)
         if not configured and not sc.master.startswith("local"):
             raise RuntimeError(f"set {CHECKPOINT_KEY} to a shared folder on a cluster")
         sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="voltmap-ckpt-"))
+        current = sc._jsc.sc().getCheckpointDir()
+    return current.get()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Checkpoint `df` into the cluster's shared checkpoint folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
