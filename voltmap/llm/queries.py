@@ -12,6 +12,15 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from voltmap.llm import packing
+
+    packed = packing.pack(packing.tokenize(_read(spark, sf_dir, "documents")))
+    return packed.select(
+        F.col("id").alias("doc_id"), "piece", "start", "length", "ids_crc32", "sequence_id", "offset"
+    )
+
+
 def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     from voltmap.llm import mixing
 
@@ -23,6 +32,7 @@ def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_best_fit_packing": op2_best_fit_packing,
     "op5_source_mix": op5_source_mix,
 }
 
