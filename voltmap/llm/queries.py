@@ -31,9 +31,20 @@ def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_toxic_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from voltmap.llm import toxicity
+
+    docs = _read(spark, sf_dir, "documents")
+    score = toxicity.scorer(spark, toxicity.train(docs, _read(spark, sf_dir, "labels")))
+    return docs.select(
+        "doc_id", toxicity.held_out("doc_id").alias("held_out"), score("text").alias("score")
+    ).withColumn("predicted", (F.col("score") >= toxicity.THRESHOLD).cast("int"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_best_fit_packing": op2_best_fit_packing,
     "op5_source_mix": op5_source_mix,
+    "op6_toxic_passages": op6_toxic_passages,
 }
 
 SQL: dict[str, str] = {}

@@ -68,22 +68,27 @@ class Words:
         """The text number of each word."""
         return np.repeat(np.arange(len(self.bounds) - 1), self.counts)
 
-    def hashes(self, width: int | None = None) -> np.ndarray:
-        """64-bit hash of each word in lower case, or of its first `width` bytes."""
-        ends = self.ends if width is None else np.minimum(self.ends, self.starts + width)
-        out = np.empty(len(self.starts), dtype=np.uint64)
+    def hashes(self) -> np.ndarray:
+        """64-bit hash of each word in lower case."""
+        return self.prefix_hashes((None,))[0]
+
+    def prefix_hashes(self, widths: tuple[int | None, ...]) -> list[np.ndarray]:
+        """Hashes of the first bytes of each word in lower case; None: of the whole word."""
+        outs = [np.empty(len(self.starts), dtype=np.uint64) for _ in widths]
         at = 0
-        while at < len(out):
+        while at < len(self.starts):
             upto = max(int(np.searchsorted(self.ends, self.starts[at] + PIECE_BYTES, "right")), at + 1)
             low, high = int(self.starts[at]), int(self.ends[upto - 1])
             forth, back = _powers(high - low)
             sums = np.zeros(high - low + 1, dtype=np.uint64)
             codes = _LOWER[self.data[low:high]].astype(np.uint64) + np.uint64(1)
             np.cumsum(codes * forth[: high - low], out=sums[1:])
-            s, e = self.starts[at:upto] - low, ends[at:upto] - low
-            out[at:upto] = (sums[e] - sums[s]) * back[s]
+            s, e = self.starts[at:upto] - low, self.ends[at:upto] - low
+            for width, out in zip(widths, outs):
+                stop = e if width is None else np.minimum(e, s + width)
+                out[at:upto] = (sums[stop] - sums[s]) * back[s]
             at = upto
-        return mix(out)
+        return [mix(out) for out in outs]
 
 
 def words(texts: pa.Array) -> Words:
