@@ -41,10 +41,18 @@ def op6_toxic_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).withColumn("predicted", (F.col("score") >= toxicity.THRESHOLD).cast("int"))
 
 
+def op10_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from voltmap.llm import neardup
+
+    found = neardup.classes(_read(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "class_id", "n_links", "n_copies")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_best_fit_packing": op2_best_fit_packing,
     "op5_source_mix": op5_source_mix,
     "op6_toxic_passages": op6_toxic_passages,
+    "op10_near_copies": op10_near_copies,
 }
 
 SQL: dict[str, str] = {}
