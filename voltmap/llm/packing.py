@@ -21,54 +21,128 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from voltmap.llm.text import Words, pieces, words
 from voltmap.session import cut
 
 CAPACITY = 4096
 END = 1
-#: Distinct words whose ids a worker remembers; beyond it, it starts anew.
-REMEMBERED = 300_000
+#: Distinct parts of words whose ids a worker remembers; beyond it, it starts anew.
+REMEMBERED = 1 << 21
 #: Pieces that are ranked together, about.
 RANKED = 20_000
 
 _encoders: dict[str, Encoder] = {}
 
 
+#: Bytes of letters of one kind: A-Z, a-z and the Latin letters U+00C0 to U+027F.
+_LETTER = np.zeros(256, dtype=bool)
+_LETTER[65:91] = _LETTER[97:123] = _LETTER[0xC3:0xCA] = _LETTER[0x80:0xC0] = True
+_MARK = np.zeros(256, dtype=bool)
+_MARK[list(b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")] = True
+
+
+def parts(found: Words) -> Words:
+    """Cut each word of Latin letters with ASCII marks at its end into letters and marks.
+
+    Other words stay whole.  U+00D7 and U+00F7 lie among the letters but are none.
+    """
+    data = found.data
+    other = ~_LETTER[data]
+    for second in (0x97, 0xB7):
+        at = np.flatnonzero((data[:-1] == 0xC3) & (data[1:] == second))
+        other[at] = True
+    last = np.maximum.accumulate(np.where(_MARK[data], -1, np.arange(len(data)))) + 1 if len(data) else data
+    others = np.concatenate([[0], np.cumsum(other, dtype=np.int64)])
+    stem = np.maximum(last[found.ends - 1], found.starts) if len(found.starts) else found.ends
+    two = (stem > found.starts) & (stem < found.ends) & (others[stem] == others[found.starts])
+    first = np.arange(len(two)) + np.concatenate([[0], np.cumsum(two)[:-1]]) if len(two) else np.zeros(0, np.int64)
+    n = len(two) + int(two.sum())
+    starts, ends = np.empty(n, dtype=np.int64), np.empty(n, dtype=np.int64)
+    starts[first], ends[first] = found.starts, np.where(two, stem, found.ends)
+    starts[first[two] + 1], ends[first[two] + 1] = stem[two], found.ends[two]
+    return Words(data, starts, ends, np.append(first, n)[found.bounds])
+
+
 class Encoder:
-    """Token ids of texts, remembering the ids of words.
+    """Token ids of texts, remembering the ids of parts of words in a table by hash.
 
-    The tokenizer splits at white space and never joins across it, so a text's ids are
-    those of its words in turn.
+    The tokenizer ignores the case of letters, splits at white space and between letters and
+    marks, and never joins across a split: a text's ids are those of its parts in turn.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[bytes, bytes] = {}
-
-    def encode(self, texts: list[bytes | None]) -> list[bytes]:
-        """The ids of each text as little-endian 32-bit numbers, without the end."""
-        split = [(t or b"").split() for t in texts]
-        missing = {w for ws in split for w in ws if w not in self.known}
-        if len(self.known) + len(missing) > REMEMBERED:
-            self.known = {}
-            missing = {w for ws in split for w in ws}
-        if missing:
-            self._learn(list(missing))
-        get = self.known.__getitem__
-        return [b"".join(map(get, ws)) for ws in split]
-
-    def _learn(self, new: list[bytes], together: int = 4096) -> None:
-        for at in range(0, len(new), together):
-            part = new[at : at + together]
-            texts = [w.decode("utf-8", "replace") for w in part]
-            begins = np.cumsum([0] + [len(t) + 1 for t in texts])
-            found = self.tokenizer.encode("\n".join(texts), add_special_tokens=False)
+        self.forget()
+
+    def forget(self) -> None:
+        self.keys = np.zeros(2 * REMEMBERED, dtype=np.uint64)
+        self.number = np.zeros(2 * REMEMBERED, dtype=np.int32)
+        self.pool, self.begins = np.zeros(1 << 20, dtype="<u4"), np.zeros(REMEMBERED + 1, dtype=np.int64)
+        self.known = 0
+
+    def _find(self, keys: np.ndarray) -> np.ndarray:
+        """The number of each key in the table; -1 if it is not there."""
+        mask = np.uint64(len(self.keys) - 1)
+        out = np.full(len(keys), -1, dtype=np.int64)
+        todo, slot = np.arange(len(keys)), keys & mask
+        while len(todo):
+            there = self.keys[slot]
+            hit = there == keys[todo]
+            out[todo[hit]] = self.number[slot[hit]]
+            on = ~hit & (there != 0)
+            todo, slot = todo[on], (slot[on] + np.uint64(1)) & mask
+        return out
+
+    def _insert(self, keys: np.ndarray) -> None:
+        mask = np.uint64(len(self.keys) - 1)
+        todo, slot = np.arange(len(keys)), keys & mask
+        while len(todo):
+            free = self.keys[slot] == 0
+            self.keys[slot[free]] = keys[todo[free]]
+            won = self.keys[slot] == keys[todo]
+            self.number[slot[won]] = self.known + todo[won]
+            todo, slot = todo[~won], (slot[~won] + np.uint64(1)) & mask
+
+    def _learn(self, keys: np.ndarray, texts: list[str], together: int = 4096) -> None:
+        end = self.begins[self.known]
+        self._insert(keys)
+        for at in range(0, len(texts), together):
+            part = texts[at : at + together]
+            begins = np.cumsum([0] + [len(t) + 1 for t in part])
+            found = self.tokenizer.encode("\n".join(part), add_special_tokens=False)
             ids = np.array(found.ids, dtype="<u4")
             firsts = np.array([a for a, _ in found.offsets], dtype=np.int64)
-            bounds = np.searchsorted(firsts, begins)
-            for i, w in enumerate(part):
-                self.known[w] = ids[bounds[i] : bounds[i + 1]].tobytes()
+            while end + len(ids) > len(self.pool):
+                self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
+            self.pool[end : end + len(ids)] = ids
+            self.begins[self.known : self.known + len(part) + 1] = end + np.searchsorted(firsts, begins)
+            end += len(ids)
+            self.known += len(part)
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts in turn, without ends, and the range of each text."""
+        found = parts(words(texts))
+        keys = np.maximum(found.hashes(), np.uint64(1))
+        number = self._find(keys)
+        if (missing := np.flatnonzero(number < 0)).size:
+            new, first = np.unique(keys[missing], return_index=True)
+            if self.known + len(new) > REMEMBERED:
+                self.forget()
+                new, missing = np.unique(keys, return_index=True)
+                first = slice(None)
+            raw = found.data.tobytes()
+            at = missing[first]
+            spans = zip(found.starts[at].tolist(), found.ends[at].tolist())
+            # The key sees A-Z in lower case, so any spelling of it will do.
+            self._learn(new, [raw[a:b].decode() for a, b in spans])
+            number = self._find(keys)
+        begins = self.begins[number]
+        lengths = self.begins[number + 1] - begins
+        ends = np.concatenate([[0], np.cumsum(lengths)])
+        ids = self.pool[np.repeat(begins - ends[:-1], lengths) + np.arange(ends[-1])]
+        return ids, ends[found.bounds]
 
 
 def default_tokenizer() -> str:
@@ -90,14 +164,14 @@ def tokenize(
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoders.get(path) or _encoders.setdefault(path, Encoder(path))
-        width = 4 * capacity
-        for b in batches:
-            texts = b.column("text").cast(pa.binary()).to_pylist()
+        last = np.array([END], dtype="<u4").tobytes()
+        for b in (p for whole in batches for p in pieces(whole, "text")):
+            ids, bounds = encoder.encode(b.column("text"))
             out: list[tuple] = []
-            for number, ids in enumerate(encoder.encode(texts)):
-                ids += END.to_bytes(4, "little")
-                for piece, at in enumerate(range(0, len(ids), width)):
-                    part = ids[at : at + width]
+            for number in range(len(b)):
+                own = ids[bounds[number] : bounds[number + 1]].tobytes() + last
+                for piece, at in enumerate(range(0, len(own), 4 * capacity)):
+                    part = own[at : at + 4 * capacity]
                     out.append((number, piece, at // 4, len(part) // 4, zlib.crc32(part), part))
             number, piece, start, length, crc, part = zip(*out) if out else [()] * 6
             number = pa.array(number, pa.int64())
