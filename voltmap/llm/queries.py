@@ -21,6 +21,12 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_bloom_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from voltmap.llm import lm
+
+    return lm.score(_read(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     from voltmap.llm import mixing
 
@@ -50,6 +56,7 @@ def op10_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_best_fit_packing": op2_best_fit_packing,
+    "op3_bloom_lm": op3_bloom_lm,
     "op5_source_mix": op5_source_mix,
     "op6_toxic_passages": op6_toxic_passages,
     "op10_near_copies": op10_near_copies,
