@@ -54,11 +54,18 @@ def op10_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "class_id", "n_links", "n_copies")
 
 
+def op8_multiset_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from voltmap.llm import fingerprints
+
+    return fingerprints.with_edits(_read(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_bloom_lm": op3_bloom_lm,
     "op5_source_mix": op5_source_mix,
     "op6_toxic_passages": op6_toxic_passages,
+    "op8_multiset_fingerprints": op8_multiset_fingerprints,
     "op10_near_copies": op10_near_copies,
 }
 
