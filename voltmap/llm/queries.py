@@ -27,6 +27,12 @@ def op3_bloom_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(_read(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
+def op4_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from voltmap.llm import substrings
+
+    return substrings.classes(substrings.passages(_read(spark, sf_dir, "documents")))
+
+
 def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     from voltmap.llm import mixing
 
@@ -63,6 +69,7 @@ def op8_multiset_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_bloom_lm": op3_bloom_lm,
+    "op4_repeated_passages": op4_repeated_passages,
     "op5_source_mix": op5_source_mix,
     "op6_toxic_passages": op6_toxic_passages,
     "op8_multiset_fingerprints": op8_multiset_fingerprints,
