@@ -60,6 +60,13 @@ def op10_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "class_id", "n_links", "n_copies")
 
 
+def op7_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from voltmap.llm import quality
+
+    found = quality.resample(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+    return found.withColumnRenamed("id", "doc_id")
+
+
 def op8_multiset_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     from voltmap.llm import fingerprints
 
@@ -72,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_repeated_passages": op4_repeated_passages,
     "op5_source_mix": op5_source_mix,
     "op6_toxic_passages": op6_toxic_passages,
+    "op7_importance_resampling": op7_importance_resampling,
     "op8_multiset_fingerprints": op8_multiset_fingerprints,
     "op10_near_copies": op10_near_copies,
 }
