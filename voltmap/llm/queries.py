@@ -53,6 +53,12 @@ def op6_toxic_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).withColumn("predicted", (F.col("score") >= toxicity.THRESHOLD).cast("int"))
 
 
+def op9_bm25_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from voltmap.llm import search
+
+    return search.search(_read(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def op10_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     from voltmap.llm import neardup
 
@@ -81,6 +87,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_toxic_passages": op6_toxic_passages,
     "op7_importance_resampling": op7_importance_resampling,
     "op8_multiset_fingerprints": op8_multiset_fingerprints,
+    "op9_bm25_top_k": op9_bm25_top_k,
     "op10_near_copies": op10_near_copies,
 }
 
