@@ -12,6 +12,12 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_site_style_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from voltmap.llm import html
+
+    return html.extract(_read(spark, sf_dir, "pages")).withColumnRenamed("id", "page_id")
+
+
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from voltmap.llm import packing
 
@@ -80,6 +86,7 @@ def op8_multiset_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_site_style_text": op1_site_style_text,
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_bloom_lm": op3_bloom_lm,
     "op4_repeated_passages": op4_repeated_passages,
