@@ -51,8 +51,9 @@ def local_timestamp(day_text: Column, time_text: Column) -> Column:
 def iso_timestamp(c: Column, zone: str = "+00:00") -> Column:
     """ISO-8601 text -> UTC; a text without offset is in `zone`."""
     text = blank_to_null(c)
-    aware = text.rlike(r"\d(?:Z|[+-]\d{2}:?\d{2})$") & text.contains("T")
-    parsed = text.try_cast("timestamp")
+    # An offset follows a time of day; a date alone ends in '-dd' as well.
+    aware = text.rlike(r"[T ]\d{1,2}:\d{2}.*(?:Z|[+-]\d{2}(?::?\d{2})?)$")
+    parsed = F.regexp_replace(text, r"([T ]\d{1,2}:\d{2}.*[+-]\d{2})$", "$1:00").try_cast("timestamp")
     return F.when(aware, parsed).otherwise(F.to_utc_timestamp(parsed, zone))
 
 
@@ -186,8 +187,10 @@ def backoff_seconds(attempt: Column) -> Column:
     return F.least(F.pow(F.lit(K.BACKOFF_BASE), attempt), F.lit(K.BACKOFF_MAX_SECONDS)).cast("int")
 
 
-def bounded_int(c: Column, default: int, low: int, high: int) -> Column:
-    return F.greatest(F.lit(low), F.least(F.lit(high), F.coalesce(c.try_cast("int"), F.lit(default))))
+def bounded_int(c: Column, default: int, low: int, high: int | None) -> Column:
+    """At least `low`; at most `high` where one is given."""
+    value = F.coalesce(c.try_cast("int"), F.lit(default))
+    return F.greatest(F.lit(low), value if high is None else F.least(F.lit(high), value))
 
 
 def token_cost(prompt: Column, completion: Column, prompt_price: float, completion_price: float) -> Column:

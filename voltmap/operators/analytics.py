@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from voltmap import constants as K
 from voltmap.functions import rules as R
 from voltmap.operators.percentile import nearest_rank
-from voltmap.operators.running import latest_per_key
 
 
 def status_counts(tasks: DataFrame) -> DataFrame:
@@ -79,6 +78,28 @@ def silent_sources(
     )
 
 
+def silence_transitions(
+    sources: DataFrame, raw: DataFrame, as_of: Column, multiplier: float = K.SILENT_MULTIPLIER
+) -> DataFrame:
+    """Batch twin of the silence alerts up to `as_of`: when each active source fell silent and recovered.
+
+    A source that never fetched falls silent counted from its creation.
+    """
+    order = Window.partitionBy("source_id").orderBy("fetched_at")
+    fetches = raw.select("source_id", "fetched_at").distinct().withColumn("next", F.lead("fetched_at").over(order))
+    active = sources.filter("is_active").select(
+        F.col("id").alias("source_id"), "created_at",
+        (F.col("poll_interval_seconds") * multiplier).alias("limit"),
+    )
+    joined = active.join(fetches, "source_id", "left").withColumn("since", F.coalesce("fetched_at", "created_at"))
+    quiet = R.seconds_between(F.coalesce("next", as_of), F.col("since")) > F.col("limit")
+    fell = F.timestamp_micros((F.unix_micros("since") + F.col("limit") * 1_000_000).cast("long"))
+    silent = F.struct(fell.alias("at"), F.lit("parser.silent").alias("event_type"))
+    back = F.struct(F.col("next").alias("at"), F.lit("parser.recovered").alias("event_type"))
+    both = F.when(F.col("next").isNull(), F.array(silent)).otherwise(F.array(silent, back))
+    return joined.filter(quiet).select("source_id", F.explode(both).alias("e")).select("source_id", "e.*")
+
+
 def source_health(
     sources: DataFrame, raw: DataFrame, tasks: DataFrame, as_of: Column, hours: int = 24,
     id_pattern: str = r"^[0-9a-fA-F-]{32,36}$",
@@ -105,17 +126,14 @@ def confidence_histogram(events: DataFrame) -> DataFrame:
         F.count_if((c >= 0.5) & (c < 0.8)).alias("medium"),
         F.count_if(c < 0.5).alias("low"),
         F.count("*").alias("total"),
+        F.round(F.coalesce(F.avg(c), F.lit(0.0)), 3).alias("average_confidence"),
     )
 
 
 def normalization_quality(events: DataFrame, parsed: DataFrame, as_of: Column) -> DataFrame:
-    """Buckets over all events, average over the latest 1000, parsed in 30 days."""
-    latest = events.orderBy(F.desc("normalized_at"), F.desc("event_id")).limit(1000)
-    average = latest.agg(
-        F.round(F.coalesce(F.avg(F.coalesce("confidence", F.lit(0.0))), F.lit(0.0)), 3).alias("average_confidence")
-    )
+    """Buckets and average confidence over all events, parsed in 30 days."""
     recent = parsed.agg(F.count_if(R.since(F.col("extracted_at"), as_of, 24 * 30)).alias("parsed_total"))
-    return confidence_histogram(events).withColumnRenamed("total", "normalized_count").join(average).join(recent)
+    return confidence_histogram(events).withColumnRenamed("total", "normalized_count").join(recent)
 
 
 def call_totals(calls: DataFrame, prompt_price: float, completion_price: float) -> DataFrame:
@@ -139,6 +157,22 @@ def call_totals(calls: DataFrame, prompt_price: float, completion_price: float)
     )
 
 
+def rolling_totals(tasks: DataFrame, hours: int) -> DataFrame:
+    """Rows and summed duration per stage over every window of `hours`, by the hour.
+
+    Hours are totalled first; only the totals go into the overlapping windows.
+    """
+    hourly = tasks.groupBy(F.date_trunc("hour", "completed_at").alias("hour"), "task_type").agg(
+        F.count("*").alias("n"), F.sum("duration_ms").alias("total_ms")
+    )
+    starts = F.sequence(
+        F.col("hour") - F.expr(f"INTERVAL {hours - 1} HOURS"), F.col("hour"), F.expr("INTERVAL 1 HOUR")
+    )
+    return hourly.withColumn("window_start", F.explode(starts)).groupBy("window_start", "task_type").agg(
+        F.sum("n").alias("n"), F.sum("total_ms").alias("total_ms")
+    )
+
+
 def path_mix(tasks: DataFrame, since: Column | None = None) -> DataFrame:
     rows = tasks.filter((F.col("task_type") == "normalize_event") & F.col("normalizer_path").isNotNull())
     if since is not None:
@@ -292,17 +326,43 @@ def pipeline_status(tasks: DataFrame, as_of: Column) -> DataFrame:
     ).orderBy("ord")
 
 
+def pipeline_overall(status: DataFrame) -> DataFrame:
+    """One row: failed if any stage is, else running, else pending, else healthy."""
+    def any_is(name):
+        return F.count_if(F.col("status") == name) > 0
+
+    return status.agg(
+        F.when(any_is("failed"), "failed").when(any_is("running"), "running").when(any_is("pending"), "pending")
+        .otherwise("healthy").alias("overall")
+    )
+
+
+def stage_share(tasks: DataFrame) -> DataFrame:
+    """Queued tasks (pending or running) per stage and their share of the whole queue."""
+    matrix = stage_matrix(tasks).select("task_type", (F.col("pending") + F.col("running")).alias("queued"))
+    total = F.sum("queued").over(Window.partitionBy())  # one row per stage
+    return matrix.withColumn("share", F.when(total > 0, F.round(F.col("queued") / total, 4)))
+
+
+def threat_share(offices: DataFrame) -> DataFrame:
+    """All offices and the percentage of them that is not ok."""
+    share = F.round(F.lit(100.0) * F.count_if(F.col("status") != "ok") / F.count("*"), 1)
+    return offices.agg(F.count("*").alias("all"), share.alias("threat_pct"))
+
+
+def lookup(wanted: DataFrame, known: DataFrame, key: str) -> DataFrame:
+    """Which of many keys are known, in one join; every wanted row stays."""
+    there = known.select(key).distinct().withColumn("known", F.lit(True))
+    return wanted.join(there, key, "left").withColumn("known", F.coalesce("known", F.lit(False)))
+
+
 def activity_feed(
     raw: DataFrame, parsed: DataFrame, impacts: DataFrame, notifications: DataFrame,
     tasks: DataFrame, offices: DataFrame, limit: int = 30,
 ) -> DataFrame:
-    """Newest items of five kinds; each kind is capped first, then the whole feed."""
-    cap = limit // 3 + 5
+    """The newest items over five kinds."""
     names = offices.select(F.col("id").alias("office_id"), F.col("name").alias("office_name"))
 
-    def newest(df, ts):
-        return df.orderBy(F.desc(ts), F.desc("id")).limit(cap)
-
     def items(df, prefix, kind, severity, source, message, ts):
         return df.select(
             F.concat(F.lit(prefix + "-"), F.col("id").cast("string")).alias("id"),
@@ -316,21 +376,20 @@ def activity_feed(
         F.coalesce("location_street", F.lit("")),
     ))
     feeds = [
-        items(newest(raw, "fetched_at"), "raw", "RawFetched", F.lit("info"),
+        items(raw, "raw", "RawFetched", F.lit("info"),
               F.coalesce("source_id", "source_url"),
               F.concat(F.lit("Fetched "), size, F.lit(" bytes from "), F.col("source_type")), "fetched_at"),
-        items(newest(parsed, "extracted_at"), "parsed", "RawParsed", F.lit("success"),
+        items(parsed, "parsed", "RawParsed", F.lit("success"),
               F.col("source_id"), place, "extracted_at"),
-        items(newest(impacts.join(names, "office_id"), "detected_at"), "impact", "OfficeImpactDetected",
+        items(impacts.join(names, "office_id"), "impact", "OfficeImpactDetected",
               F.when(F.col("impact_level") == "high", "error").otherwise("warning"), F.col("office_name"),
               F.concat(F.col("office_name"), F.lit(": "), F.col("match_strategy"), F.lit(" match")), "detected_at"),
-        items(newest(notifications.join(names, "office_id"), "emitted_at"), "notification", "NotificationEmitted",
+        items(notifications.join(names, "office_id"), "notification", "NotificationEmitted",
               F.when(F.col("status") == "sent", "success").otherwise("warning"), F.col("office_name"),
               F.col("summary"), "emitted_at"),
-        items(newest(tasks.filter((F.col("status") == "failed") & R.not_system_failure(F.col("status"), F.col("error"))),
-                     "updated_at"),
+        items(tasks.filter((F.col("status") == "failed") & R.not_system_failure(F.col("status"), F.col("error"))),
               "task", "TaskFailed", F.lit("error"), F.col("task_type"),
-              F.substring(F.coalesce(F.nullif("error", F.lit("")), F.lit("task failed")), 1, 200), "updated_at"),
+              F.coalesce(F.nullif("error", F.lit("")), F.lit("task failed")), "updated_at"),
     ]
     out = feeds[0]
     for f in feeds[1:]:
@@ -558,7 +617,3 @@ def current_depth(points: DataFrame) -> DataFrame:
 
 def page(df: DataFrame, order: list[Column], limit: int, offset: int = 0) -> DataFrame:
     return df.orderBy(*order).offset(offset).limit(limit)
-
-
-def latest_by(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
-    return latest_per_key(df, keys, order)

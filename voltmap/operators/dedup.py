@@ -1,7 +1,7 @@
 """Merging events that describe the same outage.
 
-Events with the same address key and compatible type merge when their windows
-overlap within 15 minutes.  The result is the transitive closure (islands of
+Events of one parsed record are one event.  Events with the same address key and
+compatible type merge when their windows overlap within 15 minutes.  The result is the transitive closure (islands of
 touching intervals), so it does not depend on arrival order.
 
 Scale: a hot address may hold a third of all events.  Its timeline is cut into
@@ -18,15 +18,32 @@ from pyspark.sql import functions as F
 from voltmap import constants as K
 from voltmap.functions import rules as R
 from voltmap.functions.hashing import content_id
+from voltmap.session import cut
 
 SLICE_SECONDS = 3600
 
 
 def address_group() -> Column:
-    """Merge key: canonical key, or the raw text in a namespace of its own."""
+    """Merge key: canonical key, or the raw text in a namespace of its own.
+
+    An event with neither has no address to share and stands alone.
+    """
     return F.coalesce(
         F.concat(F.lit("k:"), F.nullif(F.col("location_normalized"), F.lit(""))),
         F.concat(F.lit("r:"), F.col("location_raw")),
+        F.concat(F.lit("e:"), F.col("event_id")),
+    )
+
+
+def type_key() -> Column:
+    """Merge key of the type; events without one are compatible with each other."""
+    return F.coalesce(R.type_group(F.col("event_type")), F.lit("?"))
+
+
+def record_unit() -> Column:
+    """Events of one parsed record share a unit, whatever their windows."""
+    return F.coalesce(
+        F.concat(F.lit("p:"), F.col("parsed_record_id")), F.concat(F.lit("e:"), F.col("event_id"))
     )
 
 
@@ -72,21 +89,27 @@ def islands(
 
 
 def with_island(events: DataFrame) -> DataFrame:
-    """Add `group_key`, `type_group`, `start_us`, `end_us` and `island`."""
+    """Add `unit`, `group_key`, `type_group`, `start_us`, `end_us` and `island`.
+
+    A unit takes part with the hull of its windows, at the address and type of its
+    first arrival; all its events get the island of the unit.
+    """
     keyed = events.withColumns(
         {
-            "group_key": address_group(),
-            "type_group": R.type_group(F.col("event_type")),
+            "unit": record_unit(),
             "start_us": F.unix_micros("start_time"),
             "end_us": F.unix_micros(F.coalesce("end_time", "start_time")),
         }
     )
     keys = ["group_key", "type_group"]
-    found = islands(
-        keyed.select(*keys, "start_us", "end_us"), keys, "start_us", "end_us",
-        K.DEDUP_TOLERANCE_SECONDS,
-    )
-    return keyed.join(found, [*keys, "start_us"])
+    first = F.struct("normalized_at", "event_id")
+    units = keyed.groupBy("unit").agg(
+        F.min_by(F.struct(address_group().alias("g"), type_key().alias("t")), first).alias("_k"),
+        F.min("start_us").alias("unit_start"), F.max("end_us").alias("unit_end"),
+    ).select("unit", F.col("_k.g").alias("group_key"), F.col("_k.t").alias("type_group"), "unit_start", "unit_end")
+    found = islands(units.drop("unit"), keys, "unit_start", "unit_end", K.DEDUP_TOLERANCE_SECONDS)
+    placed = units.join(found, [*keys, "unit_start"]).drop("unit_start", "unit_end")
+    return keyed.join(placed, "unit")
 
 
 def merge_events(placed: DataFrame) -> DataFrame:
@@ -109,7 +132,7 @@ def merge_events(placed: DataFrame) -> DataFrame:
         F.max_by("reason", F.when(F.col("reason").isNotNull(), trust)).alias("_reason"),
         F.max_by("trace_id", arrival).alias("trace_id"),
         F.max("normalized_at").alias("normalized_at"),
-        F.count("*").alias("members"),
+        F.sum("members").alias("members") if "members" in placed.columns else F.count("*").alias("members"),
     )
     fields = [F.col(f"_p.{c}").alias(c) for c in payload if c != "reason"]
     return merged.select(
@@ -170,11 +193,43 @@ def audit_rows(placed: DataFrame, merged: DataFrame) -> DataFrame:
 
 def deduplicate(events: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(merged events, their sources as rows, audit rows)."""
-    placed = with_island(events)
+    placed = cut(with_island(events))
     merged = merge_events(placed)
     return merged, event_sources(placed, merged), audit_rows(placed, merged)
 
 
+def merge_into(
+    stored: DataFrame, stored_sources: DataFrame, incoming: DataFrame
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Merge incoming events into stored ones: (events, sources, audit of this merge).
+
+    `stored` and `stored_sources` are results of this function or of `deduplicate`.
+    Only stored events at a touched address, or of a touched parsed record, take part
+    in the merge; all others pass through.
+    """
+    columns = [c for c in incoming.columns if c in stored.columns]
+    old = stored.select(*columns, "members").withColumn("_at", address_group())
+    new = incoming.select(*columns, "sources", F.lit(1).cast("long").alias("members")).withColumn("_at", address_group())
+    same_record = old.select("_at", "parsed_record_id").join(
+        new.filter("parsed_record_id IS NOT NULL").select("parsed_record_id").distinct(), "parsed_record_id", "left_semi"
+    )
+    touched = new.select("_at").unionByName(same_record.select("_at")).distinct()
+    hit = old.join(touched, "_at", "left_semi").withColumn("sources", F.array().cast("array<string>"))
+    placed = cut(with_island(hit.unionByName(new).drop("_at")))
+    merged = merge_events(placed)
+    rest = stored.withColumn("_at", address_group()).join(touched, "_at", "left_anti").drop("_at")
+    keys = ["group_key", "type_group", "island"]
+    moved = placed.select(F.col("event_id").alias("old_id"), *keys).join(merged.select(*keys, "event_id"), keys)
+    carried = (
+        stored_sources.withColumnRenamed("event_id", "old_id").join(moved.select("old_id", "event_id"), "old_id", "left")
+        .select(F.coalesce("event_id", "old_id").alias("event_id"), "source", "seen_at")
+    )
+    sources = carried.unionByName(event_sources(placed, merged)).groupBy("event_id", "source").agg(
+        F.min("seen_at").alias("seen_at")
+    )
+    return rest.unionByName(merged), sources, audit_rows(placed, merged)
+
+
 def new_payloads(incoming: DataFrame, stored: DataFrame) -> DataFrame:
     """Raw payloads whose content is not stored yet, first arrival per content."""
     from voltmap.operators.running import earliest_per_key

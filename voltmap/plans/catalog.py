@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from voltmap import constants as K
 from voltmap.functions import rules as R
 from voltmap.functions import text as X
-from voltmap.functions.hashing import content_hash
+from voltmap.functions.hashing import content_hash, input_hash, parsed_fingerprint
 from voltmap.operators import analytics as N
 from voltmap.operators import dedup, match, normalize, upsert
 from voltmap.operators.running import earliest_per_key, prefix_totals
@@ -276,10 +276,7 @@ def _(t):
     (B.TASKS,),
 )
 def _(t):
-    w = F.window("completed_at", "24 hours", "1 hour").start
-    return t.tasks().groupBy(w.alias("window_start"), "task_type").agg(
-        F.count("*").alias("n"), F.sum("duration_ms").alias("total_ms")
-    ).select(shown("window_start"), "task_type", "n", "total_ms")
+    return N.rolling_totals(t.tasks(), 24).select(shown("window_start"), "task_type", "n", "total_ms")
 
 
 # --- sources and raw records ---------------------------------------------------------
@@ -370,28 +367,28 @@ def _(t):
     (B.SOURCES,),
 )
 def _(t):
-    return payloads.crawl_frontier(t.sources(), ts(O_DAY)).select("source_id", F.col("page").cast("long").alias("page"), "url")
+    return payloads.crawl_frontier(t.sources(), ts(O_DAY), max_pages=10, max_days=14).select("source_id", F.col("page").cast("long").alias("page"), "url")
 
 
 @query(
     "raw_content_dedup",
-    "SELECT min(doc_id) AS id, sha256(text) AS content_hash FROM documents GROUP BY text",
+    "SELECT min(doc_id) AS id, sha256(text) AS content_hash FROM documents WHERE text NOT IN "
+    "(SELECT text FROM documents WHERE source = 'src0') GROUP BY text",
 )
 def _(t):
     docs = t.read("documents").select(
-        F.col("doc_id").alias("id"), content_hash("text").alias("content_hash"), F.lit(0).alias("fetched_at")
+        F.col("doc_id").alias("id"), content_hash("text").alias("content_hash"), F.lit(0).alias("fetched_at"), "source"
     )
-    stored = docs.filter(F.lit(False))
-    return dedup.new_payloads(docs, stored).select("id", "content_hash")
+    return dedup.new_payloads(docs, docs.filter("source = 'src0'")).select("id", "content_hash")
 
 
 @query(
     "raw_reparse_ids",
-    "SELECT d.doc_id AS id FROM documents d WHERE d.text IN (SELECT text FROM conversations)",
+    "SELECT d.doc_id AS id FROM documents d WHERE d.text IN (SELECT text FROM documents WHERE source = 'src0')",
 )
 def _(t):
     stored = t.read("documents").select(F.col("doc_id").alias("id"), content_hash("text").alias("content_hash"))
-    incoming = t.read("conversations").select(content_hash("text").alias("content_hash"))
+    incoming = t.read("documents").filter("source = 'src0'").select(content_hash("text").alias("content_hash"))
     return dedup.repeated_payloads(incoming, stored)
 
 
@@ -433,7 +430,7 @@ _RAW_ORDERS = """ordered AS (SELECT o_orderkey AS k, o_custkey, o_orderdate, o_o
 
 
 def _json_raw(t: Tables, items) -> DataFrame:
-    return t.spread("orders").select(
+    return t.dealt("orders", "o_orderkey").select(
         F.col("o_orderkey").cast("string").alias("id"), F.col("o_custkey").cast("string").alias("source_id"),
         F.to_json(F.array(items)).alias("raw_content"), F.lit("t").alias("trace_id"),
         F.col("o_orderdate").cast("timestamp").alias("fetched_at"),
@@ -494,7 +491,7 @@ def _html_raw(t: Tables) -> DataFrame:
         p("t3", "Время:", F.when(k % 5 == 0, "всю ночь").when(k % 5 == 1, "с 22:00 до 3:15").otherwise("с 9:05 до 16:00")),
         p("t4", "Причина:", F.lit("ремонт")), p("t5", "Что:", F.lit("ТП-1")), F.lit("</td></tr></table>"),
     )
-    return t.spread("orders").select(
+    return t.dealt("orders", "o_orderkey").select(
         k.cast("string").alias("id"), F.col("o_custkey").cast("string").alias("source_id"), td.alias("raw_content"),
         F.lit("t").alias("trace_id"), F.col("o_orderdate").cast("timestamp").alias("fetched_at"),
         F.create_map(F.lit("date_filter_days"), F.lit("400")).alias("parser_profile"),
@@ -671,13 +668,13 @@ def _(t):
 
 @query(
     "canonical_keys",
-    # A range left in the street gives its last number when no building is given.
-    "SELECT DISTINCT r || '|' || p || '|' || CASE t WHEN 4 THEN '' WHEN 3 THEN CAST(h + 4 AS VARCHAR) ELSE CAST(h AS VARCHAR) END AS key "
-    "FROM parsed WHERE t <> 5", (B.PARSED,),
+    # A range left in the street gives its last number when no building is given; no text, no key.
+    "SELECT DISTINCT CASE WHEN t <> 5 THEN r || '|' || p || '|' || CASE t WHEN 4 THEN '' WHEN 3 THEN CAST(h + 4 AS VARCHAR) ELSE CAST(h AS VARCHAR) END END AS key "
+    "FROM parsed", (B.PARSED,),
 )
 def _(t):
     houses = F.try_element_at("extra", F.lit("houses"))
-    rows = t.parsed().filter("location_street IS NOT NULL")
+    rows = t.parsed()
     return normalize.with_canonical_key(
         rows, F.col("location_city"), F.col("location_street"), houses, "key"
     ).select("key").distinct()
@@ -884,7 +881,8 @@ def _(t):
     """SELECT CASE WHEN o % 2 = 0 THEN 'old-' || o ELSE 'new-' || first END AS id, 'fp-' || o AS fingerprint,
  CASE WHEN last IS NULL THEN 'stored' ELSE 'line ' || last END AS reason FROM (
  SELECT o_orderkey AS o, min(l_linenumber) AS first, max(l_linenumber) AS last FROM orders LEFT JOIN
- (SELECT l_orderkey, l_linenumber FROM lineitem) ON l_orderkey = o_orderkey GROUP BY 1) WHERE o % 2 = 0 OR last IS NOT NULL""",
+ (SELECT l_orderkey, l_linenumber FROM lineitem) ON l_orderkey = o_orderkey GROUP BY 1) WHERE o % 2 = 0 OR last IS NOT NULL
+ UNION ALL SELECT 'gone-' || o_orderkey, 'other-' || o_orderkey, 'stored' FROM orders WHERE o_orderkey % 2 <> 0""",
 )
 def _(t):
     target = t.read("orders").selectExpr(
@@ -895,7 +893,7 @@ def _(t):
         "concat('new-', l_linenumber) AS id", "concat('fp-', l_orderkey) AS fingerprint",
         "concat('line ', l_linenumber) AS reason", "l_linenumber AS pos",
     )
-    return upsert.upsert_parsed(target, incoming, ["pos"]).filter("fingerprint LIKE 'fp-%'")
+    return upsert.upsert_parsed(target, incoming, ["pos"])
 
 
 @query(
@@ -1102,7 +1100,7 @@ def _(t):
 
 @query(
     "confidence_histogram",
-    "SELECT count(*) FILTER (c >= 0.8) AS high, count(*) FILTER (c >= 0.5 AND c < 0.8) AS medium, count(*) FILTER (c < 0.5) AS low, count(*) AS total "
+    "SELECT count(*) FILTER (c >= 0.8) AS high, count(*) FILTER (c >= 0.5 AND c < 0.8) AS medium, count(*) FILTER (c < 0.5) AS low, count(*) AS total, round(avg(c), 3) AS average_confidence "
     "FROM (SELECT CAST(event_id % 10 AS DOUBLE) / 10 AS c FROM events)",
 )
 def _(t):
@@ -1111,9 +1109,9 @@ def _(t):
 
 @query(
     "normalization_quality",
-    f"""SELECT h.*, round(a, 3) AS average_confidence, p AS parsed_total FROM (SELECT count(*) FILTER (c >= 0.8) AS high,
- count(*) FILTER (c >= 0.5 AND c < 0.8) AS medium, count(*) FILTER (c < 0.5) AS low, count(*) AS normalized_count FROM (SELECT CAST(event_id % 10 AS DOUBLE) / 10 AS c FROM events)) h,
- (SELECT avg(c) AS a FROM (SELECT CAST(event_id % 10 AS DOUBLE) / 10 AS c FROM events ORDER BY ts DESC, CAST(event_id AS VARCHAR) DESC LIMIT 1000)),
+    f"""SELECT h.*, p AS parsed_total FROM (SELECT count(*) FILTER (c >= 0.8) AS high,
+ count(*) FILTER (c >= 0.5 AND c < 0.8) AS medium, count(*) FILTER (c < 0.5) AS low, count(*) AS normalized_count,
+ round(avg(c), 3) AS average_confidence FROM (SELECT CAST(event_id % 10 AS DOUBLE) / 10 AS c FROM events)) h,
  (SELECT count(*) AS p FROM orders WHERE o_orderdate >= TIMESTAMP '{O_DAY}' - INTERVAL 720 HOUR)""",
 )
 def _(t):
@@ -1149,12 +1147,11 @@ def _(t):
 @query(
     "activity_feed",
     f"""SELECT id, type, severity, {sql_ts('u.happened', 'happened_at')} FROM (
- (SELECT 'raw-' || id AS id, 'RawFetched' AS type, 'info' AS severity, fetched_at AS happened FROM raw ORDER BY fetched_at DESC, raw.id DESC LIMIT 15) UNION ALL
- (SELECT 'parsed-' || k, 'RawParsed', 'success', extracted_at FROM parsed ORDER BY extracted_at DESC, CAST(k AS VARCHAR) DESC LIMIT 15) UNION ALL
- (SELECT 'impact-' || i.id, 'OfficeImpactDetected', CASE WHEN severity = 'high' THEN 'error' ELSE 'warning' END, detected_at FROM impacts i JOIN offices o ON i.office_id = o.id
-  ORDER BY detected_at DESC, i.id DESC LIMIT 15) UNION ALL
- (SELECT 'notification-' || i.id, 'NotificationEmitted', 'success', impact_start FROM impacts i JOIN offices o ON i.office_id = o.id ORDER BY impact_start DESC, i.id DESC LIMIT 15) UNION ALL
- (SELECT 'task-' || id, 'TaskFailed', 'error', updated_at FROM shown WHERE status = 'failed' ORDER BY updated_at DESC, shown.id DESC LIMIT 15)) u
+ (SELECT 'raw-' || id AS id, 'RawFetched' AS type, 'info' AS severity, fetched_at AS happened FROM raw) UNION ALL
+ (SELECT 'parsed-' || k, 'RawParsed', 'success', extracted_at FROM parsed) UNION ALL
+ (SELECT 'impact-' || i.id, 'OfficeImpactDetected', CASE WHEN severity = 'high' THEN 'error' ELSE 'warning' END, detected_at FROM impacts i JOIN offices o ON i.office_id = o.id) UNION ALL
+ (SELECT 'notification-' || i.id, 'NotificationEmitted', 'success', impact_start FROM impacts i JOIN offices o ON i.office_id = o.id) UNION ALL
+ (SELECT 'task-' || id, 'TaskFailed', 'error', updated_at FROM shown WHERE status = 'failed')) u
 ORDER BY u.happened DESC, id DESC LIMIT 30""",
     (B.RAW, B.PARSED, B.IMPACTS, B.OFFICES, B.SHOWN_TASKS),
 )
@@ -1220,3 +1217,255 @@ def _(t):
 def _(t):
     ext = F.concat(F.lit("id "), F.col("page_id").cast("string"))
     return t.read("pages").select("page_id", R.record_url(F.col("url"), ext, "example.com").alias("link"))
+
+
+# --- merging into stored events, repeated records -------------------------------------------
+
+
+@query(
+    "merge_incoming_events",
+    """SELECT CAST(user_id AS VARCHAR) AS address, strftime(min(start_time), '%Y-%m-%d %H:%M:%S') AS start_time,
+ strftime(max(end_time), '%Y-%m-%d %H:%M:%S') AS end_time, max(confidence) AS confidence, count(*) AS members,
+ count(DISTINCT source) AS sources FROM placed GROUP BY user_id, type_group, island""",
+    (B.OUTAGES,),
+)
+def _(t):
+    events = t.outage_events()
+    early = F.col("event_id").cast("long") % 2 == 0
+    stored, stored_sources, _audit = dedup.deduplicate(events.filter(early))
+    merged, sources, _audit = dedup.merge_into(stored, stored_sources, events.filter(~early))
+    counts = sources.groupBy("event_id").agg(F.count("*").alias("sources"))
+    return merged.join(counts, "event_id").select(
+        F.col("location_building").alias("address"), shown("start_time"), shown("end_time"), "confidence", "members",
+        "sources",
+    )
+
+
+_RECORDS = """reports AS (SELECT event_id AS k, event_id // 3 AS record, user_id, ts AS s,
+  ts + to_minutes(CAST(floor(value) AS INT)) AS e FROM events),
+ units AS (SELECT record, arg_min(user_id, k) AS user_id, min(s) AS s, max(e) AS e, count(*) AS n FROM reports GROUP BY 1),
+ opened AS (SELECT *, CASE WHEN s <= max(e) OVER (PARTITION BY user_id ORDER BY s, record
+   ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + INTERVAL 15 MINUTE THEN 0 ELSE 1 END AS opens FROM units),
+ united AS (SELECT *, sum(opens) OVER (PARTITION BY user_id ORDER BY s, record
+   ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS island FROM opened)"""
+
+
+@query(
+    "repeated_records",
+    """SELECT CAST(user_id AS VARCHAR) AS address, strftime(min(s), '%Y-%m-%d %H:%M:%S') AS start_time,
+ strftime(max(e), '%Y-%m-%d %H:%M:%S') AS end_time, CAST(sum(n) AS BIGINT) AS members FROM united GROUP BY user_id, island""",
+    (_RECORDS,),
+)
+def _(t):
+    reports = t.read("events").selectExpr(
+        "lpad(CAST(event_id AS string), 12, '0') AS event_id", "CAST(event_id div 3 AS string) AS parsed_record_id",
+        "CAST(NULL AS string) AS event_type", "CAST(ts AS timestamp) AS start_time",
+        "CAST(ts AS timestamp) + make_interval(0, 0, 0, 0, 0, CAST(floor(value) AS int)) AS end_time",
+        "CAST(user_id AS string) AS location_raw", "CAST(user_id AS string) AS location_normalized",
+        "'city' AS location_city", "'street' AS location_street", "CAST(user_id AS string) AS location_building",
+        "CAST(NULL AS string) AS reason", "array('s') AS sources", "0.5D AS confidence", "'t' AS trace_id",
+        "timestamp '2020-01-01 00:00:00' + make_interval(0, 0, 0, 0, 0, 0, event_id) AS normalized_at",
+    )
+    return dedup.deduplicate(reports)[0].select(
+        F.substring_index("group_key", ":", -1).alias("address"), shown("start_time"), shown("end_time"), "members"
+    )
+
+
+# --- payloads at the edges, hashes, windows, texts --------------------------------------------
+
+
+@query(
+    "payload_edge_cases",
+    """SELECT CAST(o_orderkey AS VARCHAR) AS raw_record_id, strftime(o_orderdate + CASE o_orderkey % 4 WHEN 0 THEN INTERVAL 7 HOUR
+ WHEN 1 THEN INTERVAL 7 HOUR WHEN 2 THEN INTERVAL 10 HOUR ELSE INTERVAL 3 HOUR END, '%Y-%m-%d %H:%M:%S') AS start_time FROM orders""",
+)
+def _(t):
+    k, day = F.col("o_orderkey"), F.date_format("o_orderdate", "yyyy-MM-dd")
+    stamp = (
+        F.when(k % 4 == 0, F.concat(day, F.lit(" 10:00:00+03:00"))).when(k % 4 == 1, F.concat(day, F.lit("T10:00:00+03")))
+        .when(k % 4 == 2, F.concat(day, F.lit("T10:00:00Z"))).otherwise(F.concat(day, F.lit(" 10:00:00")))
+    )
+    item = F.to_json(F.struct(F.lit("c").alias("city"), stamp.alias("shutdownDate")))
+    raw = t.dealt("orders", "o_orderkey").select(
+        k.cast("string").alias("id"), F.lit("s").alias("source_id"), F.lit("t").alias("trace_id"),
+        F.concat(F.lit("\n\t ["), item, F.lit(", 7, null]")).alias("raw_content"),
+        F.col("o_orderdate").cast("timestamp").alias("fetched_at"),
+        F.create_map(F.lit("date_filter_days"), F.lit("100000")).alias("parser_profile"),
+    )
+    return payloads.parse_format_two(raw, ts("1900-01-01 00:00:00")).select("raw_record_id", shown("start_time"))
+
+
+@query(
+    "parsed_fingerprints",
+    """SELECT CAST(k AS VARCHAR) AS id, sha256('{"external_id":"' || k || '","source_id":"' || o_custkey || '"}') AS fingerprint FROM parsed""",
+    (B.PARSED,),
+)
+def _(t):
+    return t.parsed().select("id", parsed_fingerprint().alias("fingerprint"))
+
+
+@query(
+    "content_fingerprints",
+    """SELECT doc_id AS id, sha256('{"city":"' || lang || '","district":null,"end_time":null,"extra":"{\\"a\\":\\"1\\",\\"b\\":\\"' || n_chars
+ || '\\"}","reason":null,"region":null,"source_id":null,"start_time":"2020-01-01T00:00:00.000000","street":"' || source || '"}') AS fingerprint FROM documents""",
+)
+def _(t):
+    null = F.lit(None).cast("string")
+    rows = t.read("documents").select(
+        F.col("doc_id").alias("id"), null.alias("external_id"), null.alias("source_id"), F.col("lang").alias("location_city"),
+        null.alias("location_district"), F.lit(None).cast("timestamp").alias("end_time"), null.alias("reason"),
+        F.create_map(F.lit("b"), F.col("n_chars").cast("string"), F.lit("a"), F.lit("1")).alias("extra"),
+        null.alias("location_region_code"), ts("2020-01-01 00:00:00").alias("start_time"), F.col("source").alias("location_street"),
+    )
+    return rows.select("id", parsed_fingerprint().alias("fingerprint"))
+
+
+@query(
+    "task_input_hashes",
+    """SELECT id, sha256('{' || CASE WHEN source_id IS NULL THEN '' ELSE '"payload":"{\\"source_id\\":\\"' || source_id || '\\"}",' END
+ || '"task_type":"' || task_type || '"}') AS input_hash FROM tasks""",
+    (B.TASKS,),
+)
+def _(t):
+    return t.tasks().select("id", input_hash(F.col("task_type"), F.col("payload")).alias("input_hash"))
+
+
+@query(
+    "window_relations",
+    """SELECT event_id AS id, s <= coalesce(f, b) + INTERVAL 15 MINUTE AND b <= coalesce(e, s) + INTERVAL 15 MINUTE AS overlap,
+ abs(epoch(s - b)) <= 900 AND CASE WHEN e IS NULL OR f IS NULL THEN e IS NULL AND f IS NULL ELSE abs(epoch(e - f)) <= 900 END AS close FROM (
+ SELECT event_id, ts AS s, CASE WHEN event_id % 4 <> 0 THEN ts + INTERVAL 30 MINUTE END AS e, ts + to_minutes(CAST(event_id % 60 AS INT)) AS b,
+ CASE WHEN event_id % 3 <> 0 THEN ts + to_minutes(CAST(event_id % 90 + 20 AS INT)) END AS f FROM events)""",
+)
+def _(t):
+    rows = t.read("events").selectExpr(
+        "event_id AS id", "CAST(ts AS timestamp) AS s",
+        "CASE WHEN event_id % 4 <> 0 THEN CAST(ts AS timestamp) + INTERVAL 30 MINUTES END AS e",
+        "CAST(ts AS timestamp) + make_interval(0, 0, 0, 0, 0, CAST(event_id % 60 AS int)) AS b",
+        "CASE WHEN event_id % 3 <> 0 THEN CAST(ts AS timestamp) + make_interval(0, 0, 0, 0, 0, CAST(event_id % 90 + 20 AS int)) END AS f",
+    )
+    four = [F.col(c) for c in "sebf"]
+    return rows.select("id", R.windows_overlap(*four).alias("overlap"), R.windows_close(*four).alias("close"))
+
+
+@query(
+    "relative_times",
+    f"""SELECT id, CASE WHEN z < 60 THEN 'just now' WHEN z < 3600 THEN CAST(floor(z / 60 + 0.5) AS BIGINT) || 'm ago'
+ WHEN z < 86400 THEN CAST(floor(z / 3600 + 0.5) AS BIGINT) || 'h ago' ELSE CAST(floor(z / 86400 + 0.5) AS BIGINT) || 'd ago' END AS ago,
+ CASE WHEN n < 60 THEN n || 's' WHEN n < 3600 THEN CAST(floor(n / 60.0 + 0.5) AS BIGINT) || 'm' ELSE CAST(floor(n / 3600.0 + 0.5) AS BIGINT) || 'h' END AS every,
+ (id % 101) || '%' AS sure FROM (SELECT event_id AS id, epoch(TIMESTAMP '{E_DAY}' + INTERVAL 400 DAY - ts) AS z, event_id % 9000 AS n FROM events)""",
+)
+def _(t):
+    now = ts(E_DAY) + F.expr("INTERVAL 400 DAYS")
+    k = F.col("event_id")
+    return t.read("events").select(
+        k.alias("id"), X.format_relative(F.col("ts").cast("timestamp"), now).alias("ago"),
+        X.format_interval(k % 9000).alias("every"), X.format_confidence((k % 101) / F.lit(100.0)).alias("sure"),
+    )
+
+
+@query(
+    "alert_texts",
+    """SELECT CAST(o_orderkey AS VARCHAR) AS id, concat_ws(chr(10), 'Отключение электроэнергии', '', 'Офис: ' || o_clerk_, 'Локация: loc ' || o_custkey,
+ 'Причина: ' || CASE WHEN o_orderkey % 3 = 0 THEN 'не указана' ELSE o_orderpriority END,
+ 'Начало: ' || strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') || '+00:00',
+ 'Окончание: ' || CASE WHEN o_orderkey % 2 = 0 THEN 'не указано' ELSE strftime(o_orderdate + INTERVAL 1 DAY, '%Y-%m-%dT%H:%M:%S') || '+00:00' END,
+ 'Уровень: high', 'Матчинг: ' || o_orderstatus, 'Event ID: ' || o_orderkey) AS alert,
+ o_clerk_ || ': отключение затрагивает loc ' || o_custkey || '. Окно: ' || strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') || '+00:00 - '
+ || CASE WHEN o_orderkey % 2 = 0 THEN 'без окончания' ELSE strftime(o_orderdate + INTERVAL 1 DAY, '%Y-%m-%dT%H:%M:%S') || '+00:00' END
+ || '. Матчинг: ' || o_orderstatus || '.' AS summary FROM (SELECT *, 'office ' || o_custkey AS o_clerk_ FROM orders)""",
+)
+def _(t):
+    k = F.col("o_orderkey")
+    office, place = (F.concat(F.lit(x), F.col("o_custkey").cast("string")) for x in ("office ", "loc "))
+    start = F.col("o_orderdate").cast("timestamp")
+    end = F.when(k % 2 != 0, start + F.expr("INTERVAL 1 DAY"))
+    reason = F.when(k % 3 != 0, F.col("o_orderpriority"))
+    return t.read("orders").select(
+        k.cast("string").alias("id"),
+        R.alert_text(office, place, reason, start, end, F.lit("high"), F.col("o_orderstatus"), k.cast("string")).alias("alert"),
+        R.summary_text(office, place, start, end, F.col("o_orderstatus")).alias("summary"),
+    )
+
+
+@query(
+    "newest_cities",
+    "SELECT n_nationkey % 7 AS id, max(n_nationkey) AS pos FROM nation WHERE n_regionkey IN (0, 2, 3) GROUP BY 1",
+)
+def _(t):
+    rows = t.read("nation").selectExpr(
+        "n_nationkey % 7 AS id", "CAST(n_regionkey AS string) AS area_name", "n_nationkey AS pos"
+    )
+    return documents.distinct_cities(rows, ["0", "2", "3"], [F.col("pos")]).select("id", "pos")
+
+
+@query(
+    "change_samples",
+    """(SELECT 'added' AS kind, event_id AS id FROM events WHERE event_id % 3 = 0 AND event_id % 2 = 1 ORDER BY event_id LIMIT 25) UNION ALL
+ (SELECT 'changed', event_id FROM events WHERE event_id % 3 <> 0 AND event_id % 2 = 1 AND event_id % 5 = 0 ORDER BY event_id LIMIT 25)""",
+)
+def _(t):
+    rows = t.read("events").selectExpr(
+        "event_id AS id", "CASE WHEN event_id % 3 <> 0 THEN 'a' END AS auto_key",
+        "CASE WHEN event_id % 2 = 1 THEN CASE WHEN event_id % 5 = 0 THEN 'b' ELSE 'a' END END AS combined_key",
+    )
+    return N.change_samples(rows, 25, [F.col("id")]).select("kind", "id")
+
+
+@query(
+    "silence_transitions",
+    """SELECT source_id, strftime(moment, '%Y-%m-%d %H:%M:%S') AS moment, event_type FROM (
+ SELECT s.id AS source_id, f.seen + to_seconds(3 * s.poll_interval_seconds) AS moment, 'parser.silent' AS event_type FROM sources s JOIN gaps f ON f.k = s.id
+  WHERE s.is_active AND epoch(coalesce(f.nxt, TIMESTAMP '2010-01-01 00:00:00') - f.seen) > 3 * s.poll_interval_seconds
+ UNION ALL SELECT s.id, f.nxt, 'parser.recovered' FROM sources s JOIN gaps f ON f.k = s.id
+  WHERE s.is_active AND f.nxt IS NOT NULL AND epoch(f.nxt - f.seen) > 3 * s.poll_interval_seconds
+ UNION ALL SELECT id, created_at + to_seconds(3 * poll_interval_seconds), 'parser.silent' FROM sources
+  WHERE is_active AND id NOT IN (SELECT k FROM gaps) AND created_at + to_seconds(3 * poll_interval_seconds) < TIMESTAMP '2010-01-01 00:00:00')""",
+    (B.SOURCES, "gaps AS (SELECT CAST(l_suppkey AS VARCHAR) AS k, l_shipdate AS seen, lead(l_shipdate) OVER (PARTITION BY l_suppkey "
+     "ORDER BY l_shipdate) AS nxt FROM (SELECT DISTINCT l_suppkey, l_shipdate FROM lineitem))"),
+)
+def _(t):
+    found = N.silence_transitions(t.sources(), t.raw().filter(F.col("fetched_at") <= ts("2010-01-01 00:00:00")), ts("2010-01-01 00:00:00"))
+    return found.select("source_id", shown("at", "moment"), "event_type")
+
+
+@query(
+    "pipeline_overall",
+    """SELECT CASE WHEN bool_or(failed > 0 AND failed >= (done + running) / 4.0) THEN 'failed' WHEN bool_or(running > 0) THEN 'running'
+ WHEN bool_or(pending > 0 OR done = 0) THEN 'pending' ELSE 'healthy' END AS overall FROM (SELECT t.task_type, coalesce(pending, 0) AS pending, coalesce(running, 0) AS running,
+ coalesce(done, 0) AS done, coalesce(failed, 0) AS failed FROM (VALUES ('fetch_source'),('parse_content'),('normalize_event'),('deduplicate_event'),('match_offices'),('emit_event')) t(task_type)
+ LEFT JOIN (SELECT task_type, count(*) FILTER (status = 'pending') AS pending, count(*) FILTER (status = 'running') AS running,
+  count(*) FILTER (status = 'done') AS done, count(*) FILTER (status = 'failed') AS failed FROM shown GROUP BY 1) m ON m.task_type = t.task_type)""",
+    (B.SHOWN_TASKS,),
+)
+def _(t):
+    return N.pipeline_overall(N.pipeline_status(t.tasks(), ts(E_DAY)))
+
+
+@query(
+    "queue_stage_share",
+    """SELECT task_type, count(*) FILTER (status IN ('pending', 'running')) AS queued,
+ round(count(*) FILTER (status IN ('pending', 'running')) / sum(count(*) FILTER (status IN ('pending', 'running'))) OVER (), 4) AS share FROM shown GROUP BY 1""",
+    (B.SHOWN_TASKS,),
+)
+def _(t):
+    return N.stage_share(t.tasks())
+
+
+@query(
+    "threat_share",
+    "SELECT count(*) AS \"all\", round(100.0 * count(*) FILTER (status <> 'ok') / count(*), 1) AS threat_pct FROM by_office",
+    (B.IMPACTS, B.OFFICES, _MAP),
+)
+def _(t):
+    return N.threat_share(N.map_offices(_map_rows(t)))
+
+
+@query(
+    "many_key_lookup",
+    "SELECT s_suppkey, c_custkey IS NOT NULL AS known FROM supplier LEFT JOIN (SELECT c_custkey FROM customer WHERE c_custkey % 3 = 0) ON s_suppkey = c_custkey",
+)
+def _(t):
+    wanted = t.read("supplier").select("s_suppkey")
+    known = t.read("customer").filter("c_custkey % 3 = 0").select(F.col("c_custkey").alias("s_suppkey"))
+    return N.lookup(wanted, known, "s_suppkey").select("s_suppkey", "known")

@@ -46,17 +46,6 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Use all cores for data of few files; larger inputs keep their partitions.
-
-    For CPU-bound work only.  A small file is read by one task, which would leave
-    the other cores idle through every row-local step after it.  Apply it after
-    joins: a join's own exchange would replace the partitioning.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df
-
-
 def shared_folder(spark: SparkSession) -> str:
     """The checkpoint folder that driver and executors share.
 

@@ -15,20 +15,29 @@ from voltmap.functions.hashing import content_hash, content_id
 from voltmap.functions.text import blank_to_null, split_locality, strip
 
 FORMAT_ONE = (
-    "array<struct<id:string,date_start:string,date_finish:string,time_start:string,"
-    "time_finish:string,gorod:string,raion:string,street:string,region:string,res:string,f_otkl:string>>"
+    "struct<id:string,date_start:string,date_finish:string,time_start:string,"
+    "time_finish:string,gorod:string,raion:string,street:string,region:string,res:string,f_otkl:string>"
 )
 FORMAT_TWO = (
-    "array<struct<region:string,city:string,street:string,commaSeparatedHouses:string,"
-    "shutdownDate:string,restoreDate:string,type:string>>"
+    "struct<region:string,city:string,street:string,commaSeparatedHouses:string,"
+    "shutdownDate:string,restoreDate:string,type:string>"
 )
 
 
-def read_raw(spark: SparkSession, path: str, source_type: str, fetched_at: Column) -> DataFrame:
-    """Payload files, one row each; files over the size limit are left out."""
+def read_raw(
+    spark: SparkSession, path: str, source_type: str, fetched_at: Column, max_bytes: int | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """(payload files, one row each; refused files with their length and the reason).
+
+    Nothing is refused unless `max_bytes` is given.
+    """
     files = spark.read.format("binaryFile").load(path)
     content = F.decode("content", "UTF-8")
-    return files.filter(F.col("length") <= K.MAX_PAYLOAD_BYTES).select(
+    over = F.lit(False) if max_bytes is None else F.col("length") > max_bytes
+    refused = files.filter(over).select(
+        F.col("path").alias("source_url"), "length", F.lit(f"payload over {max_bytes} bytes").alias("error")
+    )
+    return files.filter(~over).select(
         content_id(F.col("path"), content_hash(content)).alias("id"),
         F.lit(None).cast("string").alias("source_id"),
         F.col("path").alias("source_url"),
@@ -37,7 +46,7 @@ def read_raw(spark: SparkSession, path: str, source_type: str, fetched_at: Colum
         content_hash(content).alias("content_hash"),
         fetched_at.alias("fetched_at"),
         content_id(F.lit("trace"), F.col("path")).alias("trace_id"),
-    )
+    ), refused
 
 
 def profile_int(key: str, default: int) -> Column:
@@ -46,11 +55,16 @@ def profile_int(key: str, default: int) -> Column:
 
 
 def _items(raw: DataFrame, fmt: str) -> DataFrame:
-    """Explode a JSON array payload; anything else yields no rows."""
-    is_list = F.ltrim("raw_content").startswith("[")
-    return raw.filter(is_list).select(
-        "*", F.posexplode(F.from_json("raw_content", fmt)).alias("pos", "item")
-    ).filter(F.col("item").isNotNull())
+    """Explode a JSON array payload; anything else yields no rows.
+
+    Elements are read one by one, so one that is no object does not lose the others.
+    """
+    texts = F.from_json("raw_content", "array<string>")
+    exploded = raw.filter(F.col("raw_content").rlike(r"^\s*\[")).select("*", F.posexplode(texts).alias("pos", "_text"))
+    is_object = F.col("_text").rlike(r"^\s*\{")
+    return exploded.filter(is_object).withColumn("item", F.from_json("_text", fmt)).drop("_text").filter(
+        F.col("item").isNotNull()
+    )
 
 
 def _record(**columns: Column) -> list[Column]:
@@ -188,16 +202,26 @@ def parse(raw: DataFrame, as_of: Column, parsers: dict | None = None) -> tuple[D
     return out, unknown
 
 
-def crawl_frontier(sources: DataFrame, as_of: Column) -> DataFrame:
-    """One row per active source and page, with date and page parameters added."""
+def crawl_frontier(
+    sources: DataFrame, as_of: Column, max_pages: int | None = None, max_days: int | None = None
+) -> DataFrame:
+    """One row per active source and page, with date and page parameters added.
+
+    Profile keys that begin with 'date_param.' name date parameters of any kind, next to
+    'date_start' and 'date_end'; page settings may stand under 'paginate.' too.  Pages and
+    days are as the profile says, unless bounded by the arguments.
+    """
     profile = F.col("parser_profile")
 
     def setting(key):
         return F.try_element_at(profile, F.lit(key))
 
-    window = R.bounded_int(setting("date_filter_days"), K.DEFAULT_DATE_FILTER_DAYS, 0, K.MAX_DATE_FILTER_DAYS)
-    pages = R.bounded_int(setting("max_pages"), K.DEFAULT_MAX_PAGES, 1, K.MAX_PAGES)
-    paged = F.coalesce(setting("page_param"), setting("max_pages")).isNotNull()
+    def page_setting(key):
+        return F.coalesce(setting(key), setting(f"paginate.{key}"))
+
+    window = R.bounded_int(setting("date_filter_days"), K.DEFAULT_DATE_FILTER_DAYS, 0, max_days)
+    pages = R.bounded_int(page_setting("max_pages"), K.DEFAULT_MAX_PAGES, 1, max_pages)
+    paged = F.coalesce(page_setting("page_param"), page_setting("max_pages")).isNotNull()
     day = F.to_date(as_of)
 
     def param(url, name, value):
@@ -206,20 +230,24 @@ def crawl_frontier(sources: DataFrame, as_of: Column) -> DataFrame:
         mark = F.when(base.endswith("?"), "").when(base.contains("?"), "&").otherwise("?")
         return F.when(value.isNotNull(), F.concat(base, mark, pair, fragment)).otherwise(url)
 
-    def date_value(key):
-        template = setting(key)
+    def date_value(template):
         return (
             F.when(template == "today", F.date_format(day, "dd.MM.yyyy"))
             .when(template == "today+window", F.date_format(F.date_add(day, window), "dd.MM.yyyy"))
             .otherwise(template)
         )
 
-    dated = param(F.col("url"), F.lit("date_start"), date_value("date_start"))
-    dated = param(dated, F.lit("date_end"), date_value("date_end"))
+    dated = param(F.col("url"), F.lit("date_start"), date_value(setting("date_start")))
+    dated = param(dated, F.lit("date_end"), date_value(setting("date_end")))
+    prefix = "date_param."
+    named = F.array_sort(F.filter(F.map_entries(profile), lambda e: e["key"].startswith(prefix)))
+    dated = F.aggregate(
+        named, dated, lambda url, e: param(url, F.substr(e["key"], F.lit(len(prefix) + 1)), date_value(e["value"]))
+    )
     expanded = sources.filter("is_active").withColumns({"_url": dated, "_paged": paged}).withColumn(
         "page", F.explode(F.sequence(F.lit(1), F.when(F.col("_paged"), pages).otherwise(1)))
     )
-    page_param = F.coalesce(setting("page_param"), F.lit(K.DEFAULT_PAGE_PARAM))
+    page_param = F.coalesce(page_setting("page_param"), F.lit(K.DEFAULT_PAGE_PARAM))
     url = F.when(F.col("_paged"), param(F.col("_url"), page_param, F.col("page").cast("string"))).otherwise(
         F.col("_url")
     )
