@@ -132,3 +132,31 @@ def test_merge(spark):
     assert {(r.incoming_event_id, r.strategy) for r in audit.collect()} == {
         ("e2", "overlap_window"), ("e4", "overlap_window")
     }
+
+
+def test_similar_names_need_few_ratios(spark):
+    import random
+
+    from voltmap.operators import similarity
+
+    rng = random.Random(4)
+    parts = ["лес", "сад", "зар", "кам", "нов", "бел", "мир", "гор", "реч", "пол", "ная", "ова", "ский", "ное", "еч", "ин"]
+    names = ["".join(rng.choice(parts) for _ in range(rng.randint(2, 5))) for _ in range(300)]
+    typos = [n[: len(n) // 2] + rng.choice("абвг") + n[len(n) // 2 + 1 :] for n in names[:100]]
+    left = spark.createDataFrame([("", n) for n in set(names)], "block string, l string")
+    right = spark.createDataFrame([("", n) for n in set(names + typos)], "block string, r string")
+    got = {(r.l, r.r): r.score for r in similarity.similar_pairs(left, right, 0.84).collect()}
+
+    def ratio(a, b):
+        from difflib import SequenceMatcher
+
+        if a == b:
+            return 1.0
+        return 0.93 if a in b or b in a else SequenceMatcher(a=a, b=b).ratio()
+
+    want = {
+        (a, b): ratio(a, b) for a in set(names) for b in set(names + typos) if ratio(a, b) >= 0.84
+    }
+    assert got == want
+    candidates = similarity.fuzzy_candidates(left, right, 0.84).count()
+    assert candidates <= len(set(names)) * len(set(names + typos)) * 0.02

@@ -6,10 +6,12 @@ miss nothing:
 
 * equal texts;
 * containment: the shorter text starts with a gram that occurs in the longer one;
-* ratio >= t: at most k = (1 - t)(la + lb) characters differ, so if one text is
-  cut into k + 1 segments, at least one of them occurs unchanged in the other,
-  shifted by at most k positions.
+* ratio >= t: at least m = t(la + lb)/2 characters match in order, so la - m of one text
+  and lb - m of the other do not.  If one text is cut into k + 2 segments, k being their
+  sum, at least two occur unchanged in the other, at most la - m places to the left and
+  lb - m to the right of where they were.
 
+A candidate must share two segments and m letters in any order before its ratio is computed.
 Only distinct texts take part; the ratio is computed in Arrow batches on
 the surviving pairs.
 """
@@ -33,22 +35,36 @@ def matching_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([SequenceMatcher(a=x, b=y).ratio() for x, y in zip(a, b)], dtype="float64")
 
 
-def _differences(la: Column, lb: Column, cutoff: float) -> Column:
-    return F.floor((la + lb) * F.lit(1.0 - cutoff) + F.lit(1e-6)).cast("int")
+def _unmatched(la: Column, lb: Column, cutoff: float) -> tuple[Column, Column]:
+    """Characters of either text that may stay unmatched."""
+    matched = F.ceil((la + lb) * F.lit(cutoff / 2) - F.lit(1e-6)).cast("int")
+    return la - matched, lb - matched
+
+
+def _cuts(la: Column, lb: Column, cutoff: float) -> Column:
+    """Segments that a text of length la is cut into for a partner of length lb."""
+    da, db = _unmatched(la, lb, cutoff)
+    return F.least(da + db + 2, la)
+
+
+def _lengths(text: str, cutoff: float) -> Column:
+    """Lengths of the possible partners of a text."""
+    n = F.length(text)
+    shortest = F.ceil(n * F.lit(cutoff / (2 - cutoff)) - F.lit(1e-6)).cast("int")
+    longest = F.floor(n * F.lit((2 - cutoff) / cutoff) + F.lit(1e-6)).cast("int")
+    return F.explode(F.sequence(F.greatest(shortest, F.lit(1)), longest))
 
 
 def _segments(df: DataFrame, text: str, cutoff: float) -> DataFrame:
-    """(block, text, other length, segment no, segment) for every possible partner length."""
-    la = F.length(text)
-    shortest = F.ceil(la * F.lit(cutoff / (2 - cutoff)) - F.lit(1e-6)).cast("int")
-    longest = F.floor(la * F.lit((2 - cutoff) / cutoff) + F.lit(1e-6)).cast("int")
-    lengths = df.withColumn("la", la).withColumn(
-        "lb", F.explode(F.sequence(F.greatest(shortest, F.lit(1)), longest))
+    """(block, text, la, lb, segment no, segment) for every possible partner length."""
+    la = F.col("la")
+    cut = (
+        df.withColumn("la", F.length(text)).withColumn("lb", _lengths(text, cutoff))
+        .withColumn("n", _cuts(la, F.col("lb"), cutoff))
+        .withColumn("i", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
     )
-    k = _differences(F.col("la"), F.col("lb"), cutoff)
-    cut = lengths.withColumn("k", k).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("k"))))
-    begin = F.floor(F.col("i") * F.col("la") / (F.col("k") + 1)).cast("int")
-    finish = F.floor((F.col("i") + 1) * F.col("la") / (F.col("k") + 1)).cast("int")
+    begin = F.floor(F.col("i") * la / F.col("n")).cast("int")
+    finish = F.floor((F.col("i") + 1) * la / F.col("n")).cast("int")
     return cut.withColumn("segment", F.substr(F.col(text), begin + 1, finish - begin)).select(
         "block", text, "la", "lb", "i", "segment"
     )
@@ -56,20 +72,19 @@ def _segments(df: DataFrame, text: str, cutoff: float) -> DataFrame:
 
 def _substrings(df: DataFrame, text: str, cutoff: float) -> DataFrame:
     """Every place of `text` where a partner's segment may occur."""
-    lb = F.length(text)
-    shortest = F.ceil(lb * F.lit(cutoff / (2 - cutoff)) - F.lit(1e-6)).cast("int")
-    longest = F.floor(lb * F.lit((2 - cutoff) / cutoff) + F.lit(1e-6)).cast("int")
-    lengths = df.withColumn("lb", lb).withColumn(
-        "la", F.explode(F.sequence(F.greatest(shortest, F.lit(1)), longest))
+    la, lb = F.col("la"), F.col("lb")
+    cut = (
+        df.withColumn("lb", F.length(text)).withColumn("la", _lengths(text, cutoff))
+        .withColumn("n", _cuts(la, lb, cutoff))
+        .withColumn("i", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
     )
-    k = _differences(F.col("la"), F.col("lb"), cutoff)
-    cut = lengths.withColumn("k", k).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("k"))))
-    begin = F.floor(F.col("i") * F.col("la") / (F.col("k") + 1)).cast("int")
-    size = F.floor((F.col("i") + 1) * F.col("la") / (F.col("k") + 1)).cast("int") - begin
-    low = F.greatest(begin - F.col("k"), F.lit(0))
-    high = F.least(begin + F.col("k"), F.col("lb") - size)
+    da, db = _unmatched(la, lb, cutoff)
+    begin = F.floor(F.col("i") * la / F.col("n")).cast("int")
+    size = F.floor((F.col("i") + 1) * la / F.col("n")).cast("int") - begin
+    low = F.greatest(begin - da, F.lit(0))
+    high = F.least(begin + db, lb - size)
     placed = (
-        cut.withColumns({"begin": begin, "size": size, "low": low, "high": high})
+        cut.withColumns({"size": size, "low": low, "high": high})
         .filter("low <= high")
         .withColumn("at", F.explode(F.sequence("low", "high")))
     )
@@ -78,6 +93,29 @@ def _substrings(df: DataFrame, text: str, cutoff: float) -> DataFrame:
     ).distinct()
 
 
+def _common_letters(a: Column, b: Column) -> Column:
+    """Letters that two texts share in any order, each as often as in both."""
+
+    def numbered(text):
+        letters = F.array_sort(F.split(text, ""))
+        return F.transform(letters, lambda c, i: F.concat(c, F.lit(" "), (i - F.array_position(letters, c)).cast("string")))
+
+    return F.size(F.array_intersect(numbered(a), numbered(b)))
+
+
+def fuzzy_candidates(left: DataFrame, right: DataFrame, cutoff: float) -> DataFrame:
+    """Pairs that may reach `cutoff` without being equal or one inside the other."""
+    met = _segments(left, "l", cutoff).join(
+        _substrings(right, "r", cutoff), ["block", "la", "lb", "i", "segment"]
+    ).select("block", "l", "r", "la", "lb", "i").distinct()
+    da, db = _unmatched(F.col("la"), F.col("lb"), cutoff)
+    needed = _cuts(F.col("la"), F.col("lb"), cutoff) - (da + db)
+    shared = met.groupBy("block", "l", "r", "la", "lb").agg(F.count("*").alias("n")).filter(F.col("n") >= needed)
+    return shared.filter("NOT contains(l, r) AND NOT contains(r, l)").filter(
+        _common_letters(F.col("l"), F.col("r")) >= F.col("la") - da
+    ).select("block", "l", "r")
+
+
 def _grams(df: DataFrame, text: str) -> DataFrame:
     """All substrings of up to GRAM characters."""
     n = F.length(text)
@@ -103,9 +141,6 @@ def similar_pairs(left: DataFrame, right: DataFrame, cutoff: float) -> DataFrame
     r_head = right.withColumn("gram", F.substring("r", 1, GRAM))
     inside_right = l_head.join(_grams(right, "r"), ["block", "gram"]).filter("contains(r, l)")
     inside_left = r_head.join(_grams(left, "l"), ["block", "gram"]).filter("contains(l, r)")
-    by_segment = _segments(left, "l", cutoff).join(
-        _substrings(right, "r", cutoff), ["block", "la", "lb", "i", "segment"]
-    )
     exact = F.when(F.col("l") == F.col("r"), 1.0).otherwise(K.CONTAINMENT_SCORE)
     sure = (
         equal.unionByName(inside_right.select("block", "l", "r"))
@@ -115,9 +150,7 @@ def similar_pairs(left: DataFrame, right: DataFrame, cutoff: float) -> DataFrame
         .filter(F.col("score") >= cutoff)
     )
     fuzzy = (
-        by_segment.select("block", "l", "r")
-        .filter("NOT contains(l, r) AND NOT contains(r, l)")
-        .distinct()
+        fuzzy_candidates(left, right, cutoff)
         .withColumn("score", matching_ratio("l", "r"))
         .filter(F.col("score") >= cutoff)
     )
