@@ -113,21 +113,23 @@ def with_edits(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
     rows = given.count()
     cores = docs.sparkSession.sparkContext.defaultParallelism
     parts = max(2 * cores, min(rows // PART_ROWS, MAX_PARTS))
-    cuts = given.select(F.col("id").cast("double").alias("x")).approxQuantile(
+    lowest = -(1 << 63)
+    at = F.coalesce(F.col("id").cast("long"), F.lit(lowest))
+    found = given.select(at.cast("double").alias("x")).approxQuantile(
         "x", [i / parts for i in range(1, parts)], 0.1 / parts
     )
-    cuts = sorted(set(cuts))
-    number = F.coalesce(_place(cuts)(F.col("id").cast("double")), F.lit(0))
-    placed = given.withColumn("part", number)
-    heads = placed.groupBy("part").agg(F.min("id").alias("head"), F.count_if(F.col("id").isNull()).alias("nulls"))
-    heads = sorted((int(p), None if nulls else head) for p, head, nulls in heads.collect())
-    # A part's last row is followed by the first of the next part; the last part's by the first of all.
-    follows = [
-        (head, heads[i - 1][0]) for i, (_, head) in enumerate(heads)
-    ]
-    copies = docs.sparkSession.createDataFrame(follows, f"head {kind}, part int")
-    ahead = given.join(copies, given["id"].eqNullSafe(copies["head"])).select("id", "text", "part", F.lit(1).alias("ahead"))
-    both = placed.select("id", "text", "part", F.lit(0).alias("ahead")).unionByName(ahead)
+    cuts = np.array(sorted({int(x) for x in found}), dtype=np.int64)
+    placed = given.withColumn("part", _part(cuts)(at))
+    heads = sorted(placed.groupBy("part").agg(F.min(at).alias("head")).collect())
+    # A part's last row is followed by the first of the next part, the last part's by the first of all.
+    before = {head: heads[i - 1][0] for i, (_, head) in enumerate(heads)}
+    goes = F.array_compact(
+        F.array(
+            F.struct("part", F.lit(0).alias("ahead")),
+            F.when(_before(before)(at).isNotNull(), F.struct(_before(before)(at).alias("part"), F.lit(1).alias("ahead"))),
+        )
+    )
+    both = placed.select("id", "text", F.explode(goes).alias("to")).select("id", "text", "to.*")
     dealt = both.repartitionById(len(cuts) + 1, "part").sortWithinPartitions(
         "part", "ahead", F.col("id").asc_nulls_first(), F.xxhash64("text")
     )
@@ -170,13 +172,25 @@ def _edited(rows: list[tuple], kind: pa.DataType) -> Iterator[pa.RecordBatch]:
     )
 
 
-def _place(cuts: list[float]):
-    """Column function: the number of cuts at or below a value."""
+def _part(cuts: np.ndarray):
+    """Column function: the number of cuts at or below an id."""
+
+    @F.arrow_udf(T.IntegerType())
+    def part(ids: pa.Array) -> pa.Array:
+        return pa.array(np.searchsorted(cuts, ids.to_numpy(), "right").astype(np.int32))
+
+    return part
+
+
+def _before(parts: dict[int, int]):
+    """Column function: the part before the one that an id heads; null for other ids."""
+    heads = np.array(sorted(parts), dtype=np.int64)
+    follows = np.array([parts[h] for h in heads.tolist()], dtype=np.int32)
 
-    @F.arrow_udf("int")
-    def place(x: pa.Array) -> pa.Array:
-        values = x.to_numpy(zero_copy_only=False)
-        out = np.searchsorted(np.array(cuts), values, "right").astype(np.int32)
-        return pa.array(out, pa.int32(), mask=np.isnan(values))
+    @F.arrow_udf(T.IntegerType())
+    def before(ids: pa.Array) -> pa.Array:
+        own = ids.to_numpy()
+        at = np.minimum(np.searchsorted(heads, own), len(heads) - 1)
+        return pa.array(follows[at], pa.int32(), mask=heads[at] != own)
 
-    return place
+    return before
