@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 LEAST_IMPORTANCE = 0.2
 LEAST_NODES = 8
 ATTENUATION = 0.9
+SALTS = 32
 
 # Element kinds of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -261,7 +262,10 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", source
         F.col(page_id).alias("id"), F.col(url).alias("url"), F.col(source).alias("html"),
         F.lower(F.coalesce(F.regexp_extract(url, _HOST, 1), F.lit(""))).alias("host"),
     )
-    joined = given.join(site_noise(given), "host", "left")
+    # One host may have a third of all pages: its pages are dealt to SALTS parts, its noise to each.
+    noise = site_noise(given).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = given.withColumn("salt", F.pmod(F.xxhash64("id", "html"), F.lit(SALTS)).cast("int"))
+    joined = salted.join(noise, ["host", "salt"], "left")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
