@@ -201,12 +201,12 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """
     same = Window.partitionBy("_key").orderBy(F.lit(0))
     rows = docs.withColumn("_key", _key("doc_id", "text")).withColumn("_n", F.row_number().over(same))
-    takes = mix(docs, **options).select(F.col("key").alias("_key"), F.explode("takes").alias("_take"), "size")
+    takes = mix(docs, **options).select(F.col("key").alias("_key"), F.explode("takes").alias("_take"), F.col("size").alias("_size"))
     # Repeats of one row are alike: the takes of a repeated row go round its rows.
     turns = rows.groupBy("_key").agg(F.count("*").alias("_rows"))
     turn = Window.partitionBy("_key").orderBy("_take.draw", "_take.words")
     takes = takes.join(turns, "_key").withColumn("_n", (F.row_number().over(turn) - 1) % F.col("_rows") + 1)
-    out = rows.join(takes, ["_key", "_n"]).withColumn("text", first_words("text", "_take.words", "size"))
+    out = rows.join(takes, ["_key", "_n"]).withColumn("text", first_words("text", "_take.words", "_size"))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)

@@ -22,11 +22,11 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """One document of each group of near copies: the one with the least id."""
     from voltmap.llm import neardup
 
-    kept = neardup.classes(docs).filter("keep").select("key").distinct()
+    kept = neardup.classes(docs).filter("keep").select(F.col("key").alias("_kept")).distinct()
     own = docs.withColumn("_key", neardup.row_key("doc_id", "text"))
     first = Window.partitionBy("_key").orderBy(F.lit(0))
     return (
-        own.join(kept, F.col("_key") == F.col("key"), "left_semi")
+        own.join(kept, F.col("_key") == F.col("_kept"), "left_semi")
         .withColumn("_n", F.row_number().over(first))
         .filter("_n = 1")
         .select(*docs.columns)
