@@ -36,60 +36,112 @@ def test_distinct_payloads(spark):
     assert sorted(r.content_hash for r in rows) == ["a", "b", "c"]
 
 
-def test_merged_windows(spark):
-    ddl = (
-        "event_id string, event_type string, start_time timestamp, end_time timestamp, location_raw string, "
-        "location_normalized string, reason string, confidence double, normalized_at timestamp"
-    )
+EVENT_DDL = (
+    "event_id string, parsed_record_id string, event_type string, start_time timestamp, end_time timestamp, location_raw string, "
+    "location_normalized string, location_city string, location_street string, location_building string, reason string, "
+    "confidence double, trace_id string, normalized_at timestamp"
+)
+
 
-    def e(i, s, f):
-        return (i, "power_outage", at(s), at(f) if f is not None else None, "raw", "k", None, 0.5, at(s))
+def event(i, s, f, reason=None, confidence=0.5):
+    return (i, i, "power_outage", at(s), at(f) if f is not None else None, "raw", "k", "c", "s", "b", reason, confidence, "t", at(s))
 
-    first = [e("e1", 0, 60), e("e2", 75, None), e("e3", 91, 95)]
-    late = [e("far", 60 * 24 * 20, None)]
-    rows = run(spark, [first, late, [e("far2", 60 * 24 * 40, None)]], ddl, S.merged_windows)
-    got = {r.event_id: (r.members, r.start_time, r.end_time) for r in rows}
-    assert got["e1"] == (2, at(0), at(60))
+
+def test_merged_windows(spark):
+    first = [event("e1", 0, 60, "why", 0.4), event("e2", 75, None, None, 0.9), event("e3", 91, 95)]
+    late = [event("far", 60 * 24 * 20, None)]
+    rows = run(spark, [first, late, [event("far2", 60 * 24 * 40, None)]], EVENT_DDL, S.merged_windows)
+    got = {r.event_id: (r.members, r.start_time, r.end_time, r.reason, r.confidence) for r in rows}
+    assert got["e1"] == (2, at(0), at(60), "why", 0.9)
     assert got["e3"][0] == 1
 
 
 def test_source_budget(spark):
     rows = run(
-        spark, [[("1", "s"), ("2", "s")], [("3", "s"), ("4", "x")]], "id string, source_id string",
-        lambda df: S.source_budget(df, 2),
+        spark, [[("2", "s", at(1), "r", 1), ("1", "s", at(0), "r", 0), ("3", "s", at(1), "r", 2)], [("4", "s", at(2), "r", 0), ("5", "x", at(2), "r", 0)]],
+        "id string, source_id string, fetched_at timestamp, raw_record_id string, pos int", lambda df: S.source_budget(df, 2),
     )
-    assert {r.id for r in rows if r.allow_fallback} == {"1", "2", "4"}
+    assert {r.id for r in rows if r.allow_fallback} == {"1", "2", "5"}
 
 
 def test_silence_alerts(spark):
-    ddl = "source_id string, fetched_at timestamp, poll_interval_seconds int"
+    ddl = "kind string, source_id string, t timestamp, every int, active boolean"
+
+    def tick(m):
+        return ("clock", None, at(m), None, None)
+
+    def fetch(s, m):
+        return ("fetch", s, at(m), None, None)
+
     batches = [
-        [("a", at(0), 60), ("clock", at(0), 60)],
-        [("clock", at(10), 60)],
-        [("clock", at(11), 60)],
-        [("a", at(12), 60), ("clock", at(12), 60)],
-        [("clock", at(13), 60)],
+        [("roster", s, at(0), 60, s != "off") for s in ("a", "never", "off")] + [fetch("a", 0), fetch("off", 0), tick(0)],
+        [tick(10)], [tick(11)],  # every source is silent: only the clock goes on
+        [fetch("a", 12), tick(12)], [tick(13)],
+        [fetch("a", 12), tick(30)], [tick(31)], [tick(32)],
     ]
-    rows = run(spark, batches, ddl, S.silence_alerts)
-    kinds = [r.event_type for r in rows if r.source_id == "a"]
-    assert kinds.count("parser.silent") == 1 and kinds.count("parser.recovered") == 1
 
+    def build(df):
+        return S.silence_alerts(
+            df.filter("kind = 'fetch'").selectExpr("source_id", "t AS fetched_at"),
+            df.filter("kind = 'roster'").selectExpr("source_id", "t AS changed_at", "every AS poll_interval_seconds", "active AS is_active"),
+            df.filter("kind = 'clock'").selectExpr("t AS at"), delay="1 minute",
+        )
 
-def test_ingest_is_idempotent(spark):
-    src, chk, out = (tempfile.mkdtemp(prefix="voltmap-") for _ in range(3))
-    item = '[{"city":"Томск","street":"ул Мира","commaSeparatedHouses":"5","shutdownDate":"2026-05-12T10:00:00"}]'
-    raw = spark.createDataFrame(
-        [("r1", "s1", item, "t", T0), ("r2", "nobody", item, "t", T0)],
-        "id string, source_id string, raw_content string, trace_id string, fetched_at timestamp",
-    )
-    raw.write.mode("append").parquet(f"{src}/b0")
+    rows = run(spark, batches, ddl, build)
+    kinds = {s: [r.event_type for r in rows if r.source_id == s] for s in ("a", "never", "off")}
+    assert kinds["never"] == ["parser.silent"] and kinds["off"] == []
+    assert sorted(kinds["a"]) == ["parser.recovered", "parser.silent", "parser.silent"]
+
+
+RAW_DDL = "id string, source_id string, raw_content string, trace_id string, fetched_at timestamp"
+
+
+def payload(i, start, end=None, source="s1", day="2026-05-12"):
+    stop = f',"restoreDate":"{day}T{end}"' if end else ""
+    text = f'[{{"city":"Томск","street":"ул Мира","commaSeparatedHouses":"5","shutdownDate":"{day}T{start}"{stop}}}]'
+    return (i, source, text, "t", T0)
+
+
+def test_ingest_loses_nothing_and_is_idempotent(spark):
+    src, out = (tempfile.mkdtemp(prefix="voltmap-") for _ in range(2))
+    batches = [
+        [payload("r1", "10:00:00", "11:00:00"), payload("r2", "10:00:00", source="nobody"), payload("r3", "20:00:00", source="muted"),
+         payload("r5", "16:00:00", "17:00:00")],
+        # A repeated payload, and a late one that ties both outages together.
+        [payload("r4", "10:00:00", "11:00:00"), payload("r6", "11:10:00", "15:50:00")],
+    ]
+    for i, rows in enumerate(batches):
+        spark.createDataFrame(rows, RAW_DDL).coalesce(1).write.mode("append").parquet(f"{src}/b{i}")
     sources = spark.createDataFrame(
-        [("s1", {"parser": "format_two"})], "id string, parser_profile map<string,string>"
+        [("s1", {"parser": "format_two"}), ("muted", {"parser": "format_two", "normalization_enabled": "no"})],
+        "id string, parser_profile map<string,string>",
     )
-    stream = spark.readStream.schema(raw.schema).parquet(f"{src}/*")
-    S.ingest(stream, sources, F.lit(T0), out).option("checkpointLocation", chk).trigger(
-        availableNow=True
-    ).start().awaitTermination(120)
-    events = spark.read.parquet(f"{out}/normalized_events").collect()
-    assert [e.location_normalized for e in events] == ["томск|мира|5"]
-    assert [r.id for r in spark.read.parquet(f"{out}/quarantine").collect()] == ["r2"]
+
+    def matched(events):
+        return events.select("event_id", F.col("members").alias("weight"))
+
+    def go():
+        chk = tempfile.mkdtemp(prefix="voltmap-")
+        stream = spark.readStream.schema(RAW_DDL).option("maxFilesPerTrigger", 1).parquet(f"{src}/*")
+        S.ingest(stream, sources, out, F.lit(T0), matched).option("checkpointLocation", chk).trigger(
+            availableNow=True
+        ).start().awaitTermination(300)
+        schema = spark.createDataFrame([], S.EVENT_FIELDS + ", deleted boolean").schema
+        events = S.Log(out, "normalized_events", ["event_id"]).current(spark, schema).collect()
+        seen = S.Log(out, "event_sources", ["event_id", "source"]).current(
+            spark, spark.createDataFrame([], "event_id string, source string, seen_at timestamp").schema
+        ).collect()
+        impacts = S.current_impacts(spark, out, spark.createDataFrame([], "event_id string, weight long").schema).collect()
+        return events, seen, impacts
+
+    events, seen, impacts = go()
+    assert [(e.location_normalized, e.start_time, e.end_time, e.members) for e in events] == [
+        ("томск|мира|5", dt.datetime(2026, 5, 12, 3), dt.datetime(2026, 5, 12, 10), 3)
+    ]
+    assert {s.source for s in seen if s.event_id == events[0].event_id} == {"r1", "r5", "r6"}
+    assert [(i.event_id, i.weight) for i in impacts] == [(events[0].event_id, 3)]
+    assert {r.id for r in spark.read.parquet(f"{out}/quarantine").collect()} == {"r2"}
+    assert {r.id for r in spark.read.parquet(f"{out}/raw_records").collect()} >= {"r1", "r3", "r5", "r6"}
+    assert "r4" not in {r.id for r in spark.read.parquet(f"{out}/raw_records").collect()}
+    again = go()  # the same batches once more, from the start
+    assert [sorted(map(str, x)) for x in again] == [sorted(map(str, x)) for x in (events, seen, impacts)]

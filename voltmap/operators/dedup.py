@@ -112,33 +112,45 @@ def with_island(events: DataFrame) -> DataFrame:
     return keyed.join(placed, "unit")
 
 
-def merge_events(placed: DataFrame) -> DataFrame:
-    """One row per island of `with_island`.
+PAYLOAD = ("event_type", "location_raw", "location_normalized", "location_city", "location_street",
+           "location_building", "reason", "confidence")
 
-    The window is the hull (an open end gives way to a known one); the earliest
-    arrival keeps its ids; the payload comes from the most confident, latest
-    arrival; a missing reason is filled from any member.
-    """
+
+def merge_aggregates(counted: bool = False) -> list[Column]:
+    """What becomes of the members of one island; `counted` members bring their own counts."""
     arrival = F.struct("normalized_at", "event_id")
     trust = F.struct(F.coalesce(F.col("confidence"), F.lit(0.0)), F.col("normalized_at"), F.col("event_id"))
-    payload = ["event_type", "location_raw", "location_normalized", "location_city",
-               "location_street", "location_building", "reason", "confidence"]
-    merged = placed.groupBy("group_key", "type_group", "island").agg(
+    return [
         F.min_by("event_id", arrival).alias("event_id"),
         F.min_by("parsed_record_id", arrival).alias("parsed_record_id"),
         F.min("start_time").alias("start_time"),
         F.max("end_time").alias("end_time"),
-        F.max_by(F.struct(*payload), trust).alias("_p"),
+        F.max_by(F.struct(*PAYLOAD), trust).alias("_p"),
         F.max_by("reason", F.when(F.col("reason").isNotNull(), trust)).alias("_reason"),
         F.max_by("trace_id", arrival).alias("trace_id"),
         F.max("normalized_at").alias("normalized_at"),
-        F.sum("members").alias("members") if "members" in placed.columns else F.count("*").alias("members"),
-    )
-    fields = [F.col(f"_p.{c}").alias(c) for c in payload if c != "reason"]
-    return merged.select(
-        "group_key", "type_group", "island", "event_id", "parsed_record_id", "start_time", "end_time",
-        *fields, F.coalesce("_p.reason", "_reason").alias("reason"), "trace_id", "normalized_at", "members",
-    )
+        F.sum("members").alias("members") if counted else F.count("*").alias("members"),
+    ]
+
+
+def merged_columns() -> list[Column]:
+    """Columns of a merged event over `merge_aggregates`."""
+    fields = [F.col(f"_p.{c}").alias(c) for c in PAYLOAD if c != "reason"]
+    return [
+        F.col("event_id"), F.col("parsed_record_id"), F.col("start_time"), F.col("end_time"), *fields,
+        F.coalesce("_p.reason", "_reason").alias("reason"), F.col("trace_id"), F.col("normalized_at"), F.col("members"),
+    ]
+
+
+def merge_events(placed: DataFrame) -> DataFrame:
+    """One row per island of `with_island`.
+
+    The window is the hull (an open end gives way to a known one); the earliest
+    arrival keeps its ids; the payload comes from the most confident, latest
+    arrival; a missing reason is filled from any member.
+    """
+    keys = ["group_key", "type_group", "island"]
+    return placed.groupBy(*keys).agg(*merge_aggregates("members" in placed.columns)).select(*keys, *merged_columns())
 
 
 def event_sources(placed: DataFrame, merged: DataFrame) -> DataFrame:
@@ -198,6 +210,18 @@ def deduplicate(events: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     return merged, event_sources(placed, merged), audit_rows(placed, merged)
 
 
+def split_touched(stored: DataFrame, incoming: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Stored events at an address, or of a parsed record, of the incoming ones; and the rest."""
+    placed = stored.withColumn("_at", address_group())
+    records = incoming.filter("parsed_record_id IS NOT NULL").select("parsed_record_id").distinct()
+    touched = (
+        incoming.select(address_group().alias("_at"))
+        .unionByName(placed.join(records, "parsed_record_id", "left_semi").select("_at"))
+        .distinct()
+    )
+    return placed.join(touched, "_at", "left_semi").drop("_at"), placed.join(touched, "_at", "left_anti").drop("_at")
+
+
 def merge_into(
     stored: DataFrame, stored_sources: DataFrame, incoming: DataFrame
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -207,17 +231,12 @@ def merge_into(
     Only stored events at a touched address, or of a touched parsed record, take part
     in the merge; all others pass through.
     """
+    hit, rest = split_touched(stored, incoming)
     columns = [c for c in incoming.columns if c in stored.columns]
-    old = stored.select(*columns, "members").withColumn("_at", address_group())
-    new = incoming.select(*columns, "sources", F.lit(1).cast("long").alias("members")).withColumn("_at", address_group())
-    same_record = old.select("_at", "parsed_record_id").join(
-        new.filter("parsed_record_id IS NOT NULL").select("parsed_record_id").distinct(), "parsed_record_id", "left_semi"
-    )
-    touched = new.select("_at").unionByName(same_record.select("_at")).distinct()
-    hit = old.join(touched, "_at", "left_semi").withColumn("sources", F.array().cast("array<string>"))
-    placed = cut(with_island(hit.unionByName(new).drop("_at")))
+    old = hit.select(*columns, "members").withColumn("sources", F.array().cast("array<string>"))
+    new = incoming.select(*columns, "sources", F.lit(1).cast("long").alias("members"))
+    placed = cut(with_island(old.unionByName(new)))
     merged = merge_events(placed)
-    rest = stored.withColumn("_at", address_group()).join(touched, "_at", "left_anti").drop("_at")
     keys = ["group_key", "type_group", "island"]
     moved = placed.select(F.col("event_id").alias("old_id"), *keys).join(merged.select(*keys, "event_id"), keys)
     carried = (
@@ -227,7 +246,7 @@ def merge_into(
     sources = carried.unionByName(event_sources(placed, merged)).groupBy("event_id", "source").agg(
         F.min("seen_at").alias("seen_at")
     )
-    return rest.unionByName(merged), sources, audit_rows(placed, merged)
+    return rest.unionByName(merged.select(*stored.columns)), sources, audit_rows(placed, merged)
 
 
 def new_payloads(incoming: DataFrame, stored: DataFrame) -> DataFrame:

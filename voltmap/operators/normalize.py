@@ -283,6 +283,13 @@ def normalize_with_cache(
     return fresh, additions
 
 
+def normalization_on(enabled: bool = True) -> Column:
+    """Whether a record's source is normalized: `normalization_enabled` of its profile, on by default."""
+    value = F.lower(F.try_element_at(F.col("parser_profile"), F.lit("normalization_enabled")))
+    own = F.when(value.isNotNull(), value.isin(*K.TRUE_WORDS))
+    return F.coalesce(own, F.lit(True)) & F.lit(enabled)
+
+
 def fallback_gates(
     parsed: DataFrame,
     raw_order: list[str],

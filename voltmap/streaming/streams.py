@@ -8,20 +8,21 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import BooleanType, LongType, StringType, StructField, StructType
 
 from voltmap import constants as K
-from voltmap.functions import rules as R
-from voltmap.operators.dedup import address_group
+from voltmap.operators.dedup import address_group, merge_aggregates, merged_columns, type_key
+from voltmap.session import cut
 
 
 def distinct_payloads(raw: DataFrame, delay: str = "7 days") -> DataFrame:
     """First arrival per content hash within the watermark.
 
-    Content older than the watermark is caught by the batch anti-join against
-    the stored payloads (`dedup.new_payloads`).
+    For feeds without a store.  Rows behind the watermark are dropped here; `ingest` tests
+    every payload against the stored ones instead and drops none.
     """
     return raw.withWatermark("fetched_at", delay).dropDuplicatesWithinWatermark(["content_hash"])
 
@@ -29,66 +30,75 @@ def distinct_payloads(raw: DataFrame, delay: str = "7 days") -> DataFrame:
 def merged_windows(events: DataFrame, delay: str = "2 days") -> DataFrame:
     """Merged outage windows per address as sessions with a per-row gap.
 
-    A session stays open until the latest end plus the tolerance, which is the
-    same rule as the batch islands.  Rows that arrive after the watermark go
-    through the batch merge.
+    A session stays open until the latest end plus the tolerance, which is the same rule as
+    the batch islands, and the members merge by the same aggregates.  It runs on batch
+    frames too.  On streams a row behind the watermark finds its session closed; `ingest`
+    merges every row into the stored events instead.
     """
     length = F.greatest(
         F.unix_micros(F.coalesce("end_time", "start_time")) - F.unix_micros("start_time"), F.lit(0)
     )
     gap = F.concat((length + F.lit(K.DEDUP_TOLERANCE_SECONDS * 1_000_000)).cast("string"), F.lit(" microseconds"))
-    keyed = events.withColumns(
-        {"group_key": address_group(), "type_group": R.type_group(F.col("event_type")), "_gap": gap}
-    )
-    trust = F.struct(F.coalesce("confidence", F.lit(0.0)), F.col("normalized_at"), F.col("event_id"))
+    keyed = events.withColumns({"group_key": address_group(), "type_group": type_key(), "_gap": gap})
     return (
         keyed.withWatermark("start_time", delay)
         .groupBy(F.session_window("start_time", F.col("_gap")), "group_key", "type_group")
-        .agg(
-            F.min("start_time").alias("start_time"),
-            F.max("end_time").alias("end_time"),
-            F.min_by("event_id", F.struct("normalized_at", "event_id")).alias("event_id"),
-            F.max_by("reason", trust).alias("reason"),
-            F.max("confidence").alias("confidence"),
-            F.count("*").alias("members"),
-        )
-        .drop("session_window")
+        .agg(*merge_aggregates())
+        .select("group_key", "type_group", *merged_columns())
     )
 
 
-def silence_alerts(fetches: DataFrame, multiplier: float = K.SILENT_MULTIPLIER, delay: str = "0 seconds") -> DataFrame:
+def silence_alerts(
+    fetches: DataFrame, roster: DataFrame, clock: DataFrame, multiplier: float = K.SILENT_MULTIPLIER,
+    delay: str = "10 minutes",
+) -> DataFrame:
     """Alert once per silence, recover once, then arm again.
 
-    `fetches` has source_id, fetched_at and poll_interval_seconds.  Only the last
-    fetch time and a flag are kept per source; the timer is in event time.
+    `fetches` has source_id and fetched_at.  `roster` has a row per source when it is added or
+    changed: source_id, changed_at, poll_interval_seconds, is_active; a source that never
+    fetches falls silent counted from its first row.  `clock` has a column `at` (a rate source,
+    say): time goes on with it even when every source is silent.  State per source is five
+    numbers; rows up to `delay` late still count.
     """
-    small = fetches.select("source_id", "fetched_at", "poll_interval_seconds")
+    null = F.lit(None)
+    rows = (
+        fetches.select("source_id", F.col("fetched_at").alias("at"), null.cast("int").alias("every"), null.cast("boolean").alias("active"))
+        .unionByName(roster.select("source_id", F.col("changed_at").alias("at"), F.col("poll_interval_seconds").alias("every"), F.col("is_active").alias("active")))
+        .unionByName(clock.select(F.lit("").alias("source_id"), "at", null.cast("int").alias("every"), null.cast("boolean").alias("active")))
+    )
 
     def step(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last, interval, alerted = state.get if state.exists else (0, 0, False)
+        last, every, active, alerted = state.get if state.exists else (0, 0, False, False)
         out = []
-        if state.hasTimedOut:
-            if not alerted:
-                out.append(("parser.silent", "WARNING", last))
-            state.update((last, interval, True))
-        else:
-            for frame in frames:
-                last = max(last, int(frame["fetched_at"].max().value // 1_000_000))
-                interval = int(frame["poll_interval_seconds"].max())
-            if alerted:
-                out.append(("parser.recovered", "INFO", last))
-            state.update((last, interval, False))
-            due = last + int(interval * multiplier * 1000)
-            state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
+        now = state.getCurrentWatermarkMs()
+        for frame in frames:
+            for at, interval, on in frame.sort_values("at")[["at", "every", "active"]].itertuples(index=False):
+                ms = int(at.value // 1_000_000)
+                if pd.isna(on):
+                    last = max(last, ms)
+                    if alerted:
+                        out.append(("parser.recovered", "INFO", last))
+                    alerted = False
+                else:
+                    last, every, active = last or ms, int(interval), bool(on)
+        if key[0] == "":
+            return
+        due = last + int(every * multiplier * 1000)
+        if active and every and not alerted and due <= now:
+            out.append(("parser.silent", "WARNING", last))
+            alerted = True
+        state.update((last, every, active, alerted))
+        if active and every and not alerted:
+            state.setTimeoutTimestamp(max(due, now + 1))
         yield pd.DataFrame(
             [(key[0], kind, level, at) for kind, level, at in out],
             columns=["source_id", "event_type", "severity", "last_fetch_ms"],
         )
 
-    return small.withWatermark("fetched_at", delay).groupBy("source_id").applyInPandasWithState(
+    return rows.withWatermark("at", delay).groupBy("source_id").applyInPandasWithState(
         step,
         "source_id string, event_type string, severity string, last_fetch_ms long",
-        "last long, interval long, alerted boolean",
+        "last long, every long, active boolean, alerted boolean",
         "append",
         GroupStateTimeout.EventTimeTimeout,
     )
@@ -97,20 +107,18 @@ def silence_alerts(fetches: DataFrame, multiplier: float = K.SILENT_MULTIPLIER,
 def source_budget(parsed: DataFrame, budget: int) -> DataFrame:
     """Running per-source allowance across micro-batches.
 
-    Adds `allow_fallback` for the first `budget` records of each source; the
-    state is one counter.  Input needs source_id and id.
+    Adds `allow_fallback` for the first `budget` records of each source, in the order of
+    fetched_at, raw_record_id and pos within a batch; the state is one counter.
     """
 
     def step(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         used = state.get[0] if state.exists else 0
-        for frame in frames:
-            n = len(frame)
-            allowed = [used + i < budget for i in range(n)]
-            used = min(budget, used + n)
-            yield pd.DataFrame({"id": frame["id"], "source_id": key[0], "allow_fallback": allowed})
-        state.update((used,))
+        rows = pd.concat(list(frames)).sort_values(["fetched_at", "raw_record_id", "pos"])
+        allowed = [used + i < budget for i in range(len(rows))]
+        state.update((min(budget, used + len(rows)),))
+        yield pd.DataFrame({"id": rows["id"], "source_id": key[0], "allow_fallback": allowed})
 
-    return parsed.select("id", "source_id").groupBy("source_id").applyInPandasWithState(
+    return parsed.select("id", "source_id", "fetched_at", "raw_record_id", "pos").groupBy("source_id").applyInPandasWithState(
         step, "id string, source_id string, allow_fallback boolean", "used long", "append",
         GroupStateTimeout.NoTimeout,
     )
@@ -139,30 +147,117 @@ def rolling_timings(tasks: DataFrame, hours: int = 24, slide: str = "1 hour", de
     )
 
 
+class Log:
+    """A table as one folder per micro-batch; a row stands until a later batch has its key again.
+
+    A replayed batch sees only the batches before it and overwrites its own folder.
+    """
+
+    def __init__(self, path: str, table: str, keys: list[str]):
+        self.path, self.keys = f"{path}/{table}", keys
+
+    def write(self, df: DataFrame, batch_id: int) -> DataFrame:
+        folder = f"{self.path}/batch_id={batch_id}"
+        df.write.mode("overwrite").parquet(folder)
+        return df.sparkSession.read.parquet(folder)
+
+    def rows(self, spark: SparkSession, schema, before: int | None = None) -> DataFrame:
+        """All rows of the batches before `before`, with their batch_id."""
+        full = StructType([*schema.fields, StructField("batch_id", LongType())])
+        root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
+        if not root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(root):
+            return spark.createDataFrame([], full)
+        out = spark.read.schema(full).parquet(self.path)
+        return out if before is None else out.filter(F.col("batch_id") < before)
+
+    def current(self, spark: SparkSession, schema, before: int | None = None) -> DataFrame:
+        """The last row per key, without the deleted ones."""
+        rows = self.rows(spark, schema, before)
+        last = rows.groupBy(*self.keys).agg(F.max_by(F.struct(*rows.columns), "batch_id").alias("r")).select("r.*")
+        if "deleted" in rows.columns:
+            last = last.filter("NOT deleted").drop("deleted")
+        return last.drop("batch_id")
+
+
+EVENT_FIELDS = (
+    "event_id string, parsed_record_id string, start_time timestamp, end_time timestamp, event_type string, "
+    "location_raw string, location_normalized string, location_city string, location_street string, "
+    "location_building string, confidence double, reason string, trace_id string, normalized_at timestamp, members long"
+)
+
+
 def ingest(
-    raw: DataFrame, sources: DataFrame, as_of: Column, path: str,
-    match_batch: Callable[[DataFrame], DataFrame] | None = None,
+    raw: DataFrame, sources: DataFrame, path: str, as_of: Column | None = None,
+    match_batch: Callable[[DataFrame], DataFrame] | None = None, enabled: bool = True,
+    max_per_raw: int | None = None, max_per_source: int | None = None,
 ):
-    """Writer for parse -> normalize (-> match) per micro-batch.
+    """Writer for the whole chain per micro-batch; no row is dropped for being late.
 
-    Each output table gets one folder per batch, overwritten on a replay, so a
-    restarted query leaves the same rows.
+    New payloads (by content, against the stored ones) are parsed; parsed records are upserted
+    by fingerprint; records of sources that normalize (`normalization_enabled`, and `enabled`
+    for all) pass the fallback gates, are normalized and merged into the stored events of
+    the addresses they touch; impacts of touched events are replaced (`current_impacts` reads
+    them).  Tables are `Log`s, so a replayed batch leaves the same rows.  `as_of` is the time of each batch
+    unless given.
     """
-    from voltmap.operators.normalize import normalize
+    from voltmap.functions.hashing import content_hash, parsed_fingerprint
+    from voltmap.operators import dedup
+    from voltmap.operators.normalize import fallback_gates, normalization_on, normalize
     from voltmap.sources import payloads
 
+    payload_log, record_log = Log(path, "raw_records", ["content_hash"]), Log(path, "parsed_records", ["fingerprint"])
+    event_log, source_log = Log(path, "normalized_events", ["event_id"]), Log(path, "event_sources", ["event_id", "source"])
+    touched_log, impact_log = Log(path, "touched_events", ["event_id"]), Log(path, "office_impacts", ["event_id"])
+
     def write(batch: DataFrame, batch_id: int) -> None:
-        def save(df: DataFrame, table: str) -> DataFrame:
-            folder = f"{path}/{table}/batch_id={batch_id}"
-            df.write.mode("overwrite").parquet(folder)
-            return df.sparkSession.read.parquet(folder)
-
-        stored = save(batch, "raw_records")
-        parsed, unknown = payloads.parse(payloads.with_profile(stored, sources), as_of)
-        records = save(parsed, "parsed_records")
-        save(unknown.select("id", "source_id", "error"), "quarantine")
-        events = save(normalize(records), "normalized_events")
+        spark = batch.sparkSession
+        now = as_of if as_of is not None else F.current_timestamp()
+        hashed = batch.withColumn("content_hash", content_hash("raw_content"))
+        stored = payload_log.rows(spark, hashed.schema, batch_id)
+        fresh = payload_log.write(dedup.new_payloads(hashed, stored), batch_id)
+        parsed, unknown = payloads.parse(payloads.with_profile(fresh, sources), now)
+        Log(path, "quarantine", ["id"]).write(unknown.select("id", "source_id", "error"), batch_id)
+        keyed = parsed.withColumn("fingerprint", parsed_fingerprint())
+        first = F.struct("extracted_at", "raw_record_id", "pos")
+        newest = keyed.groupBy("fingerprint").agg(
+            F.max_by(F.struct(*keyed.columns), first).alias("r"), F.min_by("id", first).alias("first_id")
+        )
+        known = record_log.rows(spark, keyed.schema, batch_id).groupBy("fingerprint").agg(
+            F.min_by("id", "batch_id").alias("known_id")
+        )
+        merged = newest.join(known, "fingerprint", "left").withColumn("id", F.coalesce("known_id", "first_id"))
+        records = record_log.write(
+            merged.select(*[F.col("id") if c == "id" else F.col(f"r.{c}").alias(c) for c in keyed.columns]), batch_id
+        )
+        gated = fallback_gates(
+            records.filter(normalization_on(enabled)), ["extracted_at"], max_per_raw=max_per_raw, max_per_source=max_per_source
+        )
+        incoming = cut(normalize(gated, allow_fallback=F.col("allow_fallback")).drop("normalizer_path"))
+        event_schema = spark.createDataFrame([], EVENT_FIELDS).schema
+        current = event_log.current(spark, StructType([*event_schema.fields, StructField("deleted", BooleanType())]), batch_id)
+        hit = cut(dedup.split_touched(current, incoming)[0])
+        source_schema = spark.createDataFrame([], "event_id string, source string, seen_at timestamp").schema
+        seen = source_log.current(spark, source_schema, batch_id).join(hit.select("event_id"), "event_id", "left_semi")
+        out, out_sources, audit = dedup.merge_into(hit, seen, incoming)
+        out = cut(out)
+        gone = hit.join(out.select("event_id"), "event_id", "left_anti")
+        names = event_schema.names
+        written = event_log.write(
+            out.select(*names, F.lit(False).alias("deleted")).unionByName(gone.select(*names, F.lit(True).alias("deleted"))),
+            batch_id,
+        )
+        source_log.write(out_sources, batch_id)
+        Log(path, "dedup_audit", ["id"]).write(audit, batch_id)
+        touched_log.write(written.select("event_id"), batch_id)
         if match_batch is not None:
-            save(match_batch(events), "office_impacts")
+            impact_log.write(match_batch(written.filter("NOT deleted").drop("deleted")), batch_id)
 
     return raw.writeStream.foreachBatch(write)
+
+
+def current_impacts(spark: SparkSession, path: str, schema) -> DataFrame:
+    """Impacts as of the last batch that touched their event."""
+    last = Log(path, "touched_events", ["event_id"]).rows(
+        spark, StructType([StructField("event_id", StringType())])
+    ).groupBy("event_id").agg(F.max("batch_id").alias("batch_id"))
+    return Log(path, "office_impacts", ["event_id"]).rows(spark, schema).join(last, ["event_id", "batch_id"]).drop("batch_id")
