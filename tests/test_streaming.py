@@ -145,3 +145,10 @@ def test_ingest_loses_nothing_and_is_idempotent(spark):
     assert "r4" not in {r.id for r in spark.read.parquet(f"{out}/raw_records").collect()}
     again = go()  # the same batches once more, from the start
     assert [sorted(map(str, x)) for x in again] == [sorted(map(str, x)) for x in (events, seen, impacts)]
+
+
+def test_rolling_timings(spark):
+    rows = [("done", at(5), 10), ("done", at(50), 30), ("failed", at(70), 20), ("running", at(75), 99)]
+    tasks = spark.createDataFrame([("x", *r) for r in rows], "task_type string, status string, completed_at timestamp, duration_ms int")
+    got = {r.window_start: (r["count"], r.avg_ms, r.max_ms) for r in S.rolling_timings(tasks, hours=2).collect()}
+    assert got == {at(-60): (2, 20.0, 30), at(0): (3, 20.0, 30), at(60): (1, 20.0, 20)}

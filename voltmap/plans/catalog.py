@@ -682,8 +682,8 @@ def _(t):
 
 @query(
     "normalize_cached",
-    """SELECT 'fresh' AS kind, count(*) AS n FROM parsed WHERE k % 3 <> 0 UNION ALL
- SELECT 'sticky', count(*) FROM parsed WHERE k % 3 = 0 AND k % 2 = 0""",
+    """SELECT 'fresh' AS kind, CAST(k AS VARCHAR) AS id FROM parsed WHERE k % 3 <> 0 UNION ALL
+ SELECT 'sticky', 'e' || k FROM parsed WHERE k % 3 = 0 AND k % 2 = 0""",
     (B.PARSED,),
 )
 def _(t):
@@ -694,9 +694,9 @@ def _(t):
         "array(CASE WHEN o_orderkey % 2 = 0 THEN 'old' ELSE concat('raw-', o_custkey) END) AS sources",
     )
     fresh, additions = normalize.normalize_with_cache(parsed, stored)
-    return fresh.select(F.lit("fresh").alias("kind")).unionByName(
-        additions.select(F.lit("sticky").alias("kind"))
-    ).groupBy("kind").agg(F.count("*").alias("n"))
+    return fresh.select(F.lit("fresh").alias("kind"), F.col("parsed_record_id").alias("id")).unionByName(
+        additions.select(F.lit("sticky").alias("kind"), F.col("event_id").alias("id"))
+    )
 
 
 @query(
@@ -1274,6 +1274,20 @@ def _(t):
 # --- payloads at the edges, hashes, windows, texts --------------------------------------------
 
 
+@query(
+    "merged_windows",
+    """SELECT CAST(user_id AS VARCHAR) AS address, strftime(min(start_time), '%Y-%m-%d %H:%M:%S') AS start_time,
+ strftime(max(end_time), '%Y-%m-%d %H:%M:%S') AS end_time, count(*) AS members FROM placed GROUP BY user_id, type_group, island""",
+    (B.OUTAGES,),
+)
+def _(t):
+    from voltmap.streaming import streams
+
+    return streams.merged_windows(t.outage_events()).select(
+        F.col("location_building").alias("address"), shown("start_time"), shown("end_time"), "members"
+    )
+
+
 @query(
     "payload_edge_cases",
     """SELECT CAST(o_orderkey AS VARCHAR) AS raw_record_id, strftime(o_orderdate + CASE o_orderkey % 4 WHEN 0 THEN INTERVAL 7 HOUR

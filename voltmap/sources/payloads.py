@@ -146,7 +146,7 @@ def parse_format_three(raw: DataFrame, as_of: Column) -> DataFrame:
     )
     rows = raw.withColumn(
         "_rows", F.regexp_extract_all(table, F.lit(r"(?is)(<tr[^>]*>.*?</tr>)"), F.lit(1))
-    ).select("*", F.posexplode("_rows").alias("pos", "_tr"))
+    ).select("*", F.posexplode_outer("_rows").alias("pos", "_tr")).filter(F.col("_tr").isNotNull())
     rows = rows.withColumns(
         {
             "_day": F.to_date(F.try_to_timestamp(_paragraph(F.col("_tr"), "t3", 1), F.lit("d.M.yyyy"))),

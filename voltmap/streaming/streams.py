@@ -135,13 +135,20 @@ def queue_changes(log: DataFrame, delay: str = "5 minutes") -> DataFrame:
 
 
 def rolling_timings(tasks: DataFrame, hours: int = 24, slide: str = "1 hour", delay: str = "1 hour") -> DataFrame:
-    """Count, mean and maximum duration per stage over a sliding window."""
-    return (
+    """Count, mean and maximum duration per stage over a sliding window.
+
+    Slides are totalled first; only the totals go into the overlapping windows.
+    """
+    totals = (
         tasks.filter(F.col("status").isin("done", "failed") & F.col("duration_ms").isNotNull())
         .withWatermark("completed_at", delay)
-        .groupBy(F.window("completed_at", f"{hours} hours", slide), "task_type")
+        .groupBy(F.window("completed_at", slide), "task_type")
+        .agg(F.count("*").alias("n"), F.sum("duration_ms").alias("total"), F.max("duration_ms").alias("most"))
+    )
+    return (
+        totals.groupBy(F.window(F.window_time("window"), f"{hours} hours", slide), "task_type")
         .agg(
-            F.count("*").alias("count"), F.avg("duration_ms").alias("avg_ms"), F.max("duration_ms").alias("max_ms")
+            F.sum("n").alias("count"), (F.sum("total") / F.sum("n")).alias("avg_ms"), F.max("most").alias("max_ms")
         )
         .select(F.col("window.start").alias("window_start"), "task_type", "count", "avg_ms", "max_ms")
     )
