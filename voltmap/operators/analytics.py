@@ -514,13 +514,15 @@ def map_impacts(
         F.col("id").alias("source_id"), F.col("name").alias("source_name"), F.col("url").alias("_source_page")
     )
     o = offices.select(F.col("id").alias("office_id"), "name", "city", "address", "region", "latitude", "longitude")
-    rows = (
-        o.join(active.withColumnRenamed("id", "impact_id"), "office_id", "left")
-        .join(e, "event_id", "left")
-        .join(p, "parsed_record_id", "left")
-        .join(r, "raw_record_id", "left")
-        .join(s, "source_id", "left")
-    )
+
+    def follow(rows, table, key):
+        # Rows without the key match nothing: they are dealt by office, not all to one task.
+        apart = F.coalesce(F.col(key), F.concat(F.lit("\u0000"), F.col("office_id")))
+        return rows.withColumn("_k", apart).join(table.withColumnRenamed(key, "_k"), "_k", "left").drop("_k")
+
+    rows = o.join(active.withColumnRenamed("id", "impact_id"), "office_id", "left")
+    for table, key in ((e, "event_id"), (p, "parsed_record_id"), (r, "raw_record_id"), (s, "source_id")):
+        rows = follow(rows, table, key)
     outage = F.coalesce(
         R.means_outage(F.col("event_type"), F.col("reason"), F.col("location_raw"), F.col("location_normalized")),
         F.lit(False),
