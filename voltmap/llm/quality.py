@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voltmap.llm.lm import pair_keys, tokens, word_keys
@@ -26,7 +26,8 @@ MAX_LABELS = 200_000
 SHARE = 0.85
 SHARPNESS = 40.0
 ADD = 1.0
-_DIGIT = 16
+#: Bits that one step of the search for the k-th key settles.
+DIGIT_BITS = 16
 
 
 def grams(found: Words) -> tuple[np.ndarray, np.ndarray]:
@@ -114,35 +115,38 @@ def resample(
         F.col(text).alias("text"),
     )
     rows = cut(given.mapInArrow(score, f"id {kind}, key long, log_ratio double, draw double, rank long"))
-    rows = rows.withColumn("row", F.monotonically_increasing_id())
-    keep = round(share * rows.count())
-    # Narrow by rank, then among ties by id, hash and row.
     tie = F.coalesce(F.col("id").cast("long"), F.lit(-(1 << 63)))
-    kept, open_ = F.lit(False), F.lit(True)
-    for column, largest in ((F.col("rank"), True), (tie, False), (F.col("key"), True), (F.col("row"), False)):
-        digits = F.col("_d")
-        held = rows.withColumn("_d", F.bitwise_not(column) if not largest else column)
-        for shift in range(64 - _DIGIT, -1, -_DIGIT):
-            part = F.shiftright(digits, shift)
-            counts = held.filter(open_).groupBy(part.alias("d")).count().collect()
+    row = F.monotonically_increasing_id()
+    # Larger comes first in each: by rank, then among ties by id, hash and row.
+    order = {"_0": F.col("rank"), "_1": F.bitwise_not(tie), "_2": F.col("key"), "_3": F.bitwise_not(row)}
+    rows = rows.withColumns(order)
+    kept = _largest(rows, list(order), round(share * rows.count()))
+    return rows.select("id", "log_ratio", "draw", kept.alias("kept"))
+
+
+def _largest(rows: DataFrame, order: list[str], keep: int) -> Column:
+    """Condition that holds for exactly `keep` rows, the largest by the columns in turn.
+
+    Each step counts the open rows by the next digit and settles all digits but one.
+    """
+    kept, left = F.lit(False), F.lit(True)
+    for column in order:
+        for shift in range(64 - DIGIT_BITS, -1, -DIGIT_BITS):
+            digit = F.shiftright(column, shift)
+            counts = rows.filter(left).groupBy(digit.alias("d")).count().collect()
             edge = None
-            for value, many in sorted(((r[0], r[1]) for r in counts), reverse=True):
+            for value, many in sorted(map(tuple, counts), reverse=True):
                 if many > keep:
                     edge = value
                     break
                 keep -= many
             if edge is None:
-                return _result(held, kept | open_)
-            own = F.shiftright(column if largest else F.bitwise_not(column), shift)
-            kept = kept | (open_ & (own > edge))
-            open_ = open_ & (own == edge)
+                return kept | left
+            kept = kept | (left & (digit > edge))
+            left = left & (digit == edge)
             if keep == 0:
-                return _result(held, kept)
-    return _result(rows, kept)
-
-
-def _result(rows: DataFrame, kept) -> DataFrame:
-    return rows.select("id", "log_ratio", "draw", kept.alias("kept"))
+                return kept
+    return kept
 
 
 def _ordered(x: np.ndarray) -> np.ndarray:
