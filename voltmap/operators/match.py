@@ -305,7 +305,7 @@ def match(events: DataFrame, offices: DataFrame, now: Column) -> DataFrame:
     once instead of being recomputed in each branch.
     """
     current = events.filter(
-        (F.col("end_time").isNull() | (F.col("end_time") >= now)) & (F.col("event_type") != "other")
+        (F.col("end_time").isNull() | (F.col("end_time") >= now)) & ~F.col("event_type").eqNullSafe("other")
     )
     profiles = cut(office_profiles(offices))
     scored = cut(candidates(cut(event_streets(current)), profiles))
@@ -397,7 +397,8 @@ def rebuild_impacts(
         chosen = events.filter(R.is_active(F.col("start_time"), F.col("end_time"), now, horizon))
     if limit is not None:
         chosen = chosen.orderBy("start_time", "event_id").limit(max(0, limit))
-    fresh = to_impacts(match(chosen, offices, now), now)
+    # The table and the report both read it: matched once.
+    fresh = cut(to_impacts(match(chosen, offices, now), now))
     after = replace_for_keys(impacts, fresh, chosen.select("event_id"), ["event_id"])
     open_now = F.col("impact_end").isNull() | (F.col("impact_end") >= now)
     report = (

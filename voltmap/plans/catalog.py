@@ -845,13 +845,17 @@ def _(t):
 @query(
     "rebuild_impacts",
     f"""SELECT (SELECT count(*) FROM parsed WHERE start_time <= TIMESTAMP '{O_DAY}' + INTERVAL 7 DAY AND (end_time IS NULL OR end_time >= TIMESTAMP '{O_DAY}')) AS events_rebuilt,
- (SELECT count(*) FROM matches WHERE start_time <= TIMESTAMP '{O_DAY}' + INTERVAL 7 DAY) AS impacts_inserted""",
-    (B.PARSED, B.OFFICES, _MATCH),
+ (SELECT count(*) FROM matches WHERE start_time <= TIMESTAMP '{O_DAY}' + INTERVAL 7 DAY) AS impacts_inserted,
+ (SELECT count(*) FROM impacts WHERE impact_end IS NULL OR impact_end >= TIMESTAMP '{O_DAY}') AS active_or_future_before,
+ (SELECT count(*) FROM impacts WHERE (impact_end IS NULL OR impact_end >= TIMESTAMP '{O_DAY}') AND k NOT IN (SELECT k FROM parsed
+  WHERE start_time <= TIMESTAMP '{O_DAY}' + INTERVAL 7 DAY AND (end_time IS NULL OR end_time >= TIMESTAMP '{O_DAY}')))
+ + (SELECT count(*) FROM matches WHERE start_time <= TIMESTAMP '{O_DAY}' + INTERVAL 7 DAY) AS active_or_future_after""",
+    (B.PARSED, B.OFFICES, _MATCH, B.IMPACTS),
 )
 def _(t):
     impacts = t.impacts().withColumn("match_explanation", F.array().cast("array<string>"))
     _after, report = match.rebuild_impacts(t.match_events(), t.offices(), impacts, ts(O_DAY))
-    return report.select("events_rebuilt", "impacts_inserted")
+    return report
 
 
 @query(
