@@ -27,7 +27,7 @@ from voltmap.session import cut
 CAPACITY = 4096
 END = 1
 #: Distinct parts of words whose ids a worker remembers; beyond it, it starts anew.
-REMEMBERED = 1 << 21
+REMEMBERED = 1 << 20
 #: Pieces that are ranked together, about.
 RANKED = 20_000
 
@@ -79,7 +79,7 @@ class Encoder:
     def forget(self) -> None:
         self.keys = np.zeros(2 * REMEMBERED, dtype=np.uint64)
         self.number = np.zeros(2 * REMEMBERED, dtype=np.int32)
-        self.pool, self.begins = np.zeros(1 << 20, dtype="<u4"), np.zeros(REMEMBERED + 1, dtype=np.int64)
+        self.pool, self.begins = np.zeros(1 << 20, dtype="<u4"), np.zeros(REMEMBERED + 1, dtype=np.int32)
         self.known = 0
 
     def _find(self, keys: np.ndarray) -> np.ndarray:
@@ -106,7 +106,7 @@ class Encoder:
             todo, slot = todo[~won], (slot[~won] + np.uint64(1)) & mask
 
     def _learn(self, keys: np.ndarray, texts: list[str], together: int = 4096) -> None:
-        end = self.begins[self.known]
+        end = int(self.begins[self.known])
         self._insert(keys)
         for at in range(0, len(texts), together):
             part = texts[at : at + together]
@@ -138,7 +138,7 @@ class Encoder:
             # The key sees A-Z in lower case, so any spelling of it will do.
             self._learn(new, [raw[a:b].decode() for a, b in spans])
             number = self._find(keys)
-        begins = self.begins[number]
+        begins = self.begins[number].astype(np.int64)
         lengths = self.begins[number + 1] - begins
         ends = np.concatenate([[0], np.cumsum(lengths)])
         ids = self.pool[np.repeat(begins - ends[:-1], lengths) + np.arange(ends[-1])]

@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text handled at once: keeps temporary arrays inside the caches.
-PIECE_BYTES = 1 << 20
+PIECE_BYTES = 1 << 19
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -119,6 +119,8 @@ def pieces(batch: pa.RecordBatch, text: str, limit: int = PIECE_BYTES) -> Iterat
         upto = max(int(np.searchsorted(offsets, offsets[at] + limit, "right")) - 1, at + 1)
         yield batch.slice(at, upto - at)
         at = upto
+    # Workers live on and share an executor's memory: give back what the batch has used.
+    pa.default_memory_pool().release_unused()
 
 
 @dataclass
