@@ -427,6 +427,42 @@ def test_repeated_passages_are_cut_and_the_first_stays(spark, corpus, odd, empty
     assert substrings.classes(substrings.passages(empty)).collect() == []
 
 
+def test_edited_passages_are_found(spark):
+    rng = random.Random(23)
+    vocabulary = [f"{a}{b}" for a in VOCABULARY for b in VOCABULARY]
+    rows, planted = [], {}
+    for n in (50, 52, 60, 70, 100):
+        for _ in range(40):
+            passage = [rng.choice(vocabulary) for _ in range(n)]
+            edited = passage[: n // 2] + ["edited"] + passage[n // 2 + 1 :]
+            for own in (passage, edited):
+                around = [[rng.choice(vocabulary) for _ in range(rng.randint(30, 60))] for _ in range(2)]
+                rows.append((len(rows), " ".join([*around[0], *own, *around[1]])))
+            planted[len(rows) - 1] = n
+    docs = frame(spark, rows)
+    found = {r.doc_id: r for r in substrings.classes(substrings.passages(docs)).collect()}
+    for n in (50, 52, 60, 70, 100):
+        hit = [i for i, m in planted.items() if m == n and i in found and found[i].n_words >= n and found[i].removed]
+        assert len(hit) >= 38, (n, len(hit))
+        assert all(found[i].from_doc_id == i - 1 and found[i - 1].class_id == i - 1 for i in hit)
+    left = {r.doc_id: r.text for r in substrings.without_repeats(docs).collect()}
+    texts = dict(rows)
+    assert sum(i not in left or len(left[i]) < len(texts[i]) - 150 for i in planted) >= 190
+    assert all(left[i] == texts[i] for i in texts if i not in planted)
+
+
+def test_alignment_of_insertions_and_repeated_words():
+    rng = random.Random(29)
+    a = [f"w{rng.randrange(900)}" for _ in range(80)]
+    b = a[:40] + [a[39]] + a[40:]
+    one, two = (pa.array([" ".join(w)]) for w in (a, b))
+    got = list(substrings._matches(one, two, np.array([60]), np.array([61]), 25, 0.8))
+    assert [(x[2:], p[2:]) for x, p, _ in got] == [((0, 80), (0, 81))]
+    same = pa.array(["a " * 400])
+    got = list(substrings._matches(same, same, np.array([3]), np.array([3]), 25, 0.8))
+    assert ((0, 400), (0, 400)) in [(x[2:], p[2:]) for x, p, _ in got]
+
+
 # --- pages --------------------------------------------------------------------------------------------------------------
 
 
