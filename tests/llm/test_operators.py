@@ -158,6 +158,14 @@ def test_tokenizer_parts_on_odd_words():
 # --- language model ---------------------------------------------------------------------------------
 
 
+def test_encoder_takes_texts_of_more_parts_than_it_remembers(monkeypatch):
+    texts = pa.array([" ".join(f"w{i}x," for i in range(300)), None, "w1x, again", " ".join(str(i) for i in range(200))])
+    whole, bounds = packing.Encoder(packing.default_tokenizer()).encode(texts)
+    monkeypatch.setattr(packing, "REMEMBERED", 64)
+    ids, ends = packing.Encoder(packing.default_tokenizer()).encode(texts)
+    assert ids.tolist() == whole.tolist() and ends.tolist() == bounds.tolist()
+
+
 def test_lm_base_is_exact_and_pairs_help(spark, corpus, odd, empty):
     rows, docs = corpus
     got = {r.id: r for r in lm.score(docs).collect()}

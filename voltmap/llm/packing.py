@@ -125,6 +125,15 @@ class Encoder:
         """All ids of the texts in turn, without ends, and the range of each text."""
         found = parts(words(texts))
         keys = np.maximum(found.hashes(), np.uint64(1))
+        # One long text may have more distinct parts than the table holds: they are encoded in turn.
+        done = [self._encode(found, keys, at) for at in range(0, len(keys), REMEMBERED)]
+        ids = np.concatenate([np.zeros(0, dtype="<u4"), *(i for i, _ in done)])
+        lengths = np.concatenate([np.zeros(0, dtype=np.int64), *(n for _, n in done)])
+        return ids, np.concatenate([[0], np.cumsum(lengths)])[found.bounds]
+
+    def _encode(self, found: Words, keys: np.ndarray, low: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of at most REMEMBERED parts, from number `low` on, and how many each part has."""
+        keys = keys[low : low + REMEMBERED]
         number = self._find(keys)
         if (missing := np.flatnonzero(number < 0)).size:
             new, first = np.unique(keys[missing], return_index=True)
@@ -132,17 +141,16 @@ class Encoder:
                 self.forget()
                 new, missing = np.unique(keys, return_index=True)
                 first = slice(None)
-            raw = found.data.tobytes()
-            at = missing[first]
+            raw = found.data
+            at = low + missing[first]
             spans = zip(found.starts[at].tolist(), found.ends[at].tolist())
             # The key sees A-Z in lower case, so any spelling of it will do.
-            self._learn(new, [raw[a:b].decode() for a, b in spans])
+            self._learn(new, [raw[a:b].tobytes().decode() for a, b in spans])
             number = self._find(keys)
         begins = self.begins[number].astype(np.int64)
         lengths = self.begins[number + 1] - begins
         ends = np.concatenate([[0], np.cumsum(lengths)])
-        ids = self.pool[np.repeat(begins - ends[:-1], lengths) + np.arange(ends[-1])]
-        return ids, ends[found.bounds]
+        return self.pool[np.repeat(begins - ends[:-1], lengths) + np.arange(ends[-1])], lengths
 
 
 def default_tokenizer() -> str:
