@@ -459,6 +459,17 @@ def test_edited_passages_are_found(spark):
     assert all(left[i] == texts[i] for i in texts if i not in planted)
 
 
+def test_runs_inside_wider_runs_keep_their_links(spark):
+    rng = random.Random(31)
+    head, tail = ([f"w{rng.randrange(10**6)}" for _ in range(40)] for _ in range(2))
+    around = [[f"u{rng.randrange(10**6)}" for _ in range(30)] for _ in range(6)]
+    given = [head + ["one"] + tail, head[12:] + ["two"] + tail[:-12], head + ["two"] + tail]
+    docs = frame(spark, [(i, " ".join([*around[2 * i], *g, *around[2 * i + 1]])) for i, g in enumerate(given)])
+    found = substrings.passages(docs)
+    assert {(2, 0), (2, 1)} <= {(r.x_id, r.p_id) for r in found.collect()}
+    assert {r.doc_id: r.class_id for r in substrings.classes(found).collect()} == {0: 0, 1: 0, 2: 0}
+
+
 def test_alignment_of_insertions_and_repeated_words():
     rng = random.Random(29)
     a = [f"w{rng.randrange(900)}" for _ in range(80)]
