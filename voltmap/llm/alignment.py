@@ -18,6 +18,7 @@ import os
 import re
 import uuid
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -33,11 +34,12 @@ ID_BITS = 22
 PASS_PAIRS = 1 << 21
 #: Links of a group above this are counted by distinct ids instead of being listed.
 LISTED_LINKS = 1 << 12
-#: Parts remembered by a worker before it starts afresh.
-REMEMBERED = 1 << 18
+#: Parts remembered by a worker; beyond it, it forgets all but the most frequent half.
+REMEMBERED = 1 << 19
 #: Text handled at once, in bytes.
 PIECE_BYTES = 1 << 18
 
+_encoders: dict[tuple[str, str], Encoder] = {}
 _PART = re.compile(r" [^ ]*(?:(?<=\s) [^ ]*)*")
 
 
@@ -105,53 +107,71 @@ class Encoder:
         sizes = (a_size, b_size)
         self.names = [f"{i}{end}" for (inner, outer), n in zip(ends, sizes) for end in (inner, outer) for i in range(n)]
         self.b_space = [self.b.piece_to_id("▁")]
-        self._forget()
-
-    def _forget(self) -> None:
         self.known: dict[str, int] = {}
-        self.ids = [np.zeros(0, np.int64), np.zeros(0, np.int64)]
+        self.ids = [np.zeros(0, np.int32), np.zeros(0, np.int32)]
         self.bounds = [np.zeros(1, np.int64), np.zeros(1, np.int64)]
-        self.faithful = np.zeros(0, dtype=bool)
+        self.faithful, self.uses = np.zeros(0, dtype=bool), np.zeros(0, np.int64)
+
+    def _forget(self) -> None:
+        """Keep the most used half of the parts."""
+        keep = np.sort(np.argsort(-self.uses, kind="stable")[: REMEMBERED // 2])
+        parts = list(self.known)
+        self.known = {parts[i]: k for k, i in enumerate(keep.tolist())}
+        for k in range(2):
+            self.ids[k], length = self._gather(k, keep)
+            self.bounds[k] = np.concatenate([[0], np.cumsum(length)])
+        self.faithful, self.uses = self.faithful[keep], self.uses[keep] >> 1
+
+    def _gather(self, k: int, parts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the k-th tokenizer for numbered parts in turn, and how many each has."""
+        bounds = self.bounds[k]
+        length = bounds[parts + 1] - bounds[parts]
+        at = np.repeat(bounds[parts] - np.cumsum(length) + length, length) + np.arange(length.sum())
+        return self.ids[k][at], length
 
     def _learn(self, parts: list[str]) -> None:
         a = [e.ids for e in self.a.encode_batch_fast(parts, add_special_tokens=False)]
         b = self.b.encode([p[1:] for p in parts], num_threads=1)
         # An empty rest would be encoded to nothing, without the space before it.
         b = [self.b_space if p == " " else x for p, x in zip(parts, b)]
-        same = [
-            b"".join([self.a_bytes[i] for i in x]) == raw and b"".join([self.b_bytes[i] for i in y]) == raw
-            for x, y, raw in zip(a, b, (p.encode() for p in parts))
-        ]
-        for k, made in enumerate((a, b)):
+        raw = [p.encode() for p in parts]
+        same = np.ones(len(parts), dtype=bool)
+        for k, (made, pieces) in enumerate(((a, self.a_bytes), (b, self.b_bytes))):
             counts = np.cumsum(np.fromiter(map(len, made), np.int64, len(made)))
-            flat = np.fromiter((i for x in made for i in x), np.int64, int(counts[-1]))
+            flat = np.fromiter(chain.from_iterable(made), np.int32, int(counts[-1]))
+            said = [pieces[i] for i in flat.tolist()]
+            upto = np.concatenate([[0], np.cumsum((self.a_length, self.b_length)[k][flat])])[counts]
+            if b"".join(said) != b"".join(raw) or not np.array_equal(upto, np.cumsum([len(x) for x in raw])):
+                ends = [0, *counts.tolist()]
+                same &= [b"".join(said[i:j]) == x for i, j, x in zip(ends[:-1], ends[1:], raw)]
             self.bounds[k] = np.concatenate([self.bounds[k], self.bounds[k][-1] + counts])
             self.ids[k] = np.concatenate([self.ids[k], flat])
-        self.faithful = np.concatenate([self.faithful, np.array(same, dtype=bool)])
+        self.faithful = np.concatenate([self.faithful, same])
+        self.uses = np.concatenate([self.uses, np.zeros(len(parts), np.int64)])
 
     def encode(self, texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
         """[(ids, bounds by text)] of both tokenizers; a text that either one alters has no ids."""
         if len(self.known) > REMEMBERED:
             self._forget()
         parts = [_PART.findall(" " + x) if x else [] for x in texts]
-        new = list(dict.fromkeys(p for own in parts for p in own if p not in self.known))
+        every = list(chain.from_iterable(parts))
+        new = [p for p in dict.fromkeys(every) if p not in self.known]
         if new:
             begin = len(self.known)
             self._learn(new)
             self.known.update(zip(new, range(begin, begin + len(new))))
-        known = self.known
-        flat = np.fromiter((known[p] for own in parts for p in own), np.int64)
+        flat = np.fromiter(map(self.known.__getitem__, every), np.int64, len(every))
+        self.uses += np.bincount(flat, minlength=len(self.uses))
         counts = np.fromiter(map(len, parts), np.int64, len(parts))
         owner = np.repeat(np.arange(len(parts)), counts)
         altered = np.zeros(len(parts), dtype=bool)
         altered[owner[~self.faithful[flat]]] = True
         flat, owner = flat[~altered[owner]], owner[~altered[owner]]
         out = []
-        for ids, bounds in zip(self.ids, self.bounds):
-            length = bounds[flat + 1] - bounds[flat]
-            at = np.repeat(bounds[flat] - np.cumsum(length) + length, length) + np.arange(length.sum())
+        for k in range(2):
+            ids, length = self._gather(k, flat)
             by_text = np.bincount(owner, weights=length, minlength=len(parts)).astype(np.int64)
-            out.append((ids[at], np.concatenate([[0], np.cumsum(by_text)])))
+            out.append((ids.astype(np.int64), np.concatenate([[0], np.cumsum(by_text)])))
         return out
 
 
@@ -245,7 +265,8 @@ def aligned(docs: DataFrame, a_path: str, b_path: str, id: str = "doc_id", text:
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encoder, row = Encoder(a_path, b_path), TaskContext.get().partitionId() << 40
+        encoder = _encoders.get((a_path, b_path)) or _encoders.setdefault((a_path, b_path), Encoder(a_path, b_path))
+        row = TaskContext.get().partitionId() << 40
         for batch in batches:
             for piece in T.pieces(batch, "text", PIECE_BYTES):
                 n = piece.num_rows
