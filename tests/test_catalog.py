@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from voltmap.plans.catalog import QUERIES, SQL
+from voltmap.plans.registered import QUERIES, SQL
 
 
 @pytest.fixture(scope="module")

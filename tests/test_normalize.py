@@ -117,3 +117,35 @@ def test_gates(spark):
     out = N.fallback_gates(df, ["extracted_at"], max_per_raw=2, max_per_source=3)
     got = {r.id for r in out.filter("allow_fallback").collect()}
     assert got == {"0", "1", "3"}
+
+
+def test_the_dictionary_gives_what_the_rules_give_row_by_row(spark):
+    cities = ["г. Томск", "Томск", None, "", "  ", "Томская область Томский район Томск", "деревня Лоскутово", "12"]
+    streets = ["улица Кирова, 12", "Кирова", None, "", "ул Ленина 5 корпус 2", "12 ул Мира", "пер. Ёлочный 22-26", "5", "ул", "Мира, 7а", "Иркутский тракт 44/1 стр 2"]
+    extras = [{}, {"houses": "5, 7"}, {"houses": ""}, {"houses": "б/н"}, {"address": "г Томск, ул Мира, д 5"}, {"houses": "9", "address": "Кирова, 3"}]
+    rows = [
+        record(i, location_city=c, location_street=s, extra=e, start_time=T0 if i % 9 else None, location_district=None if i % 2 else "Томский район")
+        for i, (c, s, e) in enumerate((c, s, e) for c in cities for s in streets for e in extras)
+    ]
+    parsed = frame(spark, *rows, *rows[:40])
+    columns = ["event_id", "location_normalized", "location_city", "location_street", "location_building", "confidence", "normalizer_path"]
+    for allow in (None, F.length("id") < 3):
+        want = N.to_events(N.with_fallback(parsed, allow_fallback=allow), extra=("normalizer_path",)).select(*columns)
+        got = N.normalize(parsed, allow_fallback=allow).select(*columns)
+        assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    want = N.to_events(N.with_automaton(parsed), "automaton").select(*columns[:-1])
+    assert sorted(map(str, N.normalize_by_automaton(parsed).select(*columns[:-1]).collect())) == sorted(map(str, want.collect()))
+
+
+def test_hot_addresses_and_known_ones_are_looked_up(spark, monkeypatch):
+    from voltmap.operators import dictionary as D
+
+    monkeypatch.setattr(D, "HOT_SHARE", 5)
+    rows = [record(i, location_street=f"улица Кирова, {i % 7}" if i % 3 else "улица Мира, 1") for i in range(60)]
+    parsed = frame(spark, *rows)
+    first, fresh = D.look_up(parsed.filter("id < 30"))
+    assert fresh.count() == 8 and first.count() == 30
+    every, more = D.look_up(parsed, fresh)
+    assert more.count() == 0 and every.count() == 60
+    got = {r.id: r.key for r in every.select("id", F.col("entry.automaton_key").alias("key")).collect()}
+    assert all(got[str(i)] == ("томск|мира|12" if i % 3 == 0 else "томск|кирова|12") for i in range(60))

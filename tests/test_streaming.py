@@ -93,60 +93,6 @@ def test_silence_alerts(spark):
     assert sorted(kinds["a"]) == ["parser.recovered", "parser.silent", "parser.silent"]
 
 
-RAW_DDL = "id string, source_id string, raw_content string, trace_id string, fetched_at timestamp"
-
-
-def payload(i, start, end=None, source="s1", day="2026-05-12"):
-    stop = f',"restoreDate":"{day}T{end}"' if end else ""
-    text = f'[{{"city":"Томск","street":"ул Мира","commaSeparatedHouses":"5","shutdownDate":"{day}T{start}"{stop}}}]'
-    return (i, source, text, "t", T0)
-
-
-def test_ingest_loses_nothing_and_is_idempotent(spark):
-    src, out = (tempfile.mkdtemp(prefix="voltmap-") for _ in range(2))
-    batches = [
-        [payload("r1", "10:00:00", "11:00:00"), payload("r2", "10:00:00", source="nobody"), payload("r3", "20:00:00", source="muted"),
-         payload("r5", "16:00:00", "17:00:00")],
-        # A repeated payload, and a late one that ties both outages together.
-        [payload("r4", "10:00:00", "11:00:00"), payload("r6", "11:10:00", "15:50:00")],
-    ]
-    for i, rows in enumerate(batches):
-        spark.createDataFrame(rows, RAW_DDL).coalesce(1).write.mode("append").parquet(f"{src}/b{i}")
-    sources = spark.createDataFrame(
-        [("s1", {"parser": "format_two"}), ("muted", {"parser": "format_two", "normalization_enabled": "no"})],
-        "id string, parser_profile map<string,string>",
-    )
-
-    def matched(events):
-        return events.select("event_id", F.col("members").alias("weight"))
-
-    def go():
-        chk = tempfile.mkdtemp(prefix="voltmap-")
-        stream = spark.readStream.schema(RAW_DDL).option("maxFilesPerTrigger", 1).parquet(f"{src}/*")
-        S.ingest(stream, sources, out, F.lit(T0), matched).option("checkpointLocation", chk).trigger(
-            availableNow=True
-        ).start().awaitTermination(300)
-        schema = spark.createDataFrame([], S.EVENT_FIELDS + ", deleted boolean").schema
-        events = S.Log(out, "normalized_events", ["event_id"]).current(spark, schema).collect()
-        seen = S.Log(out, "event_sources", ["event_id", "source"]).current(
-            spark, spark.createDataFrame([], "event_id string, source string, seen_at timestamp").schema
-        ).collect()
-        impacts = S.current_impacts(spark, out, spark.createDataFrame([], "event_id string, weight long").schema).collect()
-        return events, seen, impacts
-
-    events, seen, impacts = go()
-    assert [(e.location_normalized, e.start_time, e.end_time, e.members) for e in events] == [
-        ("томск|мира|5", dt.datetime(2026, 5, 12, 3), dt.datetime(2026, 5, 12, 10), 3)
-    ]
-    assert {s.source for s in seen if s.event_id == events[0].event_id} == {"r1", "r5", "r6"}
-    assert [(i.event_id, i.weight) for i in impacts] == [(events[0].event_id, 3)]
-    assert {r.id for r in spark.read.parquet(f"{out}/quarantine").collect()} == {"r2"}
-    assert {r.id for r in spark.read.parquet(f"{out}/raw_records").collect()} >= {"r1", "r3", "r5", "r6"}
-    assert "r4" not in {r.id for r in spark.read.parquet(f"{out}/raw_records").collect()}
-    again = go()  # the same batches once more, from the start
-    assert [sorted(map(str, x)) for x in again] == [sorted(map(str, x)) for x in (events, seen, impacts)]
-
-
 def test_rolling_timings(spark):
     rows = [("done", at(5), 10), ("done", at(50), 30), ("failed", at(70), 20), ("running", at(75), 99)]
     tasks = spark.createDataFrame([("x", *r) for r in rows], "task_type string, status string, completed_at timestamp, duration_ms int")

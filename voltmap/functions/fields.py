@@ -163,8 +163,10 @@ def _off_grid(c: Column) -> Column:
 
 
 def _scored(texts: Column, confidence: float) -> Column:
+    """Candidates in order, each text once: what an address repeats is not looked at again."""
     return F.transform(
-        texts, lambda t: F.struct(t.alias("text"), F.lit(confidence).alias("confidence"))
+        F.array_compact(F.array_distinct(texts)),
+        lambda t: F.struct(t.alias("text"), F.lit(confidence).alias("confidence")),
     )
 
 

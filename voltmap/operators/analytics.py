@@ -62,6 +62,29 @@ def success_rates(tasks: DataFrame, since: Column, id_pattern: str = r"^[0-9a-fA
     )
 
 
+def pipeline_metrics(
+    tasks: DataFrame, calls: DataFrame, since: Column, prompt_price: float, completion_price: float
+) -> DataFrame:
+    """The metrics view of one time window as rows part, name, value.
+
+    Stage timings, totals and costs of model calls, and the mix of normalizer paths, all since
+    the same time.
+    """
+    def long(df, part, names, key=None):
+        pairs = F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("value")) for c in names])
+        label = F.lit(part) if key is None else F.concat(F.lit(f"{part}."), F.col(key))
+        return df.select(label.alias("part"), F.inline(pairs))
+
+    timings = stage_timings(tasks, since)
+    totals = call_totals(calls.filter(F.col("created_at") >= since), prompt_price, completion_price)
+    mix = path_mix(tasks, since)
+    return (
+        long(timings, "stage", [c for c in timings.columns if c != "task_type"], "task_type")
+        .unionByName(long(totals, "calls", totals.columns))
+        .unionByName(long(mix, "paths", mix.columns))
+    )
+
+
 def silent_sources(
     sources: DataFrame, raw: DataFrame, as_of: Column, multiplier: float = K.SILENT_MULTIPLIER
 ) -> DataFrame:
@@ -100,6 +123,15 @@ def silence_transitions(
     return joined.filter(quiet).select("source_id", F.explode(both).alias("e")).select("source_id", "e.*")
 
 
+def latch_difference(alerted: DataFrame, silent: DataFrame) -> DataFrame:
+    """What changed since the last look (columns id): newly silent and recovered sources."""
+    now, before = (df.select("id").distinct() for df in (silent, alerted))
+    return (
+        now.join(before, "id", "left_anti").withColumn("event_type", F.lit("parser.silent"))
+        .unionByName(before.join(now, "id", "left_anti").withColumn("event_type", F.lit("parser.recovered")))
+    )
+
+
 def source_health(
     sources: DataFrame, raw: DataFrame, tasks: DataFrame, as_of: Column, hours: int = 24,
     id_pattern: str = r"^[0-9a-fA-F-]{32,36}$",
@@ -439,6 +471,24 @@ def evaluate(results: DataFrame) -> tuple[DataFrame, DataFrame]:
     return rates, failures
 
 
+def evaluate_normalizer(cases: DataFrame, threshold: float = K.FALLBACK_THRESHOLD) -> tuple[DataFrame, DataFrame]:
+    """Normalizes labelled cases (`documents.read_cases`) and rates the results: (rates, failures).
+
+    Failures carry the expected and the actual values, and whether there was a result at all.
+    """
+    from voltmap.operators.normalize import normalize
+
+    got = normalize(cases, threshold).select(
+        F.col("parsed_record_id").alias("id"), "event_type", F.col("location_normalized").alias("key"), "confidence"
+    )
+    expected = cases.select("id", "name", "expected_event_type", "expected_canonical_key", "min_confidence")
+    rates, failures = evaluate(expected.join(got, "id", "left"))
+    return rates, failures.select(
+        "name", F.when(~F.col("normalized"), "no result").otherwise("other values").alias("reason"),
+        "expected_event_type", "event_type", "expected_canonical_key", "key", "min_confidence", "confidence",
+    )
+
+
 def compare_normalizers(results: DataFrame) -> DataFrame:
     """Automaton alone against automaton plus regex recovery, one row of counts.
 
@@ -554,6 +604,22 @@ def map_offices(rows: DataFrame) -> DataFrame:
     )
 
 
+def ranked_impacts(rows: DataFrame) -> DataFrame:
+    """The impacts of `map_impacts` with their place in their office's list, worst and earliest first."""
+    listed = rows.filter("impact_id IS NOT NULL")
+    place = F.row_number().over(Window.partitionBy("office_id").orderBy(*impact_order(), "impact_id"))
+    return listed.withColumn("place", place)
+
+
+def by_name(rows: DataFrame, group: list[str], name: str, language: str = "ru", out: str = "place") -> DataFrame:
+    """Rows with their place by name inside their group, in the order of a language's dictionary.
+
+    There ё stands with е, and case decides only between names that are equal otherwise.
+    """
+    order = Window.partitionBy(*group).orderBy(F.collate(F.col(name), language), F.col(name))
+    return rows.withColumn(out, F.row_number().over(order))
+
+
 def impact_order() -> list[Column]:
     return [
         R.rank_of(F.col("status"), K.STATUS_RANK).desc(),

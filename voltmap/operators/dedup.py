@@ -232,7 +232,15 @@ def merge_into(
     in the merge; all others pass through.
     """
     hit, rest = split_touched(stored, incoming)
-    columns = [c for c in incoming.columns if c in stored.columns]
+    merged, sources, audit = merge_touched(cut(hit), stored_sources, incoming)
+    return rest.unionByName(merged.select(*stored.columns)), sources, audit
+
+
+def merge_touched(
+    hit: DataFrame, stored_sources: DataFrame, incoming: DataFrame
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """`merge_into` where all stored events given are touched ones."""
+    columns = [c for c in incoming.columns if c in hit.columns]
     old = hit.select(*columns, "members").withColumn("sources", F.array().cast("array<string>"))
     new = incoming.select(*columns, "sources", F.lit(1).cast("long").alias("members"))
     placed = cut(with_island(old.unionByName(new)))
@@ -246,7 +254,7 @@ def merge_into(
     sources = carried.unionByName(event_sources(placed, merged)).groupBy("event_id", "source").agg(
         F.min("seen_at").alias("seen_at")
     )
-    return rest.unionByName(merged.select(*stored.columns)), sources, audit_rows(placed, merged)
+    return merged, sources, audit_rows(placed, merged)
 
 
 def new_payloads(incoming: DataFrame, stored: DataFrame) -> DataFrame:

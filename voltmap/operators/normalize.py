@@ -29,6 +29,20 @@ def _result(city: Column, street: Column, building: Column, confidence: Column)
     )
 
 
+def address_confidence(city: Column, street: Column, building: Column, source: Column) -> Column:
+    """The weakest field of an address counts; a building only where there is a text of one."""
+    slots = F.least(city["confidence"], street["confidence"])
+    slots = F.when(source.isNotNull(), F.least(slots, building["confidence"])).otherwise(slots)
+    return F.when(city["value"].isNull(), slots * K.NO_CITY_FACTOR).otherwise(slots)
+
+
+def address_result(building: Column, confidence: Column) -> Column:
+    """The automaton's result: the city and street fields as they stand, and the building found."""
+    return _result(
+        blank_to_null(F.col("location_city")), blank_to_null(F.col("location_street")), building, confidence
+    )
+
+
 def with_automaton(parsed: DataFrame, out: str = "automaton") -> DataFrame:
     """Add the automaton result; null when there is no start time or street."""
     staged = (
@@ -44,18 +58,9 @@ def with_automaton(parsed: DataFrame, out: str = "automaton") -> DataFrame:
         .withColumn("_bn", A.normalize_text("_source"))
         .withColumn("_building", P.building_automaton(F.col("_source"), F.col("_bn")))
     )
-    slots = F.least(F.col("_city.confidence"), F.col("_street.confidence"))
-    slots = F.when(
-        F.col("_source").isNotNull(), F.least(slots, F.col("_building.confidence"))
-    ).otherwise(slots)
-    confidence = F.when(F.col("_city.value").isNull(), slots * K.NO_CITY_FACTOR).otherwise(slots)
+    confidence = address_confidence(F.col("_city"), F.col("_street"), F.col("_building"), F.col("_source"))
     usable = F.col("start_time").isNotNull() & F.col("_street.value").isNotNull()
-    result = _result(
-        blank_to_null(F.col("location_city")),
-        blank_to_null(F.col("location_street")),
-        F.col("_building.value"),
-        confidence,
-    )
+    result = address_result(F.col("_building.value"), confidence)
     return staged.withColumn(out, F.when(usable, result)).drop(
         "_cn", "_sn", "_bn", "_houses", "_city", "_street", "_source", "_building"
     )
@@ -223,15 +228,20 @@ def with_canonical_key(df: DataFrame, city: Column, street: Column, building: Co
     )
 
 
-def to_events(results: DataFrame, result: str = "result", extra: tuple[str, ...] = ()) -> DataFrame:
+def to_events(
+    results: DataFrame, result: str = "result", extra: tuple[str, ...] = (), key: Column | None = None
+) -> DataFrame:
     """Normalized event rows from a result struct column; rows without one drop out.
 
-    Event ids derive from the parsed record id, so a rerun yields the same ids.
+    Event ids derive from the parsed record id, so a rerun yields the same ids.  `key` is the
+    canonical key of the result where it is known already.
     """
     r = F.col(result)
-    keyed = with_canonical_key(
-        keep(results, r.isNotNull()), r["city"], r["street"], r["building"], "location_normalized"
-    )
+    kept = keep(results, r.isNotNull())
+    if key is None:
+        keyed = with_canonical_key(kept, r["city"], r["street"], r["building"], "location_normalized")
+    else:
+        keyed = kept.withColumn("location_normalized", key)
     return keyed.select(
         content_id(F.lit("event"), F.col("id")).alias("event_id"),
         F.col("id").alias("parsed_record_id"),
@@ -252,14 +262,45 @@ def to_events(results: DataFrame, result: str = "result", extra: tuple[str, ...]
     )
 
 
+def from_entries(looked_up: DataFrame, allow_fallback: Column | None = None) -> DataFrame:
+    """Events of records with the dictionary's `entry`, by the rule of `with_fallback`."""
+    allowed = F.lit(True) if allow_fallback is None else allow_fallback
+    timed = F.col("start_time").isNotNull()
+    staged = looked_up.withColumns(
+        {"automaton": F.when(timed, F.col("entry.automaton")), "regex": F.when(timed & allowed, F.col("entry.regex"))}
+    )
+    takes_regex = F.col("regex").isNotNull() & (
+        F.col("automaton").isNull() | (slot_count(F.col("regex")) >= slot_count(F.col("automaton")))
+    )
+    staged = staged.withColumn("_takes", takes_regex).withColumns(
+        {
+            "result": F.when(F.col("_takes"), F.col("regex")).otherwise(F.col("automaton")),
+            "normalizer_path": F.when(F.col("_takes"), "regex_fallback").otherwise("automaton"),
+        }
+    )
+    key = F.when(F.col("_takes"), F.col("entry.regex_key")).otherwise(F.col("entry.automaton_key"))
+    return to_events(staged, extra=("normalizer_path",), key=key)
+
+
 def normalize(
     parsed: DataFrame,
     threshold: float = K.FALLBACK_THRESHOLD,
     allow_fallback: Column | None = None,
 ) -> DataFrame:
-    return to_events(
-        with_fallback(parsed, threshold, allow_fallback), extra=("normalizer_path",)
+    """Events of parsed records; every distinct address is normalized once."""
+    from voltmap.operators.dictionary import look_up
+
+    return from_entries(look_up(parsed, threshold=threshold)[0], allow_fallback)
+
+
+def normalize_by_automaton(parsed: DataFrame) -> DataFrame:
+    """Events of the automaton alone, by the same dictionary."""
+    from voltmap.operators.dictionary import look_up
+
+    rows = look_up(parsed)[0].withColumn(
+        "automaton", F.when(F.col("start_time").isNotNull(), F.col("entry.automaton"))
     )
+    return to_events(rows, "automaton", key=F.col("entry.automaton_key"))
 
 
 def normalize_with_cache(
@@ -297,6 +338,7 @@ def fallback_gates(
     enabled: bool = True,
     max_per_raw: int | None = None,
     max_per_source: int | None = None,
+    used: DataFrame | None = None,
 ) -> DataFrame:
     """Add `allow_fallback` per parsed record.
 
@@ -304,7 +346,8 @@ def fallback_gates(
     its payload).  `raw_order` orders the payloads of a source for the running
     budget.  The per-payload limit is a comparison on `pos`; the per-source
     budget is a prefix count taken over per-payload totals, so no task ever
-    holds all records of a source.
+    holds all records of a source.  `used` (source_id, used) is what earlier batches took of
+    the budget; `budget_spent` gives it for the next one.
     """
     profile = F.col("parser_profile")
 
@@ -330,6 +373,11 @@ def fallback_gates(
     before = prefix_totals(totals, ["source_id"], [*raw_order, "raw_record_id"], "_n", "_used").select(
         "source_id", "raw_record_id", "_used"
     )
+    if used is not None:
+        earlier = used.select(F.col("source_id").alias("_source"), F.col("used").alias("_earlier"))
+        before = before.join(earlier, F.col("source_id").eqNullSafe(F.col("_source")), "left").select(
+            "source_id", "raw_record_id", (F.col("_used") + F.coalesce("_earlier", F.lit(0))).alias("_used")
+        )
     joined = gated.alias("g").join(
         before.alias("b"),
         F.col("g.source_id").eqNullSafe(F.col("b.source_id"))
@@ -338,3 +386,12 @@ def fallback_gates(
     return joined.withColumn(
         "allow_fallback", F.col("_candidate") & (F.col("_used") + F.col("pos") < max_per_source)
     ).drop("_candidate", "_used")
+
+
+def budget_spent(gated: DataFrame, used: DataFrame) -> DataFrame:
+    """(source_id, used) after the records that `fallback_gates` allowed, for the sources among them."""
+    taken = gated.filter("allow_fallback").groupBy("source_id").agg(F.count("*").alias("_taken"))
+    earlier = used.select(F.col("source_id").alias("_source"), "used")
+    return taken.join(earlier, F.col("source_id").eqNullSafe(F.col("_source")), "left").select(
+        "source_id", (F.col("_taken") + F.coalesce("used", F.lit(0))).alias("used")
+    )

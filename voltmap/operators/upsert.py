@@ -132,19 +132,49 @@ def rewrite_incomplete(tasks: DataFrame, status: str, reason: str, now: Column)
     return out
 
 
-def append(df: DataFrame, path: str) -> None:
-    """Append-only tables: audit rows, event log, model calls, queue samples."""
-    df.write.mode("append").parquet(path)
-
-
-def export_offices(offices: DataFrame, path: str) -> None:
-    """Registry as JSON lines and as a flat quoted CSV with header."""
-    offices.write.mode("overwrite").json(f"{path}/json")
-    flat = ["name", "city", "address", "region", "is_active", "latitude", "longitude"]
-    extras = [F.try_element_at("extra", F.lit(k)).alias(k) for k in ("source_url", "office_id")]
-    offices.select(*flat, *extras).write.mode("overwrite").option("header", True).option(
-        "escape", '"'
-    ).csv(f"{path}/csv")
+def append(df: DataFrame, path: str, batch: str | int) -> bool:
+    """Append-only tables: audit rows, event log, model calls, queue samples.
+
+    Rows go to a folder of their batch, whose success marker tells that it is complete: a batch
+    that is sent again adds nothing, one that broke off is written anew.  False: it was there.
+    """
+    from voltmap.sources.files import Files
+
+    folder = f"{path}/batch={batch}"
+    if Files(df.sparkSession, path).exists(f"{folder}/_SUCCESS"):
+        return False
+    df.write.mode("overwrite").parquet(folder)
+    return True
+
+
+def replace_registry(batch, offices: DataFrame, dependent: tuple[str, ...] = ("office_impacts", "notifications")) -> None:
+    """All offices in place of the earlier ones; what hangs on those goes in the same commit.
+
+    `batch` is one of a `streaming.store.Store`.  Until its commit readers see the old
+    offices with their impacts and notifications, then the new ones without any.
+    """
+    batch.replace("offices", offices)
+    for name in dependent:
+        batch.clear(name)
+    batch.commit()
+
+
+_CSV = ("name", "city", "address", "region", "is_active", "latitude", "longitude")
+
+
+def export_offices(offices: DataFrame, path: str, documents: int = 16) -> None:
+    """Registry as JSON documents {"offices": [...]} and as a flat quoted CSV with header.
+
+    A JSON document is read whole, so the registry is dealt over `documents` files.
+    """
+    columns = [*_CSV, *(["extra"] if "extra" in offices.columns else [])]
+    dealt = offices.select(F.pmod(F.xxhash64("name", "city", "address"), F.lit(documents)).alias("part"), F.struct(*columns).alias("o"))
+    whole = dealt.groupBy("part").agg(F.collect_list("o").alias("offices"))
+    whole.select("part", F.to_json(F.struct("offices")).alias("value")).write.mode("overwrite").partitionBy("part").text(f"{path}/json")
+    extras = [
+        F.try_element_at("extra", F.lit(k)).alias(k) for k in ("source_url", "office_id") if "extra" in offices.columns
+    ]
+    offices.select(*_CSV, *extras).write.mode("overwrite").option("header", True).option("escape", '"').csv(f"{path}/csv")
 
 
 def export_metadata(offices: DataFrame, candidate_cities: DataFrame, generated_at: Column) -> DataFrame:

@@ -478,12 +478,12 @@ def _(t):
     )
 
 
-def _html_raw(t: Tables) -> DataFrame:
+def _html(k):
+    """A page with the outage of an order as the one row of its table."""
     def p(css, label, value):
         return F.concat(F.lit(f'<p class="{css}"><label>{label}</label> '), value, F.lit("</p>"))
 
-    k = F.col("o_orderkey")
-    td = F.concat(
+    return F.concat(
         F.lit('<table class="x shuthown_table"><tr><th>h</th></tr><tr><td id="row-'), k.cast("string"), F.lit('">'),
         p("t1", "Где:", F.concat(F.lit("Томская обл, Томский р-н, деревня "), F.col("o_orderpriority"))),
         p("t2", "Адрес:", F.concat(F.lit("ул Мира, "), (k % 97).cast("string"))),
@@ -491,8 +491,12 @@ def _html_raw(t: Tables) -> DataFrame:
         p("t3", "Время:", F.when(k % 5 == 0, "всю ночь").when(k % 5 == 1, "с 22:00 до 3:15").otherwise("с 9:05 до 16:00")),
         p("t4", "Причина:", F.lit("ремонт")), p("t5", "Что:", F.lit("ТП-1")), F.lit("</td></tr></table>"),
     )
+
+
+def _html_raw(t: Tables) -> DataFrame:
+    k = F.col("o_orderkey")
     return t.dealt("orders", "o_orderkey").select(
-        k.cast("string").alias("id"), F.col("o_custkey").cast("string").alias("source_id"), td.alias("raw_content"),
+        k.cast("string").alias("id"), F.col("o_custkey").cast("string").alias("source_id"), _html(k).alias("raw_content"),
         F.lit("t").alias("trace_id"), F.col("o_orderdate").cast("timestamp").alias("fetched_at"),
         F.create_map(F.lit("date_filter_days"), F.lit("400")).alias("parser_profile"),
     )
@@ -516,24 +520,34 @@ def _(t):
 
 @query(
     "parse_dispatch",
-    """SELECT CASE WHEN s.id IS NOT NULL AND o_custkey % 4 = 2 AND o_orderdate BETWEEN DATE '1998-06-01' AND DATE '1998-06-01' + 400 THEN 'parsed'
- WHEN s.id IS NULL OR o_custkey % 4 = 3 THEN 'quarantine' END AS outcome, count(*) AS n
-FROM orders LEFT JOIN sources s ON CAST(o_custkey AS VARCHAR) = s.id
-WHERE (s.id IS NULL OR o_custkey % 4 = 3) OR (o_custkey % 4 = 2 AND o_orderdate BETWEEN DATE '1998-06-01' AND DATE '1998-06-01' + 400)
-GROUP BY 1""",
+    """SELECT CAST(k AS VARCHAR) AS raw_record_id, CASE WHEN f = 3 THEN 'no parser registered for: unknown' WHEN f = 4 THEN 'no parser registered for: '
+  WHEN k % 7 = 3 THEN 'malformed payload for: format_' || CASE f WHEN 0 THEN 'one' WHEN 1 THEN 'two' ELSE 'three' END END AS error,
+ CASE WHEN f < 3 AND k % 7 <> 3 THEN CASE f WHEN 0 THEN CAST(k AS VARCHAR) WHEN 2 THEN 'row-' || k END END AS external_id,
+ CASE WHEN f < 3 AND k % 7 <> 3 THEN CASE WHEN f = 1 THEN strftime(d + INTERVAL 2 HOUR, '%Y-%m-%d %H:%M:%S')
+  WHEN f = 0 THEN strftime(d + to_hours(CAST(k % 24 AS INT)) - INTERVAL 7 HOUR, '%Y-%m-%d %H:%M:%S')
+  WHEN k % 5 = 0 THEN NULL WHEN k % 5 = 1 THEN strftime(d + INTERVAL 15 HOUR, '%Y-%m-%d %H:%M:%S')
+  ELSE strftime(d + INTERVAL 125 MINUTE, '%Y-%m-%d %H:%M:%S') END END AS start_time
+FROM (SELECT o_orderkey AS k, o_orderdate AS d, CASE WHEN s.id IS NULL THEN 4 ELSE o_custkey % 4 END AS f
+ FROM orders LEFT JOIN sources s ON CAST(o_custkey AS VARCHAR) = s.id)
+WHERE f > 2 OR k % 7 = 3 OR CAST(d AS DATE) BETWEEN DATE '1998-06-01' AND DATE '1998-06-01' + 400""",
     (B.SOURCES,),
 )
 def _(t):
-    raw = payloads.with_profile(
-        _html_raw(t).drop("parser_profile"), t.sources(), override={"date_filter_days": "400"}
+    """Payloads of all formats, known and unknown, some of them cut short, in one pass."""
+    k, f = F.col("o_orderkey"), F.col("o_custkey") % 4
+    one = F.struct(
+        k.cast("string").alias("id"), F.date_format("o_orderdate", "dd.MM.yyyy").alias("date_start"),
+        F.concat((k % 24).cast("string"), F.lit(":00")).alias("time_start"),
     )
-    parsed, unknown = payloads.parse(raw, ts(O_DAY))
-    return (
-        parsed.select(F.lit("parsed").alias("outcome"))
-        .unionByName(unknown.select(F.lit("quarantine").alias("outcome")))
-        .groupBy("outcome")
-        .agg(F.count("*").alias("n"))
+    two = F.struct(F.date_format("o_orderdate", "yyyy-MM-dd'T'09:00:00").alias("shutdownDate"))
+    whole = F.when(f == 0, F.to_json(F.array(one))).when(f == 1, F.to_json(F.array(two))).otherwise(_html(k))
+    raw = t.dealt("orders", "o_orderkey").select(
+        k.cast("string").alias("id"), F.col("o_custkey").cast("string").alias("source_id"),
+        F.when(k % 7 == 3, F.substr(whole, F.lit(1), F.length(whole) - 8)).otherwise(whole).alias("raw_content"),
+        F.lit("t").alias("trace_id"), F.col("o_orderdate").cast("timestamp").alias("fetched_at"),
     )
+    profiled = payloads.with_profile(raw, t.sources(), override={"date_filter_days": "400"})
+    return payloads.dispatch(profiled, ts(O_DAY)).select("raw_record_id", "error", "external_id", shown("start_time"))
 
 
 @query(
@@ -661,7 +675,7 @@ def _(t):
     f"SELECT CAST(k AS VARCHAR) AS id, {_KEY} AS location_normalized FROM parsed WHERE t <> 5", (B.PARSED,),
 )
 def _(t):
-    return normalize.to_events(normalize.with_automaton(t.parsed()), "automaton").select(
+    return normalize.normalize_by_automaton(t.parsed()).select(
         F.col("parsed_record_id").alias("id"), "location_normalized"
     )
 
@@ -673,10 +687,10 @@ def _(t):
     "FROM parsed", (B.PARSED,),
 )
 def _(t):
-    houses = F.try_element_at("extra", F.lit("houses"))
-    rows = t.parsed()
+    houses = F.try_element_at("extra", F.lit("houses")).alias("houses")
+    rows = t.parsed().select("location_city", "location_street", houses).distinct()
     return normalize.with_canonical_key(
-        rows, F.col("location_city"), F.col("location_street"), houses, "key"
+        rows, F.col("location_city"), F.col("location_street"), F.col("houses"), "key"
     ).select("key").distinct()
 
 
@@ -1408,13 +1422,13 @@ def _(t):
 
 @query(
     "newest_cities",
-    "SELECT n_nationkey % 7 AS id, max(n_nationkey) AS pos FROM nation WHERE n_regionkey IN (0, 2, 3) GROUP BY 1",
+    "SELECT c_custkey // 7 AS id, max(c_custkey) AS pos FROM customer WHERE c_nationkey IN (0, 2, 3, 11, 24) GROUP BY 1",
 )
 def _(t):
-    rows = t.read("nation").selectExpr(
-        "n_nationkey % 7 AS id", "CAST(n_regionkey AS string) AS area_name", "n_nationkey AS pos"
+    rows = t.read("customer").selectExpr(
+        "c_custkey DIV 7 AS id", "CAST(c_nationkey AS string) AS area_name", "c_custkey AS pos"
     )
-    return documents.distinct_cities(rows, ["0", "2", "3"], [F.col("pos")]).select("id", "pos")
+    return documents.distinct_cities(rows, ["0", "2", "3", "11", "24"], [F.col("pos")]).select("id", "pos")
 
 
 @query(

@@ -75,13 +75,21 @@ def attribute_json(html: Column, attribute: str = "data-module-options", needs:
 
 
 def branch_offices(pages: DataFrame, bank: str, default_name: str) -> DataFrame:
-    """Directory pages (city, region, html) -> office rows; details fill gaps by id."""
-    parsed = pages.withColumn("_o", F.from_json(attribute_json(F.col("html")), _OPTIONS))
+    """Directory pages (city, region, html) -> office rows; details fill gaps by id.
+
+    Branches and details of a page meet by an aggregation over (page, id), so a page of any
+    number of branches takes a time in proportion to it, and its html is dropped at once.
+    """
+    parsed = pages.select("city", "region", F.from_json(attribute_json(F.col("html")), _OPTIONS).alias("_o")).select(
+        F.sha2(F.to_json(F.struct("_o", "city", "region")), 256).alias("_page"), "city", "region", "_o"
+    )
+    rows = parsed.select("_page", "city", "region", F.posexplode("_o.resultsMap.data").alias("_at", "m")).filter(
+        F.col("m.type") == "office"
+    )
     # A later detail with the same id wins, as in a map built front to back.
-    details = F.reverse(F.col("_o.results.data"))
-    rows = parsed.select("city", "region", "html", details.alias("_d"), F.explode("_o.resultsMap.data").alias("m"))
-    found = F.try_element_at(F.filter("_d", lambda d: d["id"] == F.col("m.id")), F.lit(1))
-    rows = rows.filter(F.col("m.type") == "office").withColumn("_f", found)
+    details = parsed.select("_page", F.posexplode("_o.results.data").alias("_at", "d")).filter("d.id IS NOT NULL")
+    last = details.groupBy("_page", F.col("d.id").alias("_id")).agg(F.max_by("d", "_at").alias("_f"))
+    rows = rows.join(last, (rows["_page"] == last["_page"]) & (F.col("m.id") == F.col("_id")), "left")
     name = collapse_spaces(
         F.coalesce(empty_to_null(F.col("m.name")), empty_to_null(F.col("_f.name")), F.lit(default_name))
     )

@@ -1,4 +1,4 @@
-"""Raw payloads -> parsed records, one function per payload format.
+"""Raw payloads -> parsed records, all formats in one pass.
 
 A raw frame has id, source_id, raw_content, trace_id, fetched_at and
 parser_profile (map<string,string>).  `as_of` fixes 'today' for the date window.
@@ -6,6 +6,8 @@ parser_profile (map<string,string>).  `as_of` fixes 'today' for the date window.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,16 +15,7 @@ from voltmap import constants as K, schemas
 from voltmap.functions import rules as R
 from voltmap.functions.hashing import content_hash, content_id
 from voltmap.functions.text import blank_to_null, split_locality, strip
-
-FORMAT_ONE = (
-    "struct<id:string,date_start:string,date_finish:string,time_start:string,"
-    "time_finish:string,gorod:string,raion:string,street:string,region:string,res:string,f_otkl:string>"
-)
-FORMAT_TWO = (
-    "struct<region:string,city:string,street:string,commaSeparatedHouses:string,"
-    "shutdownDate:string,restoreDate:string,type:string>"
-)
-
+from voltmap.operators.running import keep
 
 def read_raw(
     spark: SparkSession, path: str, source_type: str, fetched_at: Column, max_bytes: int | None = None
@@ -54,129 +47,181 @@ def profile_int(key: str, default: int) -> Column:
     return F.coalesce(value.try_cast("int"), F.lit(default))
 
 
-def _items(raw: DataFrame, fmt: str) -> DataFrame:
-    """Explode a JSON array payload; anything else yields no rows.
+def json_elements(text: Column) -> Column:
+    """Elements of a JSON array; null for anything else.
 
-    Elements are read one by one, so one that is no object does not lose the others.
+    The parser stops at the end of the first value, so what follows it must be looked for.
     """
-    texts = F.from_json("raw_content", "array<string>")
-    exploded = raw.filter(F.col("raw_content").rlike(r"^\s*\[")).select("*", F.posexplode(texts).alias("pos", "_text"))
-    is_object = F.col("_text").rlike(r"^\s*\{")
-    return exploded.filter(is_object).withColumn("item", F.from_json("_text", fmt)).drop("_text").filter(
-        F.col("item").isNotNull()
-    )
+    ended = F.when(text.rlike(r"\]\s*$"), text)
+    whole = F.try_variant_get(F.try_parse_json(ended), "$", "array<variant>")
+    return F.transform(whole, lambda e: F.struct(e.alias("json"), F.lit(None).cast("string").alias("html")))
 
 
-def _record(**columns: Column) -> list[Column]:
-    null = F.lit(None).cast("string")
-    base = {
-        "raw_record_id": F.col("id"), "source_id": F.col("source_id"), "external_id": null,
-        "location_district": null, "trace_id": F.col("trace_id"), "extracted_at": F.col("fetched_at"),
-        "id": content_id(F.lit("parsed"), F.col("id"), F.col("pos")),
-    } | columns
-    names = [f.name for f in schemas.schema("parsed_records")]
-    return [base[n].alias(n) for n in names] + [F.col("pos"), F.col("parser_profile")]
+def table_rows(text: Column) -> Column:
+    """Rows of the table of outages; null if there is no such table."""
+    table = F.regexp_extract(text, r'(?is)<table[^>]*class="[^"]*shuthown_table[^"]*"[^>]*>.*?</table>', 0)
+    rows = F.regexp_extract_all(F.nullif(table, F.lit("")), F.lit(r"(?is)(<tr[^>]*>.*?</tr>)"), F.lit(1))
+    return F.transform(rows, lambda r: F.struct(F.lit(None).cast("variant").alias("json"), r.alias("html")))
 
 
-def parse_format_one(raw: DataFrame, as_of: Column) -> DataFrame:
-    """JSON array with local dates 'dd.MM.yyyy' and times 'HH:mm'."""
-    rows = _items(raw, FORMAT_ONE).withColumn("_day", blank_to_null(F.col("item.date_start")))
-    day = F.to_date(F.try_to_timestamp("_day", F.lit("d.M.yyyy")))
-    rows = rows.filter(
-        R.in_date_window(day, as_of, profile_int("date_filter_days", K.DEFAULT_DATE_FILTER_DAYS))
-    )
-    finish = blank_to_null(F.col("item.time_finish"))
-    return rows.select(
-        *_record(
-            external_id=blank_to_null(F.col("item.id")),
-            start_time=R.local_timestamp(
-                F.col("_day"), F.coalesce(blank_to_null(F.col("item.time_start")), F.lit("00:00"))
-            ),
-            end_time=F.when(
-                finish.isNotNull(),
-                R.local_timestamp(
-                    F.coalesce(blank_to_null(F.col("item.date_finish")), F.col("_day")), finish
-                ),
-            ),
-            location_city=blank_to_null(F.col("item.gorod")),
-            location_district=blank_to_null(F.col("item.raion")),
-            location_street=blank_to_null(F.col("item.street")),
-            location_region_code=blank_to_null(F.col("item.region")),
-            reason=blank_to_null(F.col("item.res")),
-            extra=F.create_map(F.lit("f_otkl"), F.col("item.f_otkl")),
-        )
-    )
+_STRINGS = ("external_id", "location_city", "location_district", "location_street", "location_region_code", "reason")
 
 
-def parse_format_two(raw: DataFrame, as_of: Column) -> DataFrame:
-    """JSON array with ISO times; naive times are in the source zone."""
-    rows = _items(raw, FORMAT_TWO).withColumn(
-        "_start", R.iso_timestamp(F.col("item.shutdownDate"), K.SOURCE_ZONE)
+def _fields(day: Column, **columns: Column) -> Column:
+    """A record as a struct of one type for all formats."""
+    null = F.lit(None).cast("string")
+    texts = [columns.get(c, null).alias(c) for c in _STRINGS]
+    rest = [columns[c].alias(c) for c in ("start_time", "end_time", "extra")]
+    return F.struct(day.alias("day"), *texts, *rest)
+
+
+def _json_text(key: str) -> Column:
+    return F.try_variant_get("_json", f"$.{key}", "string")
+
+
+def format_one(rows: DataFrame, mine: Column, out: str) -> DataFrame:
+    """Objects with local dates 'dd.MM.yyyy' and times 'HH:mm'."""
+    text = {k: blank_to_null(_json_text(k)) for k in ("date_start", "date_finish", "time_start", "time_finish")}
+    rows = rows.withColumn("_one_day", F.when(mine, text["date_start"]))
+    finish = text["time_finish"]
+    fields = _fields(
+        F.to_date(F.try_to_timestamp("_one_day", F.lit("d.M.yyyy"))),
+        external_id=blank_to_null(_json_text("id")),
+        start_time=R.local_timestamp(F.col("_one_day"), F.coalesce(text["time_start"], F.lit("00:00"))),
+        end_time=F.when(
+            finish.isNotNull(), R.local_timestamp(F.coalesce(text["date_finish"], F.col("_one_day")), finish)
+        ),
+        location_city=blank_to_null(_json_text("gorod")),
+        location_district=blank_to_null(_json_text("raion")),
+        location_street=blank_to_null(_json_text("street")),
+        location_region_code=blank_to_null(_json_text("region")),
+        reason=blank_to_null(_json_text("res")),
+        extra=F.create_map(F.lit("f_otkl"), _json_text("f_otkl")),
     )
-    day = F.to_date(F.from_utc_timestamp("_start", K.SOURCE_ZONE))
-    houses = blank_to_null(F.col("item.commaSeparatedHouses"))
+    return rows.withColumn(out, F.when(mine & F.col("_json").isNotNull(), fields)).drop("_one_day")
+
+
+def format_two(rows: DataFrame, mine: Column, out: str) -> DataFrame:
+    """Objects with ISO times; naive times are in the source zone."""
+    rows = rows.withColumn("_two_start", F.when(mine, R.iso_timestamp(_json_text("shutdownDate"), K.SOURCE_ZONE)))
+    houses = blank_to_null(_json_text("commaSeparatedHouses"))
     empty = F.create_map().cast("map<string,string>")
-    return rows.filter(
-        R.in_date_window(day, as_of, profile_int("date_filter_days", K.DEFAULT_DATE_FILTER_DAYS))
-    ).select(
-        *_record(
-            start_time=F.col("_start"),
-            end_time=R.iso_timestamp(F.col("item.restoreDate"), K.SOURCE_ZONE),
-            location_city=blank_to_null(F.col("item.city")),
-            location_street=blank_to_null(F.col("item.street")),
-            location_region_code=blank_to_null(F.col("item.region")),
-            reason=blank_to_null(F.col("item.type")),
-            extra=F.when(houses.isNotNull(), F.create_map(F.lit("houses"), houses)).otherwise(empty),
-        )
+    fields = _fields(
+        F.to_date(F.from_utc_timestamp("_two_start", K.SOURCE_ZONE)),
+        start_time=F.col("_two_start"),
+        end_time=R.iso_timestamp(_json_text("restoreDate"), K.SOURCE_ZONE),
+        location_city=blank_to_null(_json_text("city")),
+        location_street=blank_to_null(_json_text("street")),
+        location_region_code=blank_to_null(_json_text("region")),
+        reason=blank_to_null(_json_text("type")),
+        extra=F.when(houses.isNotNull(), F.create_map(F.lit("houses"), houses)).otherwise(empty),
     )
+    return rows.withColumn(out, F.when(mine & F.col("_json").isNotNull(), fields)).drop("_two_start")
 
 
-def _paragraph(row: Column, css: str, index: int = 1) -> Column:
-    """Text of the index-th <p class="css"> of a table row, without its label."""
-    pattern = rf'(?is)<p[^>]*class="[^"]*{css}[^"]*"[^>]*>(.*?)</p>'
-    inner = F.try_element_at(F.regexp_extract_all(row, F.lit(pattern), F.lit(1)), F.lit(index))
+def _paragraph(found: str, css: str, index: int = 1) -> Column:
+    """Text of the index-th <p class="css"> among the paragraphs found, without its label."""
+    own = F.filter(F.col(found), lambda p: p.rlike(rf'(?is)^<p[^>]*class="[^"]*{css}[^"]*"'))
+    inner = F.regexp_extract(F.try_element_at(own, F.lit(index)), r"(?is)^<p[^>]*>(.*)</p>$", 1)
     bare = F.regexp_replace(F.regexp_replace(inner, r"(?is)<label[^>]*>.*?</label>", ""), r"<[^>]+>", "")
     return strip(F.coalesce(bare, F.lit("")))
 
 
-def parse_format_three(raw: DataFrame, as_of: Column) -> DataFrame:
-    """HTML table of outages, one <tr> per record."""
-    table = F.regexp_extract(
-        "raw_content", r'(?is)<table[^>]*class="[^"]*shuthown_table[^"]*"[^>]*>(.*?)</table>', 1
-    )
-    rows = raw.withColumn(
-        "_rows", F.regexp_extract_all(table, F.lit(r"(?is)(<tr[^>]*>.*?</tr>)"), F.lit(1))
-    ).select("*", F.posexplode_outer("_rows").alias("pos", "_tr")).filter(F.col("_tr").isNotNull())
-    rows = rows.withColumns(
+def format_three(rows: DataFrame, mine: Column, out: str) -> DataFrame:
+    """Table rows with five classes of paragraphs."""
+    row = F.when(mine, F.col("_element.html"))
+    paragraphs = F.regexp_extract_all(row, F.lit(r'(?is)<p[^>]*class="[^"]*"[^>]*>.*?</p>'), F.lit(0))
+    rows = rows.withColumn("_three_p", paragraphs).withColumns(
         {
-            "_day": F.to_date(F.try_to_timestamp(_paragraph(F.col("_tr"), "t3", 1), F.lit("d.M.yyyy"))),
-            "_where": split_locality(_paragraph(F.col("_tr"), "t1")),
+            "_three_day": F.to_date(F.try_to_timestamp(_paragraph("_three_p", "t3", 1), F.lit("d.M.yyyy"))),
+            "_three_where": split_locality(_paragraph("_three_p", "t1")),
+            "_three_time": _paragraph("_three_p", "t3", 2),
         }
-    ).withColumn("_when", R.time_range(F.col("_day"), _paragraph(F.col("_tr"), "t3", 2)))
-    return rows.filter(
-        R.in_date_window(F.col("_day"), as_of, profile_int("date_filter_days", K.DEFAULT_DATE_FILTER_DAYS))
-    ).select(
-        *_record(
-            external_id=blank_to_null(F.regexp_extract("_tr", r'(?is)<td[^>]*\bid="([^"]*)"', 1)),
-            start_time=F.col("_when.start"),
-            end_time=F.col("_when.end"),
-            location_city=F.col("_where.city"),
-            location_district=F.col("_where.district"),
-            location_street=blank_to_null(_paragraph(F.col("_tr"), "t2")),
-            location_region_code=F.col("_where.region"),
-            reason=blank_to_null(_paragraph(F.col("_tr"), "t4")),
-            extra=F.create_map(F.lit("equipment"), _paragraph(F.col("_tr"), "t5")),
-        )
+    ).withColumn("_three_when", R.time_range(F.col("_three_day"), F.col("_three_time")))
+    fields = _fields(
+        F.col("_three_day"),
+        external_id=blank_to_null(F.regexp_extract("_element.html", r'(?is)<td[^>]*\bid="([^"]*)"', 1)),
+        start_time=F.col("_three_when.start"),
+        end_time=F.col("_three_when.end"),
+        location_city=F.col("_three_where.city"),
+        location_district=F.col("_three_where.district"),
+        location_street=blank_to_null(_paragraph("_three_p", "t2")),
+        location_region_code=F.col("_three_where.region"),
+        reason=blank_to_null(_paragraph("_three_p", "t4")),
+        extra=F.create_map(F.lit("equipment"), _paragraph("_three_p", "t5")),
+    )
+    return rows.withColumn(out, F.when(mine & F.col("_element.html").isNotNull(), fields)).drop(
+        "_three_p", "_three_day", "_three_where", "_three_time", "_three_when"
     )
 
 
-PARSERS = {
-    "format_one": parse_format_one,
-    "format_two": parse_format_two,
-    "format_three": parse_format_three,
+#: name -> (payload text to its elements, elements to records)
+PARSERS: dict[str, tuple[Callable[[Column], Column], Callable[[DataFrame, Column, str], DataFrame]]] = {
+    "format_one": (json_elements, format_one),
+    "format_two": (json_elements, format_two),
+    "format_three": (table_rows, format_three),
 }
 
 
+def dispatch(raw: DataFrame, as_of: Column, parsers: dict | None = None, only: str | None = None) -> DataFrame:
+    """Payloads of all formats in one pass: a row per record, and one per refused payload with its `error`.
+
+    The profile key 'parser' names the format, unless `only` does.  A payload whose format is
+    not known, or that is not what its format asks for (a JSON array, a table of outages), is
+    refused whole; an element that is no object gives no record and keeps its position.
+    """
+    parsers = parsers or PARSERS
+    name = F.lit(only) if only else F.coalesce(F.try_element_at("parser_profile", F.lit("parser")), F.lit(""))
+    staged = raw.withColumn("_format", name)
+    elements = F.lit(None).cast("array<struct<json:variant,html:string>>")
+    for split_up in dict.fromkeys(e for e, _ in parsers.values()):
+        names = [k for k, (e, _) in parsers.items() if e is split_up]
+        elements = F.coalesce(F.when(F.col("_format").isin(*names), split_up(F.col("raw_content"))), elements)
+    error = F.when(
+        ~F.col("_format").isin(*parsers), F.concat(F.lit("no parser registered for: "), F.col("_format"))
+    ).when(F.col("_elements").isNull(), F.concat(F.lit("malformed payload for: "), F.col("_format")))
+    staged = staged.withColumn("_elements", elements).withColumn("error", error)
+    own = ["id", "source_id", "trace_id", "fetched_at", "parser_profile", "_format", "error"]
+    each = staged.select(*own, F.posexplode_outer("_elements").alias("pos", "_element"))
+    an_object = F.schema_of_variant("_element.json").startswith("OBJECT")
+    each = each.withColumn("_json", F.when(an_object, F.col("_element.json")))
+    for key, (_, record) in parsers.items():
+        each = record(each, F.col("_format") == key, f"_r_{key}")
+    each = each.withColumn("_r", F.coalesce(*[F.col(f"_r_{key}") for key in parsers])).drop(*[f"_r_{key}" for key in parsers])
+    days = profile_int("date_filter_days", K.DEFAULT_DATE_FILTER_DAYS)
+    timely = F.col("_r").isNotNull() & R.in_date_window(F.col("_r.day"), as_of, days)
+    kept = keep(each, F.col("error").isNotNull() | F.coalesce(timely, F.lit(False)))
+    made = {
+        "raw_record_id": F.col("id"), "source_id": F.col("source_id"), "trace_id": F.col("trace_id"),
+        "extracted_at": F.col("fetched_at"), "id": content_id(F.lit("parsed"), F.col("id"), F.col("pos")),
+    }
+    names = [f.name for f in schemas.schema("parsed_records")]
+    return kept.select(*[made.get(n, F.col(f"_r.{n}")).alias(n) for n in names], "pos", "parser_profile", "error")
+
+
+def split(found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(parsed records, refused payloads: id, source_id, error) of `dispatch`."""
+    refused = found.filter("error IS NOT NULL").select(F.col("raw_record_id").alias("id"), "source_id", "error")
+    return found.filter("error IS NULL").drop("error"), refused
+
+
+def parse(raw: DataFrame, as_of: Column, parsers: dict | None = None) -> tuple[DataFrame, DataFrame]:
+    """(parsed records, refused payloads); `dispatch` gives both in one pass."""
+    return split(dispatch(raw, as_of, parsers))
+
+
+def parse_format_one(raw: DataFrame, as_of: Column) -> DataFrame:
+    return split(dispatch(raw, as_of, only="format_one"))[0]
+
+
+def parse_format_two(raw: DataFrame, as_of: Column) -> DataFrame:
+    return split(dispatch(raw, as_of, only="format_two"))[0]
+
+
+def parse_format_three(raw: DataFrame, as_of: Column) -> DataFrame:
+    return split(dispatch(raw, as_of, only="format_three"))[0]
+
+
 def with_profile(raw: DataFrame, sources: DataFrame, override: dict[str, str] | None = None) -> DataFrame:
     """Raw rows with their source's profile; override keys win."""
     profiles = sources.select(F.col("id").alias("source_id"), "parser_profile")
@@ -188,20 +233,6 @@ def with_profile(raw: DataFrame, sources: DataFrame, override: dict[str, str] |
     )
 
 
-def parse(raw: DataFrame, as_of: Column, parsers: dict | None = None) -> tuple[DataFrame, DataFrame]:
-    """Dispatch by profile key 'parser': (parsed records, quarantined raw rows)."""
-    parsers = parsers or PARSERS
-    name = F.coalesce(F.try_element_at("parser_profile", F.lit("parser")), F.lit(""))
-    out = None
-    for key, parser in parsers.items():
-        branch = parser(raw.filter(name == key), as_of)
-        out = branch if out is None else out.unionByName(branch)
-    unknown = raw.filter(~name.isin(*parsers)).withColumn(
-        "error", F.concat(F.lit("no parser registered for: "), name)
-    )
-    return out, unknown
-
-
 def crawl_frontier(
     sources: DataFrame, as_of: Column, max_pages: int | None = None, max_days: int | None = None
 ) -> DataFrame:

@@ -1,21 +1,22 @@
-"""Structured Streaming forms of ingest, dedup, merge, health and metrics.
+"""Structured Streaming forms of dedup, merge, health and metrics.
 
 All take streaming DataFrames with event times; the caller starts the queries.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-from pyspark.sql.types import BooleanType, LongType, StringType, StructField, StructType
 
 from voltmap import constants as K
+from voltmap.operators.analytics import latch_difference
 from voltmap.operators.dedup import address_group, merge_aggregates, merged_columns, type_key
 from voltmap.session import cut
+from voltmap.streaming.store import Store
 
 
 def distinct_payloads(raw: DataFrame, delay: str = "7 days") -> DataFrame:
@@ -109,6 +110,7 @@ def source_budget(parsed: DataFrame, budget: int) -> DataFrame:
 
     Adds `allow_fallback` for the first `budget` records of each source, in the order of
     fetched_at, raw_record_id and pos within a batch; the state is one counter.
+    For feeds without a store: the rows of a source and batch meet in one task; `ingest` counts by slices.
     """
 
     def step(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -154,117 +156,17 @@ def rolling_timings(tasks: DataFrame, hours: int = 24, slide: str = "1 hour", de
     )
 
 
-class Log:
-    """A table as one folder per micro-batch; a row stands until a later batch has its key again.
+def silence_tick(store: Store, silent: DataFrame, number: int | None = None) -> DataFrame:
+    """One look at the silent sources: alerts and recoveries against the latch of the look before.
 
-    A replayed batch sees only the batches before it and overwrites its own folder.
+    The latch (sources alerted and not yet recovered) is kept in `store`, so looks may
+    come from different runs; a look repeated under its number gives the same changes.
     """
-
-    def __init__(self, path: str, table: str, keys: list[str]):
-        self.path, self.keys = f"{path}/{table}", keys
-
-    def write(self, df: DataFrame, batch_id: int) -> DataFrame:
-        folder = f"{self.path}/batch_id={batch_id}"
-        df.write.mode("overwrite").parquet(folder)
-        return df.sparkSession.read.parquet(folder)
-
-    def rows(self, spark: SparkSession, schema, before: int | None = None) -> DataFrame:
-        """All rows of the batches before `before`, with their batch_id."""
-        full = StructType([*schema.fields, StructField("batch_id", LongType())])
-        root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
-        if not root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(root):
-            return spark.createDataFrame([], full)
-        out = spark.read.schema(full).parquet(self.path)
-        return out if before is None else out.filter(F.col("batch_id") < before)
-
-    def current(self, spark: SparkSession, schema, before: int | None = None) -> DataFrame:
-        """The last row per key, without the deleted ones."""
-        rows = self.rows(spark, schema, before)
-        last = rows.groupBy(*self.keys).agg(F.max_by(F.struct(*rows.columns), "batch_id").alias("r")).select("r.*")
-        if "deleted" in rows.columns:
-            last = last.filter("NOT deleted").drop("deleted")
-        return last.drop("batch_id")
-
-
-EVENT_FIELDS = (
-    "event_id string, parsed_record_id string, start_time timestamp, end_time timestamp, event_type string, "
-    "location_raw string, location_normalized string, location_city string, location_street string, "
-    "location_building string, confidence double, reason string, trace_id string, normalized_at timestamp, members long"
-)
-
-
-def ingest(
-    raw: DataFrame, sources: DataFrame, path: str, as_of: Column | None = None,
-    match_batch: Callable[[DataFrame], DataFrame] | None = None, enabled: bool = True,
-    max_per_raw: int | None = None, max_per_source: int | None = None,
-):
-    """Writer for the whole chain per micro-batch; no row is dropped for being late.
-
-    New payloads (by content, against the stored ones) are parsed; parsed records are upserted
-    by fingerprint; records of sources that normalize (`normalization_enabled`, and `enabled`
-    for all) pass the fallback gates, are normalized and merged into the stored events of
-    the addresses they touch; impacts of touched events are replaced (`current_impacts` reads
-    them).  Tables are `Log`s, so a replayed batch leaves the same rows.  `as_of` is the time of each batch
-    unless given.
-    """
-    from voltmap.functions.hashing import content_hash, parsed_fingerprint
-    from voltmap.operators import dedup
-    from voltmap.operators.normalize import fallback_gates, normalization_on, normalize
-    from voltmap.sources import payloads
-
-    payload_log, record_log = Log(path, "raw_records", ["content_hash"]), Log(path, "parsed_records", ["fingerprint"])
-    event_log, source_log = Log(path, "normalized_events", ["event_id"]), Log(path, "event_sources", ["event_id", "source"])
-    touched_log, impact_log = Log(path, "touched_events", ["event_id"]), Log(path, "office_impacts", ["event_id"])
-
-    def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        now = as_of if as_of is not None else F.current_timestamp()
-        hashed = batch.withColumn("content_hash", content_hash("raw_content"))
-        stored = payload_log.rows(spark, hashed.schema, batch_id)
-        fresh = payload_log.write(dedup.new_payloads(hashed, stored), batch_id)
-        parsed, unknown = payloads.parse(payloads.with_profile(fresh, sources), now)
-        Log(path, "quarantine", ["id"]).write(unknown.select("id", "source_id", "error"), batch_id)
-        keyed = parsed.withColumn("fingerprint", parsed_fingerprint())
-        first = F.struct("extracted_at", "raw_record_id", "pos")
-        newest = keyed.groupBy("fingerprint").agg(
-            F.max_by(F.struct(*keyed.columns), first).alias("r"), F.min_by("id", first).alias("first_id")
-        )
-        known = record_log.rows(spark, keyed.schema, batch_id).groupBy("fingerprint").agg(
-            F.min_by("id", "batch_id").alias("known_id")
-        )
-        merged = newest.join(known, "fingerprint", "left").withColumn("id", F.coalesce("known_id", "first_id"))
-        records = record_log.write(
-            merged.select(*[F.col("id") if c == "id" else F.col(f"r.{c}").alias(c) for c in keyed.columns]), batch_id
-        )
-        gated = fallback_gates(
-            records.filter(normalization_on(enabled)), ["extracted_at"], max_per_raw=max_per_raw, max_per_source=max_per_source
-        )
-        incoming = cut(normalize(gated, allow_fallback=F.col("allow_fallback")).drop("normalizer_path"))
-        event_schema = spark.createDataFrame([], EVENT_FIELDS).schema
-        current = event_log.current(spark, StructType([*event_schema.fields, StructField("deleted", BooleanType())]), batch_id)
-        hit = cut(dedup.split_touched(current, incoming)[0])
-        source_schema = spark.createDataFrame([], "event_id string, source string, seen_at timestamp").schema
-        seen = source_log.current(spark, source_schema, batch_id).join(hit.select("event_id"), "event_id", "left_semi")
-        out, out_sources, audit = dedup.merge_into(hit, seen, incoming)
-        out = cut(out)
-        gone = hit.join(out.select("event_id"), "event_id", "left_anti")
-        names = event_schema.names
-        written = event_log.write(
-            out.select(*names, F.lit(False).alias("deleted")).unionByName(gone.select(*names, F.lit(True).alias("deleted"))),
-            batch_id,
-        )
-        source_log.write(out_sources, batch_id)
-        Log(path, "dedup_audit", ["id"]).write(audit, batch_id)
-        touched_log.write(written.select("event_id"), batch_id)
-        if match_batch is not None:
-            impact_log.write(match_batch(written.filter("NOT deleted").drop("deleted")), batch_id)
-
-    return raw.writeStream.foreachBatch(write)
-
-
-def current_impacts(spark: SparkSession, path: str, schema) -> DataFrame:
-    """Impacts as of the last batch that touched their event."""
-    last = Log(path, "touched_events", ["event_id"]).rows(
-        spark, StructType([StructField("event_id", StringType())])
-    ).groupBy("event_id").agg(F.max("batch_id").alias("batch_id"))
-    return Log(path, "office_impacts", ["event_id"]).rows(spark, schema).join(last, ["event_id", "batch_id"]).drop("batch_id")
+    b = store.batch(number)
+    schema = store.spark.createDataFrame([], "id string").schema
+    changes = cut(latch_difference(b.current("alerted", schema), silent))
+    kinds = {k: changes.filter(F.col("event_type") == f"parser.{k}").select("id") for k in ("silent", "recovered")}
+    b.put("alerted", kinds["silent"], ["id"], gone=kinds["recovered"])
+    b.append("parser_events", changes)
+    b.commit()
+    return changes
