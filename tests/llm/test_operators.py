@@ -130,6 +130,34 @@ def test_packing_equals_the_tokenizer(spark, odd, empty):
     assert packing.pack(packing.tokenize(empty)).collect() == []
 
 
+def test_parts_of_all_latin_letters_and_marks_encode_as_the_whole():
+    from tokenizers import Tokenizer
+
+    path = packing.default_tokenizer()
+    plain, encoder = Tokenizer.from_file(path), packing.Encoder(path)
+    assert encoder.parted
+    rng = random.Random(7)
+    marks = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+    letters = [chr(c) for c in range(0xC0, 0x280)]
+    texts = [f"{c}{m} a{c}{m}{m} {c}b{m}{c} {m}{c}{m}" for c in letters for m in rng.sample(marks, 3)]
+    texts += ["".join(rng.choice(letters + list(marks) + [" ", "a", "Z", "1"]) for _ in range(30)) for _ in range(1500)]
+    ids, bounds = encoder.encode(pa.array(texts))
+    for i, text in enumerate(texts):
+        assert ids[bounds[i] : bounds[i + 1]].tolist() == plain.encode(text, add_special_tokens=False).ids, text
+
+
+def test_another_tokenizer_encodes_whole_texts():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    encoder, texts = packing.Encoder(path), ["Ab, cd.  E", None, "", "x\ny"]
+    assert not encoder.parted
+    ids, bounds = encoder.encode(pa.array(texts))
+    want = [Tokenizer.from_file(path).encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert [ids[bounds[i] : bounds[i + 1]].tolist() for i in range(4)] == want
+
+
 def test_plan_pairs_large_items_and_fills_gaps():
     rng = random.Random(3)
     for _ in range(30):

@@ -33,6 +33,9 @@ RANKED = 20_000
 
 _encoders: dict[str, Encoder] = {}
 
+#: Texts that a tokenizer must encode as it encodes their parts for these to be encoded alone.
+PROBES = ["", "The THE the, thE.", "Ab.Cd  e!?f\tG-h's \n x", "Été ÊTRE, naïve. Über", "a1b2 33. (word) 'tis", "one,two ;three... «four»"]
+
 
 #: Bytes of letters of one kind: A-Z, a-z and the Latin letters U+00C0 to U+027F.
 _LETTER = np.zeros(256, dtype=bool)
@@ -44,13 +47,13 @@ _MARK[list(b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")] = True
 def parts(found: Words) -> Words:
     """Cut each word of Latin letters with ASCII marks at its end into letters and marks.
 
-    Other words stay whole.  U+00D7 and U+00F7 lie among the letters but are none.
+    Other words stay whole.  U+00D7 and U+00F7 lie among the letters but are none; U+0130 is one,
+    but its lower case ends in a combining mark, which goes with a sign that follows.
     """
     data = found.data
     other = ~_LETTER[data]
-    for second in (0x97, 0xB7):
-        at = np.flatnonzero((data[:-1] == 0xC3) & (data[1:] == second))
-        other[at] = True
+    for first, second in ((0xC3, 0x97), (0xC3, 0xB7), (0xC4, 0xB0)):
+        other[np.flatnonzero((data[:-1] == first) & (data[1:] == second))] = True
     last = np.maximum.accumulate(np.where(_MARK[data], -1, np.arange(len(data)))) + 1 if len(data) else data
     others = np.concatenate([[0], np.cumsum(other, dtype=np.int64)])
     stem = np.maximum(last[found.ends - 1], found.starts) if len(found.starts) else found.ends
@@ -66,8 +69,9 @@ def parts(found: Words) -> Words:
 class Encoder:
     """Token ids of texts, remembering the ids of parts of words in a table by hash.
 
-    The tokenizer ignores the case of letters, splits at white space and between letters and
-    marks, and never joins across a split: a text's ids are those of its parts in turn.
+    For a tokenizer that ignores the case of letters, splits at white space and between letters
+    and marks, and never joins across a split, a text's ids are those of its parts in turn.
+    Others, told by PROBES, encode every text whole.
     """
 
     def __init__(self, path: str):
@@ -75,6 +79,8 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.forget()
+        whole, by_parts = self._whole(pa.array(PROBES)), self._by_parts(pa.array(PROBES))
+        self.parted = all(np.array_equal(x, y) for x, y in zip(whole, by_parts))
 
     def forget(self) -> None:
         self.keys = np.zeros(2 * REMEMBERED, dtype=np.uint64)
@@ -123,6 +129,14 @@ class Encoder:
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts in turn, without ends, and the range of each text."""
+        return self._by_parts(texts) if self.parted else self._whole(texts)
+
+    def _whole(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        ids = [self.tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts.to_pylist()]
+        flat = np.array([i for x in ids for i in x], dtype="<u4")
+        return flat, np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int64)
+
+    def _by_parts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         found = parts(words(texts))
         keys = np.maximum(found.hashes(), np.uint64(1))
         # One long text may have more distinct parts than the table holds: they are encoded in turn.
