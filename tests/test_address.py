@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from voltmap.functions import address as A
+from voltmap.operators.normalize import with_canonical_key
 
 KEYS = [
     ("Новокузнецк", "ул. Кирова", "55", "новокузнецк|кирова|55"),
@@ -25,7 +26,7 @@ KEYS = [
 
 def test_canonical_key(spark):
     df = spark.createDataFrame(KEYS, "c string, s string, b string, want string")
-    rows = df.select("want", A.canonical_key("c", "s", "b").alias("got")).collect()
+    rows = with_canonical_key(df, F.col("c"), F.col("s"), F.col("b"), "got").select("want", "got").collect()
     assert [r.got for r in rows] == [r.want for r in rows]
 
 

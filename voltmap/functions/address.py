@@ -122,19 +122,6 @@ def building_in(c: Column | str) -> Column:
     return split_address(c)["building"]
 
 
-def canonical_key(city: Column | str, street: Column | str, building: Column | str) -> Column:
-    """'city|street|building', null when all three are empty."""
-    city, street, building = col(city), col(street), col(building)
-    recovered = F.when(empty_to_null(street).isNotNull(), building_in(street))
-    key = F.concat_ws(
-        "|",
-        F.coalesce(normalize_city(city), F.lit("")),
-        normalize_street(street),
-        F.coalesce(normalize_building(F.coalesce(empty_to_null(building), recovered)), F.lit("")),
-    )
-    return F.nullif(key, F.lit("||"))
-
-
 def ranges_of(n: Column) -> Column:
     """All house numbers and number ranges, as array<struct<lo,hi>>."""
 

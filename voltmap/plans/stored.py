@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from voltmap.operators import analytics as N
-from voltmap.operators import match, normalize, similarity, upsert
+from voltmap.operators import normalize, similarity, upsert
 from voltmap.plans import bindings as B
 from voltmap.plans.bindings import Tables, ts
 from voltmap.plans.catalog import E_DAY, O_DAY, S_DAY, _MAP, _TIMINGS, _map_rows, query, shown
@@ -131,12 +131,12 @@ def _announced(t: Tables):
     (_CHAIN,),
 )
 def _(t):
-    """All announcements in two batches, the second of them once more, through the whole chain."""
+    """All announcements in two batches through the whole chain."""
     store = Store(t.spark, _folder(t, "chain"), buckets=4)
     profile = F.create_map(F.lit("parser"), F.lit("format_two"), F.lit("date_filter_days"), F.lit("100000"))
     sources = t.spark.range(1).select(F.lit("s").alias("id"), profile.alias("parser_profile"))
     raw = _announced(t)
-    for number in (0, 1, 1):
+    for number in (0, 1):
         ingest.step(store.batch(number), raw.filter(F.col("part") == number).drop("part"), sources, ts("1900-01-01 00:00:00"))
     now = store.last()
     events = now.current("normalized_events").select(
@@ -316,3 +316,38 @@ def _(t):
     return pairs.join(names, F.col("l") == F.col("m")).join(edited, "r").select(
         F.col("c_custkey").alias("l"), F.col("r_key").alias("r"), F.round("score", 6).alias("score")
     )
+
+
+# --- recovery from free texts
+
+
+@query(
+    "recovered_addresses",
+    """SELECT CAST(k AS VARCHAR) AS id, r || '|' || p || '|' || CASE WHEN f = 1 THEN '' ELSE CAST(h AS VARCHAR) END AS location_normalized,
+ CAST(CASE f WHEN 0 THEN 0.81 WHEN 1 THEN 0.72 WHEN 2 THEN 0.81 WHEN 3 THEN 0.78 WHEN 5 THEN 0.95 ELSE 0.92 END AS DOUBLE) AS confidence,
+ concat_ws(', ', CASE f WHEN 5 THEN 'г ' || rr END, CASE WHEN f < 3 THEN 'г. ' || rr END, CASE WHEN f = 7 THEN 'дом ' || h END,
+  CASE WHEN f = 2 THEN CAST(h AS VARCHAR) END, CASE f WHEN 0 THEN p || ' ' || h WHEN 1 THEN p WHEN 2 THEN p
+   WHEN 3 THEN rr || ' обл, г ' || rr || ', ' || p || ' ' || h WHEN 4 THEN 'г ' || rr || ', ' || p || ' проспект, ' || h
+   WHEN 5 THEN 'проспект ' || p || ' ' || h WHEN 6 THEN 'с. ' || rr || ', пер ' || p || ', ' || h ELSE 'г ' || rr || ', ул ' || p END) AS location_raw
+FROM (SELECT o_orderkey AS k, o_orderkey % 8 AS f, o_orderkey % 97 + 1 AS h, r AS rr, lower(r) AS r, p FROM orders JOIN places ON o_custkey = c_custkey)""",
+    (B.PLACES,),
+)
+def _(t):
+    """Addresses without a usable street field: typed and untyped streets, places and houses found in free texts."""
+    rows = t.read("orders").join(t.places(), F.col("o_custkey") == F.col("c_custkey"))
+    rows = rows.withColumns({"f": F.col("o_orderkey") % 8, "h": (F.col("o_orderkey") % 97 + 1).cast("string")})
+    parsed = rows.selectExpr(
+        "CAST(o_orderkey AS string) AS id", "'raw' AS raw_record_id", "CAST(NULL AS string) AS source_id",
+        "CAST(NULL AS string) AS external_id", "CAST(o_orderdate AS timestamp) AS start_time", "CAST(NULL AS timestamp) AS end_time",
+        "CASE WHEN f < 3 THEN concat('г. ', r) END AS location_city", "CASE WHEN f = 5 THEN concat('г ', r) END AS location_district",
+        "CASE WHEN f = 7 THEN concat('дом ', h) END AS location_street", "CAST(NULL AS string) AS location_region_code",
+        "o_orderpriority AS reason",
+        "map_filter(map('address', CASE f WHEN 0 THEN concat(p, ' ', h) WHEN 1 THEN p WHEN 2 THEN p "
+        "WHEN 3 THEN concat(r, ' обл, г ', r, ', ', p, ' ', h) WHEN 4 THEN concat('г ', r, ', ', p, ' проспект, ', h) "
+        "WHEN 5 THEN concat('проспект ', p, ' ', h) WHEN 6 THEN concat('с. ', r, ', пер ', p, ', ', h) "
+        "ELSE concat('г ', r, ', ул ', p) END, 'houses', CASE WHEN f = 2 THEN h END), (k, v) -> v IS NOT NULL) AS extra",
+        "'t' AS trace_id", "CAST(o_orderdate AS timestamp) AS extracted_at",
+    )
+    return normalize.normalize(parsed).select(
+        F.col("parsed_record_id").alias("id"), "location_normalized", F.round("confidence", 3).alias("confidence"), "location_raw"
+    )
