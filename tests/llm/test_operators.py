@@ -502,12 +502,28 @@ def test_alignment_of_insertions_and_repeated_words():
     rng = random.Random(29)
     a = [f"w{rng.randrange(900)}" for _ in range(80)]
     b = a[:40] + [a[39]] + a[40:]
-    one, two = (pa.array([" ".join(w)]) for w in (a, b))
+    one, two = (substrings._Side(pa.array([" ".join(w)])).of(0) for w in (a, b))
     got = list(substrings._matches(one, two, np.array([60]), np.array([61]), 25, 0.8))
-    assert [(x[2:], p[2:]) for x, p, _ in got] == [((0, 80), (0, 81))]
-    same = pa.array(["a " * 400])
+    assert [x[:4] for x in got] == [(0, 80, 0, 81)]
+    same = substrings._Side(pa.array(["a " * 400])).of(0)
     got = list(substrings._matches(same, same, np.array([3]), np.array([3]), 25, 0.8))
-    assert ((0, 400), (0, 400)) in [(x[2:], p[2:]) for x, p, _ in got]
+    assert (0, 400, 0, 400) in [x[:4] for x in got]
+
+
+def test_words_of_two_documents_side_by_side_are_no_passage(spark):
+    rng = random.Random(37)
+
+    def fresh(n):
+        return [f"w{rng.randrange(10**7)}" for _ in range(n)]
+
+    rows = []
+    for _ in range(20):
+        one, two = fresh(30), fresh(30)
+        texts = [fresh(40) + one + fresh(40), fresh(40) + two + fresh(40), fresh(40) + one + two + fresh(40)]
+        rows += [(len(rows) + k, " ".join(t)) for k, t in enumerate(texts)]
+    docs = frame(spark, rows)
+    assert substrings.passages(docs).collect() == []
+    assert {r.doc_id: r.text for r in substrings.without_repeats(docs).collect()} == dict(rows)
 
 
 # --- pages --------------------------------------------------------------------------------------------------------------
