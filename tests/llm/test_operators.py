@@ -369,6 +369,23 @@ def test_fingerprints_are_homomorphic(spark):
 # --- search ------------------------------------------------------------------------------------------------------
 
 
+def test_index_takes_few_bytes_a_posting_while_it_is_built():
+    import tracemalloc
+
+    rng = np.random.default_rng(1)
+    docs, each = 2000, 400
+    ids, sizes = np.arange(docs), np.full(docs, each)
+    term = rng.integers(0, 1 << 16, docs * each).astype(np.uint64)
+    times = np.ones(docs * each, dtype=np.float32)
+    tracemalloc.start()
+    part = [ids, ids.copy(), term[::each].copy(), term.copy(), sizes, sizes.copy(), times.copy()]
+    index = search._index([part], 400.0)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert index.n == docs and (index.doc.size, index.begin[-1]) == (docs * each, docs * each)
+    assert peak < 36 * docs * each
+
+
 def test_search_equals_brute_force(spark, corpus, odd, empty, monkeypatch):
     rows, docs = corpus
     monkeypatch.setattr(search, "SHARD_DOCS", 60)
