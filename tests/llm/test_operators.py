@@ -93,6 +93,12 @@ def test_words_and_shingles_equal_python():
     assert np.diff(runs.bounds).tolist() == [max(len(s) - 4, 1) if s else 0 for s in split]
 
 
+def test_a_round_of_components_has_three_exchanges(spark):
+    edges = spark.range(100).select(F.col("id").alias("a"), (F.col("id") % 7).alias("b"))
+    made = components._small(components._large(edges)).distinct()
+    assert made._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") <= 3
+
+
 def test_components_of_a_long_chain(spark):
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, 101), (101, 100), (7, 7), (200, 200)]
     found = {r.node: r.label for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
