@@ -160,3 +160,12 @@ def test_similar_names_need_few_ratios(spark):
     assert got == want
     candidates = similarity.fuzzy_candidates(left, right, 0.84).count()
     assert candidates <= len(set(names)) * len(set(names + typos)) * 0.02
+
+
+def test_exploded_keys_of_similar_names_are_not_broadcast(spark):
+    from voltmap.operators import similarity
+
+    names = spark.range(50).select(F.lit("").alias("block"), F.md5(F.col("id").cast("string")).alias("l"))
+    found = similarity.fuzzy_candidates(names, names.withColumnRenamed("l", "r"), 0.84)
+    assert "SortMergeJoin" in found._jdf.queryExecution().executedPlan().toString()
+    assert found.count() == 0

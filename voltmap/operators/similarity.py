@@ -7,13 +7,14 @@ miss nothing:
 * equal texts;
 * containment: the shorter text starts with a gram that occurs in the longer one;
 * ratio >= t: at least m = t(la + lb)/2 characters match in order, so la - m of one text
-  and lb - m of the other do not.  If one text is cut into k + 2 segments, k being their
-  sum, at least two occur unchanged in the other, at most la - m places to the left and
-  lb - m to the right of where they were.
-
-A candidate must share two segments and m letters in any order before its ratio is computed.
-Only distinct texts take part; the ratio is computed in Arrow batches on
-the surviving pairs.
+  and lb - m of the other do not.  If one text is cut into k/2 + 1 segments, k being their
+  sum, one of them holds at most one of these: it occurs in the other, unchanged or with one
+  character more or less, at most la - m places to the left and lb - m to the right of where
+  it was.
+
+A candidate is at most k edits apart before its ratio is computed.  Only distinct texts take part; the
+ratio is computed in Arrow batches on the surviving pairs.  Rows per text are exploded, which
+Spark's size estimates do not see, so these joins are never broadcast.
 """
 
 from __future__ import annotations
@@ -44,7 +45,7 @@ def _unmatched(la: Column, lb: Column, cutoff: float) -> tuple[Column, Column]:
 def _cuts(la: Column, lb: Column, cutoff: float) -> Column:
     """Segments that a text of length la is cut into for a partner of length lb."""
     da, db = _unmatched(la, lb, cutoff)
-    return F.least(da + db + 2, la)
+    return F.least(F.shiftright(da + db, 1) + 1, la)
 
 
 def _lengths(text: str, cutoff: float) -> Column:
@@ -55,72 +56,76 @@ def _lengths(text: str, cutoff: float) -> Column:
     return F.explode(F.sequence(F.greatest(shortest, F.lit(1)), longest))
 
 
-def _segments(df: DataFrame, text: str, cutoff: float) -> DataFrame:
-    """(block, text, la, lb, segment no, segment) for every possible partner length."""
-    la = F.col("la")
-    cut = (
-        df.withColumn("la", F.length(text)).withColumn("lb", _lengths(text, cutoff))
-        .withColumn("n", _cuts(la, F.col("lb"), cutoff))
-        .withColumn("i", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-    )
-    begin = F.floor(F.col("i") * la / F.col("n")).cast("int")
-    finish = F.floor((F.col("i") + 1) * la / F.col("n")).cast("int")
-    return cut.withColumn("segment", F.substr(F.col(text), begin + 1, finish - begin)).select(
-        "block", text, "la", "lb", "i", "segment"
-    )
+def _partners(df: DataFrame, text: str, other: DataFrame, other_text: str, cutoff: float) -> DataFrame:
+    """`df` with `partner`, every length of its block's other texts that a partner may have."""
+    there = other.select("block", F.length(other_text).alias("partner")).distinct()
+    return df.withColumn("partner", _lengths(text, cutoff)).join(there, ["block", "partner"], "left_semi")
 
 
-def _substrings(df: DataFrame, text: str, cutoff: float) -> DataFrame:
-    """Every place of `text` where a partner's segment may occur."""
-    la, lb = F.col("la"), F.col("lb")
-    cut = (
-        df.withColumn("lb", F.length(text)).withColumn("la", _lengths(text, cutoff))
-        .withColumn("n", _cuts(la, lb, cutoff))
-        .withColumn("i", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-    )
-    da, db = _unmatched(la, lb, cutoff)
-    begin = F.floor(F.col("i") * la / F.col("n")).cast("int")
-    size = F.floor((F.col("i") + 1) * la / F.col("n")).cast("int") - begin
-    low = F.greatest(begin - da, F.lit(0))
-    high = F.least(begin + db, lb - size)
-    placed = (
-        cut.withColumns({"size": size, "low": low, "high": high})
-        .filter("low <= high")
-        .withColumn("at", F.explode(F.sequence("low", "high")))
+def _cut_up(df: DataFrame, la: Column, lb: Column, cutoff: float) -> DataFrame:
+    """A row per segment of the text of length la: its number i, its begin and size."""
+    cut = df.withColumns({"la": la, "lb": lb}).withColumn("n", _cuts(F.col("la"), F.col("lb"), cutoff))
+    cut = cut.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    begin, finish = (F.floor((F.col("i") + x) * F.col("la") / F.col("n")).cast("int") for x in (0, 1))
+    return cut.withColumn("begin", begin).withColumn("size", finish - F.col("begin"))
+
+
+def _shortened(t: Column) -> Column:
+    """All texts that are `t` without one character."""
+    return F.transform(
+        F.sequence(F.lit(1), F.length(t)), lambda p: F.concat(F.substr(t, F.lit(1), p - 1), F.substr(t, p + 1))
     )
-    return placed.select(
-        "block", text, "la", "lb", "i", F.substr(text, F.col("at") + 1, F.col("size")).alias("segment")
-    ).distinct()
 
 
-def _common_letters(a: Column, b: Column) -> Column:
-    """Letters that two texts share in any order, each as often as in both."""
+def _keyed(cut: DataFrame, text: str, shorter: Column, longer: Column) -> DataFrame:
+    """(block, text, meet): a hash per key by which a segment meets the place of a character less, or more."""
+    def tagged(keys, kind):
+        return F.transform(F.array_distinct(keys), lambda k: F.xxhash64("la", "lb", "i", F.lit(kind), k))
 
-    def numbered(text):
-        letters = F.array_sort(F.split(text, ""))
-        return F.transform(letters, lambda c, i: F.concat(c, F.lit(" "), (i - F.array_position(letters, c)).cast("string")))
+    meet = F.concat(tagged(shorter, 0), tagged(longer, 1))
+    return cut.select("block", text, F.explode(meet).alias("meet"))
 
-    return F.size(F.array_intersect(numbered(a), numbered(b)))
+
+def _segments(df: DataFrame, text: str, cutoff: float) -> DataFrame:
+    """Keys of a text's segments, for every possible partner length."""
+    cut = _cut_up(df, F.length(text), F.col("partner"), cutoff)
+    cut = cut.withColumn("segment", F.substr(F.col(text), F.col("begin") + 1, F.col("size")))
+    return _keyed(cut, text, _shortened(F.col("segment")), F.array("segment"))
+
+
+def _substrings(df: DataFrame, text: str, cutoff: float) -> DataFrame:
+    """Keys of the places of `text` where a partner's segment may occur."""
+    cut = _cut_up(df, F.col("partner"), F.length(text), cutoff)
+    da, db = _unmatched(F.col("la"), F.col("lb"), cutoff)
+    low = F.greatest(F.col("begin") - da, F.lit(0))
+
+    def places(size):
+        high = F.least(F.col("begin") + db, F.col("lb") - size)
+        at = F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<int>"))
+        return F.transform(at, lambda x: F.substr(F.col(text), x + 1, size))
+
+    shorter, longer = places(F.col("size") - 1), places(F.col("size") + 1)
+    return _keyed(cut, text, shorter, F.flatten(F.transform(longer, _shortened)))
 
 
 def fuzzy_candidates(left: DataFrame, right: DataFrame, cutoff: float) -> DataFrame:
     """Pairs that may reach `cutoff` without being equal or one inside the other."""
-    met = _segments(left, "l", cutoff).join(
-        _substrings(right, "r", cutoff), ["block", "la", "lb", "i", "segment"]
-    ).select("block", "l", "r", "la", "lb", "i").distinct()
-    da, db = _unmatched(F.col("la"), F.col("lb"), cutoff)
-    needed = _cuts(F.col("la"), F.col("lb"), cutoff) - (da + db)
-    shared = met.groupBy("block", "l", "r", "la", "lb").agg(F.count("*").alias("n")).filter(F.col("n") >= needed)
-    return shared.filter("NOT contains(l, r) AND NOT contains(r, l)").filter(
-        _common_letters(F.col("l"), F.col("r")) >= F.col("la") - da
-    ).select("block", "l", "r")
+    met = (
+        _segments(_partners(left, "l", right, "r", cutoff), "l", cutoff).hint("merge")
+        .join(_substrings(_partners(right, "r", left, "l", cutoff), "r", cutoff), ["block", "meet"])
+        .select("block", "l", "r").distinct()
+    )
+    da, db = _unmatched(F.length("l"), F.length("r"), cutoff)
+    return met.filter("NOT contains(l, r) AND NOT contains(r, l)").filter(F.levenshtein("l", "r") <= da + db)
 
 
-def _grams(df: DataFrame, text: str) -> DataFrame:
-    """All substrings of up to GRAM characters."""
+def _grams(df: DataFrame, text: str, heads: DataFrame) -> DataFrame:
+    """All substrings as long as a head of the same block."""
     n = F.length(text)
+    sizes = heads.select("block", F.length("gram").alias("size")).distinct()
     return (
         df.withColumn("size", F.explode(F.sequence(F.lit(1), F.least(n, F.lit(GRAM)))))
+        .join(sizes, ["block", "size"], "left_semi")
         .withColumn("at", F.explode(F.sequence(F.lit(1), n - F.col("size") + 1)))
         .select("block", text, F.substr(F.col(text), F.col("at"), F.col("size")).alias("gram"))
         .distinct()
@@ -139,8 +144,8 @@ def similar_pairs(left: DataFrame, right: DataFrame, cutoff: float) -> DataFrame
     )
     l_head = left.withColumn("gram", F.substring("l", 1, GRAM))
     r_head = right.withColumn("gram", F.substring("r", 1, GRAM))
-    inside_right = l_head.join(_grams(right, "r"), ["block", "gram"]).filter("contains(r, l)")
-    inside_left = r_head.join(_grams(left, "l"), ["block", "gram"]).filter("contains(l, r)")
+    inside_right = l_head.hint("merge").join(_grams(right, "r", l_head), ["block", "gram"]).filter("contains(r, l)")
+    inside_left = r_head.hint("merge").join(_grams(left, "l", r_head), ["block", "gram"]).filter("contains(l, r)")
     exact = F.when(F.col("l") == F.col("r"), 1.0).otherwise(K.CONTAINMENT_SCORE)
     sure = (
         equal.unionByName(inside_right.select("block", "l", "r"))
