@@ -220,3 +220,18 @@ def test_the_budget_of_a_source_spans_payloads_and_batches(spark, tmp_path, monk
         ("p1", 0), ("p1", 1), ("p2", 0), ("p2", 1), ("p3", 0), ("q1", 0), ("q2", 0), ("q2", 1), ("q2", 2), ("q2", 3)
     ]
     assert pairs(now.current("fallback_budget")) == [("s1", 5), ("s2", 5)]
+
+
+def test_payload_files_lie_in_one_folder(spark, tmp_path):
+    import glob
+    import hashlib
+
+    from voltmap.plans.registered import QUERIES
+    from voltmap.session import shared_folder
+
+    rows = [(k, f"Supplier#{k:09d}") for k in (1, 2, 41, 42, 79)]
+    spark.createDataFrame(rows, "s_suppkey long, s_name string").write.parquet(f"{tmp_path}/supplier.parquet")
+    got = {tuple(r) for r in QUERIES["payload_files"](spark, str(tmp_path)).collect()}
+    texts = [name + "." * (k % 80) for k, name in rows]
+    assert got == {(len(x), hashlib.sha256(x.encode()).hexdigest(), len(x) > 60) for x in texts}
+    assert not glob.glob(f"{shared_folder(spark).removeprefix('file:')}/payloads-*/*=*")

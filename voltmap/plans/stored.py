@@ -182,11 +182,13 @@ def _(t):
 def _(t):
     """One payload file per supplier, read back; files over 60 bytes are refused and reported."""
     path = _folder(t, "payloads")
-    texts = t.read("supplier").select("s_suppkey", F.concat("s_name", F.repeat(F.lit("."), (F.col("s_suppkey") % 80).cast("int"))).alias("value"))
-    texts.write.partitionBy("s_suppkey").option("lineSep", "\x00").text(path)
-    stored, refused = payloads.read_raw(t.spark, f"{path}/*/*", "file", ts(S_DAY), max_bytes=61)
+    name = F.concat("s_name", F.repeat(F.lit("."), (F.col("s_suppkey") % 80).cast("int")))
+    texts = t.read("supplier").groupBy("s_suppkey").agg(F.array_join(F.collect_list(F.coalesce(name, F.lit(""))), "\x00").alias("value"))
+    # Files of one row in one folder: a folder per supplier would have to be listed, and its path kept, one by one.
+    texts.select("value").write.option("maxRecordsPerFile", 1).option("lineSep", "\x00").text(path)
+    stored, refused = payloads.read_raw(t.spark, path, "file", ts(S_DAY), max_bytes=61)
     kept = stored.select(F.regexp_replace("raw_content", "\x00$", "").alias("c"), F.lit(False).alias("refused"))
-    whole = t.spark.read.option("wholetext", True).text(f"{path}/*/*").select(F.regexp_replace("value", "\x00$", "").alias("c"))
+    whole = t.spark.read.option("wholetext", True).text(path).select(F.regexp_replace("value", "\x00$", "").alias("c"))
     over = refused.select((F.col("length") - 1).alias("n")).groupBy("n").agg(F.count("*").alias("times"))
     long = whole.filter(F.length("c") > 60).join(over, F.length("c") == F.col("n"), "left_semi").select("c", F.lit(True).alias("refused"))
     return kept.unionByName(long).select(F.length("c").cast("long").alias("n"), F.sha2("c", 256).alias("content_hash"), "refused")
@@ -313,7 +315,7 @@ def _(t):
     edited = names.select(F.col("c_custkey").alias("r_key"), F.expr(_EDITED).alias("r"))
     left = names.select(F.lit("").alias("block"), F.col("m").alias("l"))
     pairs = similarity.similar_pairs(left, edited.select(F.lit("").alias("block"), "r"), 0.84)
-    return pairs.join(names, F.col("l") == F.col("m")).join(edited, "r").select(
+    return pairs.join(names.hint("merge"), F.col("l") == F.col("m")).join(edited.hint("merge"), "r").select(
         F.col("c_custkey").alias("l"), F.col("r_key").alias("r"), F.round("score", 6).alias("score")
     )
 
