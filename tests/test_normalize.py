@@ -149,3 +149,22 @@ def test_hot_addresses_and_known_ones_are_looked_up(spark, monkeypatch):
     assert more.count() == 0 and every.count() == 60
     got = {r.id: r.key for r in every.select("id", F.col("entry.automaton_key").alias("key")).collect()}
     assert all(got[str(i)] == ("томск|мира|12" if i % 3 == 0 else "томск|кирова|12") for i in range(60))
+
+
+def test_abbreviations_are_searched_only_where_their_letters_stand(spark):
+    from voltmap import constants as K
+    from voltmap.functions import address as A
+
+    texts = ["ул. Мира", "пр-кт Ленина, д. 5", "almond antique", "", None, "р-н б-р пгт", "г Омск 7к", "ШОССЕ Ёлка №3"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+
+    def searched(c):
+        t = F.replace(F.translate(F.lower(F.coalesce(c, F.lit(""))), "ё№", "е "), F.lit("ß"), F.lit("ss"))
+        for pattern, full in K.ABBREVIATIONS:
+            t = F.regexp_replace(t, A.whole_word(pattern), f" {full} ")
+        return F.trim(F.regexp_replace(t, K.NON_ADDRESS_CHARS, " "))
+
+    made = rows.select(A.normalize_text("t").alias("a"), searched(F.col("t")).alias("b"))
+    assert all(r.a == r.b for r in made.collect())
+    plan = rows.select(A.normalize_text("t"))._jdf.queryExecution().analyzed().toString().lower()
+    assert plan.count("contains(") >= len(K.ABBREVIATIONS)

@@ -9,6 +9,8 @@ expressions keeps the whole chain inside generated code.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -39,9 +41,17 @@ def normalize_text(c: Column | str) -> Column:
     """Case-folded text with abbreviations spelled out and noise removed."""
     t = F.lower(F.coalesce(col(c), F.lit("")))
     t = F.replace(F.translate(t, "ё№", "е "), F.lit("ß"), F.lit("ss"))
+    # A text without the letters that an abbreviation begins with is not searched for it; the array
+    # of one text gives each step's result a name.
+    held = F.array(t)
     for pattern, full in K.ABBREVIATIONS:
-        t = F.regexp_replace(t, whole_word(pattern), f" {full} ")
-    return F.trim(F.regexp_replace(t, K.NON_ADDRESS_CHARS, " "))
+        held = F.transform(held, _spell_out(pattern, full))
+    return F.trim(F.regexp_replace(held[0], K.NON_ADDRESS_CHARS, " "))
+
+
+def _spell_out(pattern: str, full: str):
+    lead = re.match(r"\w+", pattern).group()
+    return lambda t: F.when(t.contains(lead), F.regexp_replace(t, whole_word(pattern), f" {full} ")).otherwise(t)
 
 
 def without_tokens(n: Column, *alternatives: str) -> Column:

@@ -756,10 +756,13 @@ def _(t):
 )
 def _(t):
     both = normalize.with_fallback(t.parsed())
-    for r, out in (("automaton", "auto_key"), ("result", "combined_key")):
-        c = F.col(r)
+    # The combined key is the automaton's own where its result stands.
+    taken = F.when(F.col("normalizer_path") == "regex_fallback", F.col("result"))
+    for r, out, other in ((F.col("automaton"), "auto_key", F.lit(None)), (taken, "combined_key", F.col("auto_key"))):
+        both = both.withColumn("_r", r)
+        c = F.col("_r")
         both = normalize.with_canonical_key(both, c["city"], c["street"], c["building"], out).withColumn(
-            out, F.when(c.isNotNull(), F.col(out))
+            out, F.when(c.isNotNull(), F.col(out)).otherwise(other)
         )
     return N.compare_normalizers(both.select("auto_key", "combined_key", "normalizer_path"))
 
