@@ -168,3 +168,23 @@ def test_abbreviations_are_searched_only_where_their_letters_stand(spark):
     assert all(r.a == r.b for r in made.collect())
     plan = rows.select(A.normalize_text("t"))._jdf.queryExecution().analyzed().toString().lower()
     assert plan.count("contains(") >= len(K.ABBREVIATIONS)
+
+
+def test_records_out_of_the_window_are_not_taken_apart(spark, monkeypatch):
+    from voltmap.sources import payloads
+
+    split_up, record, day = payloads.PARSERS["format_three"]
+
+    def strict(rows, mine, out):
+        far = F.col("_element.html").contains("01.01.2030")
+        checked = F.when(far, F.raise_error(F.lit("taken apart")).cast("string"))
+        return record(rows.withColumn("id", F.coalesce(checked, "id")), mine, out)
+
+    monkeypatch.setitem(payloads.PARSERS, "format_three", (split_up, strict, day))
+    page = '<table class="shuthown_table"><tr><td id="{d}"><p class="t3">{d}</p><p class="t2">ул Мира</p></td></tr></table>'
+    rows = [(d, "s", page.format(d=d), "t", None, {"date_filter_days": "9"}) for d in ("02.06.1998", "01.01.2030")]
+    raw = spark.createDataFrame(
+        rows, "id string, source_id string, raw_content string, trace_id string, fetched_at timestamp, parser_profile map<string,string>"
+    )
+    got = payloads.parse_format_three(raw, F.lit("1998-06-01").cast("timestamp")).collect()
+    assert [(r.external_id, r.location_street) for r in got] == [("02.06.1998", "ул Мира")]

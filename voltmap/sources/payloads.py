@@ -6,8 +6,6 @@ parser_profile (map<string,string>).  `as_of` fixes 'today' for the date window.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -79,6 +77,10 @@ def _json_text(key: str) -> Column:
     return F.try_variant_get("_json", f"$.{key}", "string")
 
 
+def _one_day() -> Column:
+    return F.to_date(F.try_to_timestamp(blank_to_null(_json_text("date_start")), F.lit("d.M.yyyy")))
+
+
 def format_one(rows: DataFrame, mine: Column, out: str) -> DataFrame:
     """Objects with local dates 'dd.MM.yyyy' and times 'HH:mm'."""
     text = {k: blank_to_null(_json_text(k)) for k in ("date_start", "date_finish", "time_start", "time_finish")}
@@ -101,6 +103,10 @@ def format_one(rows: DataFrame, mine: Column, out: str) -> DataFrame:
     return rows.withColumn(out, F.when(mine & F.col("_json").isNotNull(), fields)).drop("_one_day")
 
 
+def _two_day() -> Column:
+    return F.to_date(F.from_utc_timestamp(R.iso_timestamp(_json_text("shutdownDate"), K.SOURCE_ZONE), K.SOURCE_ZONE))
+
+
 def format_two(rows: DataFrame, mine: Column, out: str) -> DataFrame:
     """Objects with ISO times; naive times are in the source zone."""
     rows = rows.withColumn("_two_start", F.when(mine, R.iso_timestamp(_json_text("shutdownDate"), K.SOURCE_ZONE)))
@@ -119,9 +125,17 @@ def format_two(rows: DataFrame, mine: Column, out: str) -> DataFrame:
     return rows.withColumn(out, F.when(mine & F.col("_json").isNotNull(), fields)).drop("_two_start")
 
 
-def _paragraph(found: str, css: str, index: int = 1) -> Column:
+def _paragraphs(row: Column) -> Column:
+    return F.regexp_extract_all(row, F.lit(r'(?is)<p[^>]*class="[^"]*"[^>]*>.*?</p>'), F.lit(0))
+
+
+def _three_day() -> Column:
+    return F.to_date(F.try_to_timestamp(_paragraph(_paragraphs(F.col("_element.html")), "t3"), F.lit("d.M.yyyy")))
+
+
+def _paragraph(found: Column, css: str, index: int = 1) -> Column:
     """Text of the index-th <p class="css"> among the paragraphs found, without its label."""
-    own = F.filter(F.col(found), lambda p: p.rlike(rf'(?is)^<p[^>]*class="[^"]*{css}[^"]*"'))
+    own = F.filter(found, lambda p: p.rlike(rf'(?is)^<p[^>]*class="[^"]*{css}[^"]*"'))
     inner = F.regexp_extract(F.try_element_at(own, F.lit(index)), r"(?is)^<p[^>]*>(.*)</p>$", 1)
     bare = F.regexp_replace(F.regexp_replace(inner, r"(?is)<label[^>]*>.*?</label>", ""), r"<[^>]+>", "")
     return strip(F.coalesce(bare, F.lit("")))
@@ -129,13 +143,12 @@ def _paragraph(found: str, css: str, index: int = 1) -> Column:
 
 def format_three(rows: DataFrame, mine: Column, out: str) -> DataFrame:
     """Table rows with five classes of paragraphs."""
-    row = F.when(mine, F.col("_element.html"))
-    paragraphs = F.regexp_extract_all(row, F.lit(r'(?is)<p[^>]*class="[^"]*"[^>]*>.*?</p>'), F.lit(0))
-    rows = rows.withColumn("_three_p", paragraphs).withColumns(
+    found = F.col("_three_p")
+    rows = rows.withColumn("_three_p", _paragraphs(F.when(mine, F.col("_element.html")))).withColumns(
         {
-            "_three_day": F.to_date(F.try_to_timestamp(_paragraph("_three_p", "t3", 1), F.lit("d.M.yyyy"))),
-            "_three_where": split_locality(_paragraph("_three_p", "t1")),
-            "_three_time": _paragraph("_three_p", "t3", 2),
+            "_three_day": F.to_date(F.try_to_timestamp(_paragraph(found, "t3", 1), F.lit("d.M.yyyy"))),
+            "_three_where": split_locality(_paragraph(found, "t1")),
+            "_three_time": _paragraph(found, "t3", 2),
         }
     ).withColumn("_three_when", R.time_range(F.col("_three_day"), F.col("_three_time")))
     fields = _fields(
@@ -145,21 +158,21 @@ def format_three(rows: DataFrame, mine: Column, out: str) -> DataFrame:
         end_time=F.col("_three_when.end"),
         location_city=F.col("_three_where.city"),
         location_district=F.col("_three_where.district"),
-        location_street=blank_to_null(_paragraph("_three_p", "t2")),
+        location_street=blank_to_null(_paragraph(found, "t2")),
         location_region_code=F.col("_three_where.region"),
-        reason=blank_to_null(_paragraph("_three_p", "t4")),
-        extra=F.create_map(F.lit("equipment"), _paragraph("_three_p", "t5")),
+        reason=blank_to_null(_paragraph(found, "t4")),
+        extra=F.create_map(F.lit("equipment"), _paragraph(found, "t5")),
     )
     return rows.withColumn(out, F.when(mine & F.col("_element.html").isNotNull(), fields)).drop(
         "_three_p", "_three_day", "_three_where", "_three_time", "_three_when"
     )
 
 
-#: name -> (payload text to its elements, elements to records)
-PARSERS: dict[str, tuple[Callable[[Column], Column], Callable[[DataFrame, Column, str], DataFrame]]] = {
-    "format_one": (json_elements, format_one),
-    "format_two": (json_elements, format_two),
-    "format_three": (table_rows, format_three),
+#: name -> (payload text to its elements, elements to records[, the day of an element])
+PARSERS: dict[str, tuple] = {
+    "format_one": (json_elements, format_one, _one_day),
+    "format_two": (json_elements, format_two, _two_day),
+    "format_three": (table_rows, format_three, _three_day),
 }
 
 
@@ -174,8 +187,8 @@ def dispatch(raw: DataFrame, as_of: Column, parsers: dict | None = None, only: s
     name = F.lit(only) if only else F.coalesce(F.try_element_at("parser_profile", F.lit("parser")), F.lit(""))
     staged = raw.withColumn("_format", name)
     elements = F.lit(None).cast("array<struct<json:variant,html:string>>")
-    for split_up in dict.fromkeys(e for e, _ in parsers.values()):
-        names = [k for k, (e, _) in parsers.items() if e is split_up]
+    for split_up in dict.fromkeys(e for e, *_ in parsers.values()):
+        names = [k for k, (e, *_) in parsers.items() if e is split_up]
         elements = F.coalesce(F.when(F.col("_format").isin(*names), split_up(F.col("raw_content"))), elements)
     error = F.when(
         ~F.col("_format").isin(*parsers), F.concat(F.lit("no parser registered for: "), F.col("_format"))
@@ -185,10 +198,16 @@ def dispatch(raw: DataFrame, as_of: Column, parsers: dict | None = None, only: s
     each = staged.select(*own, F.posexplode_outer("_elements").alias("pos", "_element"))
     an_object = F.schema_of_variant("_element.json").startswith("OBJECT")
     each = each.withColumn("_json", F.when(an_object, F.col("_element.json")))
-    for key, (_, record) in parsers.items():
+    days = profile_int("date_filter_days", K.DEFAULT_DATE_FILTER_DAYS)
+    # Where the format can tell an element's day, those out of the window are not taken apart.
+    wanted = F.lit(True)
+    for key, (_, _, *day) in parsers.items():
+        for own in day:
+            wanted = F.when(F.col("_format") == key, F.coalesce(R.in_date_window(own(), as_of, days), F.lit(False))).otherwise(wanted)
+    each = keep(each, F.col("error").isNotNull() | wanted)
+    for key, (_, record, *_) in parsers.items():
         each = record(each, F.col("_format") == key, f"_r_{key}")
     each = each.withColumn("_r", F.coalesce(*[F.col(f"_r_{key}") for key in parsers])).drop(*[f"_r_{key}" for key in parsers])
-    days = profile_int("date_filter_days", K.DEFAULT_DATE_FILTER_DAYS)
     timely = F.col("_r").isNotNull() & R.in_date_window(F.col("_r.day"), as_of, days)
     kept = keep(each, F.col("error").isNotNull() | F.coalesce(timely, F.lit(False)))
     made = {
