@@ -169,3 +169,32 @@ def test_exploded_keys_of_similar_names_are_not_broadcast(spark):
     found = similarity.fuzzy_candidates(names, names.withColumnRenamed("l", "r"), 0.84)
     assert "SortMergeJoin" in found._jdf.queryExecution().executedPlan().toString()
     assert found.count() == 0
+
+
+def test_islands_in_one_pass_are_those_of_units(spark, monkeypatch):
+    rng, rows = random.Random(7), []
+    for i in range(300):
+        start = None if i % 50 == 49 else dt.datetime(2026, 5, 1) + dt.timedelta(minutes=rng.randrange(6000))
+        end = None if start is None or i % 7 == 0 else start + dt.timedelta(minutes=rng.randrange(90))
+        # A record of three events at two addresses, one event that comes twice, one without any key.
+        record = "shared" if i in (3, 80, 81) else None if i % 40 == 11 else f"p{i}"
+        event = None if i == 51 else "e100" if i == 101 else f"e{i}"
+        place = None if i % 30 == 29 or i == 51 else f"a{min(rng.randrange(12), 8)}"
+        rows.append((event, record, start, end, "power_outage" if i % 9 else None, place, dt.datetime(2026, 5, 1) + dt.timedelta(seconds=i)))
+    events = spark.createDataFrame(
+        rows, "event_id string, parsed_record_id string, start_time timestamp, end_time timestamp, event_type string, "
+        "location_normalized string, normalized_at timestamp"
+    ).withColumn("location_raw", F.lit(None).cast("string"))
+    want = ["event_id", "parsed_record_id", "start_time", "normalized_at", "group_key", "type_group", "island"]
+    keyed = events.withColumns(
+        {"unit": dedup.record_unit(), "start_us": F.unix_micros("start_time"), "end_us": F.unix_micros(F.coalesce("end_time", "start_time"))}
+    )
+    plain = sorted(map(str, dedup._by_units(keyed).select(*want).collect()))
+    for most in (100_000, 40, 5):
+        monkeypatch.setattr(dedup, "HOT_ROWS", most)
+        placed = dedup.with_island(events).cache()
+        assert sorted(map(str, placed.select(*want).collect())) == plain
+        shared = placed.groupBy("group_key", "type_group", "island").agg(F.count("*").alias("n"), F.bool_or("alone").alias("a"))
+        assert shared.filter("a AND n > 1").isEmpty()
+        assert (placed.filter("alone").count() > 0) == (most > 5) or most == 5
+        placed.unpersist()

@@ -222,6 +222,40 @@ def test_the_budget_of_a_source_spans_payloads_and_batches(spark, tmp_path, monk
     assert pairs(now.current("fallback_budget")) == [("s1", 5), ("s2", 5)]
 
 
+def test_a_stored_event_that_meets_no_other_is_not_written_again(spark, tmp_path):
+    batches = [
+        [payload("r1", item("10:00:00", "11:00:00")), payload("r2", item("15:00:00", "16:00:00"))],
+        [payload("r3", item("16:05:00", "17:00:00")), payload("r4", item("20:00:00", "21:00:00"))],
+    ]
+    now = feed(spark, tmp_path, batches, [("s1", {"parser": "format_two"})])
+    events = {e.start_time.hour: e for e in now.current("normalized_events").collect()}
+    assert {h: e.members for h, e in events.items()} == {3: 1, 8: 2, 13: 1}
+    seen = pairs(now.current("event_sources").select("event_id", "source"))
+    assert seen == sorted([(events[3].event_id, "r1"), (events[8].event_id, "r2"), (events[8].event_id, "r3"), (events[13].event_id, "r4")])
+    second = spark.read.parquet(f"{tmp_path}/out/normalized_events/_run=3")
+    assert {r.event_id for r in second.collect()} == {events[8].event_id, events[13].event_id}
+
+
+def test_a_large_batch_is_written_where_its_rows_are(spark, tmp_path, monkeypatch):
+    from voltmap.streaming import store as S
+
+    monkeypatch.setattr(S, "FILE_ROWS", 1)
+    store, model = Store(spark, str(tmp_path), buckets=2), {}
+    for n in range(3):
+        data = [(f"k{i}", i * n) for i in range(n, 40)]
+        b = store.batch()
+        b.put("t", rows(spark, data).repartition(3), ["k"], gone=rows(spark, [("k1", 0)]), size=40 if n else 0)
+        b.commit()
+        model = {k: v for k, v in (model | dict(data)).items() if k != "k1" or n == 0}
+        model.pop("k1", None) if n else None
+        files = len(list((tmp_path / "t" / f"_run={2 * n + 1}").glob("*/*.parquet")))
+        assert files <= 2 if n == 0 else 2 < files <= 8
+    assert pairs(store.last().current("t").filter("k <> 'k1'")) == sorted((k, v) for k, v in model.items() if k != "k1")
+    keys, schema = rows(spark, [("k0", 0), ("k39", 0)]), rows(spark, []).schema
+    assert pairs(store.last().lookup("t", keys, schema)) == [("k0", 0), ("k39", 78)]
+    assert pairs(store.last().near("t", keys, schema)) == [("k0", 0), ("k39", 78)]
+
+
 def test_payload_files_lie_in_one_folder(spark, tmp_path):
     import glob
     import hashlib

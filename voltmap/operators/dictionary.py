@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from voltmap import constants as K
 from voltmap.functions import address as A
 from voltmap.functions import fields as P
-from voltmap.session import cut
+from voltmap.session import cut, few
 
 #: An address of more than one in so many rows is hot; there are fewer hot addresses than this.
 HOT_SHARE = 1000
@@ -115,17 +115,22 @@ def entries(texts: DataFrame, threshold: float = K.FALLBACK_THRESHOLD) -> DataFr
 
 
 def look_up(
-    parsed: DataFrame, known: DataFrame | None = None, threshold: float = K.FALLBACK_THRESHOLD
+    parsed: DataFrame, known: DataFrame | None = None, threshold: float = K.FALLBACK_THRESHOLD,
+    texts: DataFrame | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """(records with the column `entry`, dictionary rows that were not known).
 
-    Few rows may have one address or a third of them: hot addresses, at most HOT_SHARE - 1 of
-    them, are broadcast, and their rows are spread where the others meet the dictionary.
+    Few addresses go to the records.  Among many, few rows may have one address or a third of them:
+    hot addresses, at most HOT_SHARE - 1 of them, are broadcast, and their rows are spread where the
+    others meet the dictionary.  `texts` are the checkpointed `wordings`, where the caller has them.
     """
-    texts = cut(wordings(parsed))
+    texts = cut(wordings(parsed)) if texts is None else texts
     unseen = texts if known is None else texts.join(known.select("address_key"), "address_key", "left_anti")
     fresh = cut(entries(unseen, threshold))
     every = fresh if known is None else fresh.unionByName(known.select("address_key", "entry"))
+    if few(texts):
+        keyed = parsed.withColumn("address_key", address_key())
+        return keyed.join(F.broadcast(every), "address_key").drop("address_key"), fresh
     total = texts.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
     hot = texts.filter(F.col("rows") * HOT_SHARE > total).filter(F.col("rows") > HOT_SHARE).select("address_key")
     keyed = parsed.withColumn("address_key", address_key())

@@ -11,7 +11,7 @@ from pyspark.sql.types import StructType
 from voltmap.functions.hashing import content_hash, parsed_fingerprint
 from voltmap.operators import dedup, dictionary
 from voltmap.operators.normalize import budget_spent, fallback_gates, from_entries, normalization_on
-from voltmap.session import cut
+from voltmap.session import cut, nothing
 from voltmap.sources import payloads
 from voltmap.streaming.store import BUCKETS, Batch, Store
 
@@ -30,23 +30,26 @@ def _schema(spark: SparkSession, fields: str) -> StructType:
 def store_payloads(b: Batch, arrived: DataFrame) -> DataFrame:
     """The arrived payloads whose content is not stored yet, now stored."""
     hashed = arrived.withColumn("content_hash", F.coalesce(content_hash("raw_content"), F.lit("")))
-    stored = b.lookup("raw_records", hashed.select("content_hash"), hashed.schema)
-    return b.put("raw_records", dedup.new_payloads(hashed, stored), ["content_hash"])
+    stored = b.near("raw_records", hashed.select("content_hash"), hashed.select("content_hash").schema)
+    return b.put("raw_records", dedup.new_payloads(hashed, stored), ["content_hash"], size=arrived.count())
 
 
 def store_records(b: Batch, parsed: DataFrame) -> DataFrame:
     """Parsed records upserted by fingerprint: the newest content under the first id."""
     keyed = parsed.withColumn("fingerprint", parsed_fingerprint())
+    rest = [c for c in keyed.columns if c != "fingerprint"]
     first = F.struct("extracted_at", "raw_record_id", "pos")
-    newest = cut(
-        keyed.groupBy("fingerprint").agg(F.max_by(F.struct(*keyed.columns), first).alias("r"), F.min_by("id", first).alias("first_id"))
+    known = b.near("parsed_records", keyed.select("fingerprint"), keyed.schema)
+    # The stored ids meet the records in the aggregation, so rows move once.
+    met = keyed.select("fingerprint", "id", F.struct(*rest).alias("r"), first.alias("first")).unionByName(
+        known.select("fingerprint", F.col("id").alias("known_id")), allowMissingColumns=True
     )
-    known = b.lookup("parsed_records", newest.select("fingerprint"), keyed.schema).select(
-        "fingerprint", F.col("id").alias("known_id")
+    newest = met.groupBy("fingerprint").agg(
+        F.max_by("r", "first").alias("r"), F.coalesce(F.max("known_id"), F.min_by("id", "first")).alias("id")
     )
-    merged = newest.join(known, "fingerprint", "left").withColumn("id", F.coalesce("known_id", "first_id"))
-    rows = merged.select(*[F.col("id") if c == "id" else F.col(f"r.{c}").alias(c) for c in keyed.columns])
-    return b.put("parsed_records", rows, ["fingerprint"])
+    own = {"fingerprint": F.col("fingerprint"), "id": F.col("id")}
+    rows = newest.filter("r IS NOT NULL").select(*[own.get(c, F.col(f"r.{c}").alias(c)) for c in keyed.columns])
+    return b.put("parsed_records", rows, ["fingerprint"], size=parsed.count())
 
 
 def gate(b: Batch, records: DataFrame, max_per_raw: int | None, max_per_source: int | None) -> DataFrame:
@@ -69,7 +72,10 @@ def split_known(b: Batch, records: DataFrame) -> tuple[DataFrame, DataFrame]:
     """
     spark = records.sparkSession
     wanted = records.select(F.col("id").alias("parsed_record_id"))
-    known = b.lookup("record_events", wanted, _schema(spark, "parsed_record_id string, event_id string"))
+    fields = _schema(spark, "parsed_record_id string, event_id string")
+    known = cut(b.near("record_events", wanted, fields).join(wanted, "parsed_record_id", "left_semi"))
+    if known.isEmpty():
+        return records, nothing(spark, _schema(spark, SOURCE_FIELDS))
     seen = records.join(
         known.withColumnRenamed("parsed_record_id", "_record"), F.col("id") == F.col("_record"), "left"
     ).drop("_record")
@@ -82,9 +88,9 @@ def split_known(b: Batch, records: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def normalize(b: Batch, records: DataFrame) -> DataFrame:
     """Events of records; an address that any batch has seen is looked up, not normalized again."""
-    keys = records.select(dictionary.address_key().alias("address_key"))
-    known = cut(b.lookup("addresses", keys, _schema(records.sparkSession, dictionary.FIELDS)))
-    found, fresh = dictionary.look_up(records, known)
+    texts = cut(dictionary.wordings(records))
+    known = cut(b.lookup("addresses", texts.select("address_key"), _schema(records.sparkSession, dictionary.FIELDS)))
+    found, fresh = dictionary.look_up(records, known, texts=texts)
     b.put("addresses", fresh, ["address_key"])
     return cut(from_entries(found, F.col("allow_fallback")).drop("normalizer_path"))
 
@@ -98,19 +104,28 @@ def store_events(b: Batch, incoming: DataFrame, sticky: DataFrame) -> tuple[Data
     fields = _schema(spark, EVENT_FIELDS)
     placed = StructType([*fields.fields]).add("place", "string")
     hit = cut(b.lookup("normalized_events", incoming.select(dedup.address_group().alias("place")), placed))
-    about = hit.select("event_id").unionByName(sticky.select("event_id")).distinct()
+    located = dedup.place_touched(hit.drop("place"), incoming)
+    # A stored event that meets no other stays as it lies.
+    still = F.col("stored") & F.col("alone")
+    changed = located.filter(~still)
+    was = cut(changed.filter("stored").select("event_id", "parsed_record_id", dedup.address_group().alias("place")))
+    about = was.select("event_id").unionByName(sticky.select("event_id")).distinct()
     seen = cut(b.lookup("event_sources", about, _schema(spark, SOURCE_FIELDS)))
-    out, sources, audit = dedup.merge_touched(hit.drop("place"), seen.unionByName(sticky), incoming)
-    out = cut(out.select(*fields.names, dedup.address_group().alias("place")))
-    sources = cut(sources)
-    moved = hit.join(out, ["place", "event_id"], "left_anti")
-    b.put("normalized_events", out, ["place", "event_id"], ["place"], gone=moved)
-    b.put("event_sources", sources, ["event_id", "source"], ["event_id"], gone=seen.join(sources, ["event_id", "source"], "left_anti"))
+    merged, sources, audit = dedup.merge_placed(changed, seen.unionByName(sticky))
+    out = merged.select(*fields.names, dedup.address_group().alias("place"))
+    # Stored events that change share an island, and so do those that they go into.
+    ids = merged.filter("NOT alone").select("event_id", "parsed_record_id", dedup.address_group().alias("place"))
+    moved, size = was.join(ids, ["place", "event_id"], "left_anti"), out.count()
+    b.put("normalized_events", out, ["place", "event_id"], ["place"], gone=moved, size=size)
+    lost = was.join(ids, "event_id", "left_anti").select("event_id")
+    gone = seen.join(lost, "event_id", "left_semi")
+    b.put("event_sources", sources, ["event_id", "source"], ["event_id"], gone=gone, size=size)
     owners = ["parsed_record_id", "event_id"]
-    was, now = (df.select(*owners).filter("parsed_record_id IS NOT NULL") for df in (hit, out))
-    b.put("record_events", now, owners, ["parsed_record_id"], gone=was.join(now, owners, "left_anti"))
+    had, now = (df.select(*owners).filter("parsed_record_id IS NOT NULL") for df in (was, out))
+    kept = ids.select(*owners).filter("parsed_record_id IS NOT NULL")
+    b.put("record_events", now, owners, ["parsed_record_id"], gone=had.join(kept, owners, "left_anti"), size=size)
     b.append("dedup_audit", audit)
-    return out.drop("place"), hit.join(out, "event_id", "left_anti").select("event_id")
+    return out.drop("place").unionByName(located.filter(still).select(*fields.names)), lost
 
 
 def step(

@@ -16,11 +16,13 @@ from __future__ import annotations
 import copy
 import datetime as dt
 import json
+from collections import Counter
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from voltmap.session import cut, few, nothing
 from voltmap.sources.files import Files
 
 BUCKETS = 64
@@ -28,6 +30,9 @@ BUCKETS = 64
 FANOUT = 4
 #: Beyond this many levels a merge rewrites the bucket whole.
 LEVELS = 3
+#: A batch with so many rows for each task and bucket is written where its rows are: they need not move to
+#: their buckets to give files of a fair size.
+FILE_ROWS = 5_000
 
 _GONE, _RUN, _BUCKET = "_gone", "_run", "_bucket"
 
@@ -110,7 +115,7 @@ class Batch:
         root = f"{self.store.path}/{name}"
         full = StructType([*schema.fields]).add(_GONE, "boolean").add(_RUN, "long").add(_BUCKET, "integer")
         if not parts:
-            return self.store.spark.createDataFrame([], full)
+            return nothing(self.store.spark, full)
         paths = [f"{root}/{_RUN}={run}/{_BUCKET}={bucket}" for bucket, run in parts]
         return self.store.spark.read.schema(full).option("basePath", root).parquet(*paths)
 
@@ -133,33 +138,61 @@ class Batch:
     def current(self, name: str, schema: StructType | None = None) -> DataFrame:
         """All standing rows of a keyed table, as earlier batches left it."""
         if name not in self.before["keyed"]:
-            return self.store.spark.createDataFrame([], schema or StructType())
+            return nothing(self.store.spark, schema or StructType())
+        return self._stored(name, self._parts(name))
+
+    def _stored(self, name: str, parts: list[tuple[str, int]], wanted: DataFrame | None = None) -> DataFrame:
+        """Standing rows of (bucket, run) pairs, of the keys `wanted` if given.
+
+        Where a bucket has one run, all its rows are the newest.
+        """
+        table, runs = self.before["keyed"][name], Counter(b for b, _ in parts)
+
+        def rows(pairs):
+            found = self._rows(name, self._schema(name), pairs)
+            return found if wanted is None else found.join(wanted, table["by"], "left_semi").select(*found.columns)
+
+        several = [(b, run) for b, run in parts if runs[b] > 1]
+        out = rows([(b, run) for b, run in parts if runs[b] == 1]).filter(f"NOT {_GONE}").drop(_GONE, _RUN, _BUCKET)
+        return out.unionByName(self._standing(rows(several), table["key"])) if several else out
+
+    def _touched_parts(self, name: str, keys: DataFrame) -> list[tuple[str, int]]:
         table = self.before["keyed"][name]
-        return self._standing(self._rows(name, self._schema(name), self._parts(name)), table["key"])
+        found = keys.select(self._bucket(table).alias("b")).distinct().collect()
+        return self._parts(name, [r.b for r in found])
 
     def touched(self, name: str, keys: DataFrame) -> DataFrame:
         """Files' rows of the buckets that `keys` (columns named as the table's `by`) fall into."""
-        table = self.before["keyed"][name]
-        found = keys.select(self._bucket(table).alias("b")).distinct().collect()
-        return self._rows(name, self._schema(name), self._parts(name, [r.b for r in found]))
+        return self._rows(name, self._schema(name), self._touched_parts(name, keys))
+
+    def near(self, name: str, keys: DataFrame, schema: StructType) -> DataFrame:
+        """Standing rows of `keys`, and maybe more of their buckets: the caller picks its own among them."""
+        if name not in self.before["keyed"]:
+            return nothing(self.store.spark, schema)
+        by = self.before["keyed"][name]["by"]
+        wanted = F.broadcast(keys.select(*by).distinct()) if few(keys) else None
+        return self._stored(name, self._touched_parts(name, keys), wanted).select(*schema.names)
 
     def lookup(self, name: str, keys: DataFrame, schema: StructType) -> DataFrame:
         """Standing rows whose `by` columns are among `keys`; columns of `schema`.
 
-        The driver learns only which of the table's buckets are touched.
+        The driver learns only which of the table's buckets are touched.  Few keys go to the rows;
+        many meet them in a shuffle.
         """
         if name not in self.before["keyed"]:
-            return self.store.spark.createDataFrame([], schema)
-        table = self.before["keyed"][name]
-        rows = self.touched(name, keys).join(keys.select(*table["by"]).distinct(), table["by"], "left_semi")
-        return self._standing(rows, table["key"]).select(*schema.names)
+            return nothing(self.store.spark, schema)
+        wanted = cut(keys.select(*self.before["keyed"][name]["by"]).distinct())
+        wanted = F.broadcast(wanted) if few(wanted) else wanted
+        return self._stored(name, self._touched_parts(name, wanted), wanted).select(*schema.names)
 
     def put(
-        self, name: str, rows: DataFrame, key: list[str], by: list[str] | None = None, gone: DataFrame | None = None
+        self, name: str, rows: DataFrame, key: list[str], by: list[str] | None = None, gone: DataFrame | None = None,
+        size: int = 0,
     ) -> DataFrame:
         """Write rows and removals; a key's rows replace all its earlier ones.  Returns what was written.
 
         `by` (part of the key; all of it by default) decides the bucket; key columns hold no nulls.
+        `size` is about how many rows there are, where the caller knows it.
         """
         by = by or key
         schema = rows.schema
@@ -169,16 +202,20 @@ class Batch:
         root = f"{self.store.path}/{name}/{_RUN}={self.run}"
         new = {"key": key, "by": by, "buckets": self.store.buckets, "parts": {}}
         table = self.after["keyed"].setdefault(name, new)
-        self._write(marked.withColumn(_BUCKET, self._bucket(table)), root)
+        self._write(marked.withColumn(_BUCKET, self._bucket(table)), root, size)
         written = [x.partition("=")[2] for x in self.store.files.names(root) if x.startswith(f"{_BUCKET}=")]
         table["schema"] = schema.jsonValue()
         for b in written:
             table["parts"].setdefault(b, []).append([self.run, 0])
         return self._rows(name, schema, [(b, self.run) for b in written]).filter(f"NOT {_GONE}").drop(_GONE, _RUN, _BUCKET)
 
-    def _write(self, rows: DataFrame, root: str) -> None:
-        # One task per bucket, or several for a large one.
-        rows.hint("rebalance", _BUCKET).write.mode("overwrite").partitionBy(_BUCKET).parquet(root)
+    def _write(self, rows: DataFrame, root: str, size: int = 0) -> None:
+        tasks = int(self.store.spark.conf.get("spark.sql.shuffle.partitions"))
+        if size < tasks * self.store.buckets * FILE_ROWS:
+            # One task per bucket, or several for a large one.
+            rows = rows.hint("rebalance", _BUCKET)
+        # Ids are hexadecimal digests, which only an entropy coder makes shorter.
+        rows.write.mode("overwrite").option("compression", "zstd").partitionBy(_BUCKET).parquet(root)
 
     def _due(self, parts: list[list[int]]) -> tuple[list[list[int]], int]:
         """The youngest runs of a bucket that are to be merged, and the level they get."""
@@ -215,7 +252,7 @@ class Batch:
 
     def append(self, name: str, rows: DataFrame) -> None:
         """Add rows; the run has the batch's number, so a replay adds nothing twice."""
-        rows.write.mode("overwrite").parquet(f"{self.store.path}/{name}/{_RUN}={self.run}")
+        rows.write.mode("overwrite").option("compression", "zstd").parquet(f"{self.store.path}/{name}/{_RUN}={self.run}")
         table = self.after["whole"].setdefault(name, {"runs": []})
         table["runs"] = [*[r for r in table["runs"] if r != self.run], self.run]
         table["schema"] = rows.schema.jsonValue()
@@ -236,7 +273,7 @@ class Batch:
         """Rows of a table without a key, as earlier batches left it."""
         table = self.before["whole"][name]
         if not table["runs"]:
-            return self.store.spark.createDataFrame([], StructType.fromJson(table["schema"]))
+            return nothing(self.store.spark, StructType.fromJson(table["schema"]))
         paths = [f"{self.store.path}/{name}/{_RUN}={run}" for run in table["runs"]]
         return self.store.spark.read.schema(StructType.fromJson(table["schema"])).parquet(*paths)
 
