@@ -171,6 +171,50 @@ def test_exploded_keys_of_similar_names_are_not_broadcast(spark):
     assert found.count() == 0
 
 
+def test_texts_of_similar_names_seldom_meet_by_chance(spark):
+    from voltmap.operators import similarity
+
+    def hashes(low, name):
+        rows = spark.range(low, low + 400).select(F.lit("").alias("block"), F.md5(F.col("id").cast("string")).alias(name))
+        return rows.withColumn("bits", F.lit(0).cast("long"))
+
+    left, right = hashes(0, "l"), hashes(1000, "r")
+    l_keys = similarity._segments(similarity._partners(left, "l", right, "r", 0.84), "l", 0.84)
+    r_keys = similarity._substrings(similarity._partners(right, "r", left, "l", 0.84), "r", 0.84)
+    assert l_keys.join(r_keys, "meet").count() <= 400 * 400 * 0.0005
+    assert l_keys.count() + r_keys.count() <= 800 * 150
+
+
+def test_similar_names_are_found_with_as_many_edits_as_may_be(spark):
+    from difflib import SequenceMatcher
+
+    from voltmap.operators import similarity
+
+    rng, rows = random.Random(9), []
+    for cutoff, letters, size in ((0.84, "0123456789abcdef", 32), (0.88, "абвгдежзик😀", 17), (0.95, "acgt", 90), (0.6, "xyz", 9)):
+        for i in range(60):
+            a = "".join(rng.choice(letters) for _ in range(size - i % 3))
+            k = int(len(a) * (1 - cutoff))
+            kept = [c for j, c in enumerate(a) if j not in set(rng.sample(range(len(a)), k))]
+            # Other characters together, at the ends, or anywhere.
+            spot = rng.randrange(len(kept) + 1)
+            for j in range(k - i % 2):
+                kept.insert((spot, rng.randrange(len(kept) + 1), 0, len(kept))[i % 4], rng.choice(letters + "zw"))
+            rows.append((cutoff, f"{cutoff} {i % 7}", a, "".join(kept)))
+    for cutoff in sorted({r[0] for r in rows}):
+        own = [r for r in rows if r[0] == cutoff]
+        left = spark.createDataFrame([r[1:3] for r in own], "block string, l string")
+        right = spark.createDataFrame([(r[1], r[3]) for r in own], "block string, r string")
+        got = {(r.block, r.l, r.r): r.score for r in similarity.similar_pairs(left, right, cutoff).collect() if r.score not in (0.93, 1.0)}
+        want = {}
+        for _, block, a, _ in own:
+            for _, other, _, b in own:
+                score = SequenceMatcher(a=a, b=b).ratio()
+                if block == other and a not in b and b not in a and score >= cutoff:
+                    want[(block, a, b)] = score
+        assert got == want and want
+
+
 def test_islands_in_one_pass_are_those_of_units(spark, monkeypatch):
     rng, rows = random.Random(7), []
     for i in range(300):
