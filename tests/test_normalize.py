@@ -188,3 +188,28 @@ def test_records_out_of_the_window_are_not_taken_apart(spark, monkeypatch):
     )
     got = payloads.parse_format_three(raw, F.lit("1998-06-01").cast("timestamp")).collect()
     assert [(r.external_id, r.location_street) for r in got] == [("02.06.1998", "ул Мира")]
+
+
+def test_documents_of_cases_are_bounded(spark, tmp_path, monkeypatch):
+    import os
+
+    from voltmap.plans import bindings, stored
+    from voltmap.session import shared_folder
+
+    tables = {
+        "region": "SELECT 0 AS r_regionkey, 'ASIA' AS r_name",
+        "nation": "SELECT 0 AS n_nationkey, 0 AS n_regionkey",
+        "customer": "SELECT id AS c_custkey, 0 AS c_nationkey FROM range(50)",
+        "part": "SELECT id AS p_partkey, concat('plum ', id) AS p_name FROM range(50)",
+        "orders": "SELECT id AS o_orderkey, id % 50 AS o_custkey, timestamp'1996-01-02' AS o_orderdate, '1-URGENT' AS o_orderpriority FROM range(4000)",
+    }
+    for name, rows in tables.items():
+        spark.sql(rows).write.parquet(f"{tmp_path}/{name}.parquet")
+    monkeypatch.setattr(stored, "CASES", 20, raising=False)
+    folder = shared_folder(spark).removeprefix("file:")
+    known = set(os.listdir(folder))
+    read = stored._cases(bindings.Tables(spark, str(tmp_path)))
+    (path,) = [f"{folder}/{x}" for x in set(os.listdir(folder)) - known if x.startswith("cases-")]
+    sizes = [r[0] for r in spark.read.option("wholetext", True).text(path).select(F.json_array_length("value")).collect()]
+    assert sum(sizes) == read.count() == read.select("name").distinct().count() == 4000
+    assert len(sizes) > 150 and max(sizes) <= 60
