@@ -417,6 +417,48 @@ def test_search_equals_brute_force(spark, corpus, odd, empty, monkeypatch):
     assert search.search(odd).collect() == [] and search.search(empty).collect() == []
 
 
+def _made_index(rng, docs, languages):
+    """Texts of some languages with words of very unequal frequency, a few copies among them: (index, words, counts, ids)."""
+    bags = []
+    for i in range(docs):
+        length = int(rng.integers(1, 120)) if i % 9 else 900
+        own = np.unique((rng.zipf(1.25, length) % 4000 * languages + i % languages).astype(np.uint64), return_counts=True)
+        bags.append(bags[i - 50] if i % 10 == 7 and i >= 50 else own)
+    sizes = np.array([len(t) for t, _ in bags])
+    term, times = (np.concatenate(x) for x in zip(*bags))
+    heads = np.array([t[np.argmax(n)] for t, n in bags])
+    columns = [np.arange(docs), np.arange(docs), heads, term.copy(), sizes, np.array([n.sum() for _, n in bags]), times.astype(np.float32)]
+    return search._index([columns], 60.0), bags
+
+
+@pytest.mark.parametrize("chunk,block", ((1024, 128), (64, 8), (48, 16)))
+def test_index_finds_the_best_of_all_documents_whatever_its_chunks(chunk, block, monkeypatch):
+    monkeypatch.setattr(search, "CHUNK_DOCS", chunk, raising=False)
+    monkeypatch.setattr(search, "BLOCK_DOCS", block)
+    rng = np.random.default_rng(chunk)
+    index, bags = _made_index(rng, 1500, 3)
+    for k in (1, 10, 400):
+        queries = [(bags[i][0], bags[i][1] * rng.uniform(0.1, 3)) for i in (0, 1, 8, 9, 58, 77, 700, 1499)]
+        queries.append((np.array([1 << 60], dtype=np.uint64), np.ones(1)))
+        for (term, weight), (at, score) in zip(queries, index.tops(queries, k)):
+            want = []
+            own = dict(zip(term.tolist(), weight.tolist()))
+            for i, (t, n) in enumerate(bags):
+                norm = 1.2 * (0.25 + 0.75 * n.sum() / 60.0)
+                s = sum(own[w] * c * 2.2 / (c + norm) for w, c in zip(t.tolist(), n.tolist()) if w in own)
+                if s > 0:
+                    want.append((-round(s, 4), i))
+            want = sorted(want)[:k]
+            assert score.tolist() == pytest.approx([-s for s, _ in want], rel=1e-4, abs=1e-3)
+            assert sorted(zip((-score).tolist(), index.ids[at].tolist())) == list(zip((-score).tolist(), index.ids[at].tolist()))
+
+
+def test_words_frequent_among_alike_documents_are_scored_by_products():
+    index, bags = _made_index(np.random.default_rng(3), 6000, 4)
+    held = sum(len(t) for t, _ in bags)
+    assert len(index.doc) < 0.6 * held
+
+
 # --- near copies and passages ------------------------------------------------------------------------------------------
 
 
